@@ -69,10 +69,15 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     return candidates(_points(spark, sf), search_cells(stage(_roads(spark, sf), "roads"), P), P)
 
 
+def _points_of(spark: SparkSession, sf: str):
+    """Network and candidate points, written once."""
+    net = _network(spark, sf)
+    return net, stage(matched_candidates(_points(spark, sf), net, P), "points")
+
+
 def _matched(spark: SparkSession, sf: str):
     """Network, candidate points and paths, each written once."""
-    net = _network(spark, sf)
-    points = stage(matched_candidates(_points(spark, sf), net, P), "points")
+    net, points = _points_of(spark, sf)
     paths = stage(neighbor_paths(net.pairs, candidate_roads(points), P), "paths")
     return net, points, paths
 
@@ -226,8 +231,7 @@ def candidate_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidate_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    net = _network(spark, sf)
-    points = matched_candidates(_points(spark, sf), net, P)
+    net, points = _points_of(spark, sf)
     return net.pairs.join(candidate_roads(points), "road_id", "left_semi").select(
         "road_id", "neighbour_id", snap(F.col("neighbour_length"), 3).alias("neighbour_length")
     )
@@ -238,8 +242,7 @@ def _path_rows(paths: DataFrame) -> DataFrame:
 
 
 def paths_of_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    net = _network(spark, sf)
-    points = matched_candidates(_points(spark, sf), net, P)
+    net, points = _points_of(spark, sf)
     return _path_rows(neighbor_paths(net.pairs, candidate_roads(points), P))
 
 
@@ -275,7 +278,7 @@ def transition_rows(spark: SparkSession, sf: str) -> DataFrame:
             "prev_id",
             "road_id",
             snap(F.col("route"), 3).alias("route"),
-            snap(F.coalesce(F.exp("log_move"), F.lit(0.0)), 9).alias("prob"),
+            snap(F.coalesce(F.exp("log_move"), F.lit(0.0)), 6).alias("prob"),
         )
     )
 

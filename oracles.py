@@ -338,7 +338,7 @@ FROM numbered k LEFT JOIN numbered i ON k.customid=i.customid AND k.trajid=i.tra
 LEFT JOIN paths p ON p.start_id=k.road_id AND p.end_id=i.road_id"""),
         "transitions": statement("move", f"""
 SELECT customid, trajid, prev_timest, timest, prev_id, road_id, {snap('route', 3)} AS route,
-  {snap('coalesce(exp(log_move), 0)', 9)} AS prob FROM move WHERE k IS NOT NULL"""),
+  {snap('coalesce(exp(log_move), 0)', 6)} AS prob FROM move WHERE k IS NOT NULL"""),
         "decoded": statement("dec", "SELECT * FROM dec"),
         "routes": statement("dec paths", """
 SELECT customid, trajid, timest, "roadID", seq FROM (
