@@ -106,9 +106,11 @@ def _motion(seconds: DataFrame, p: SegmentParams) -> DataFrame:
                 "goes_on": F.coalesce(c("timediff") < p.max_gap, F.lit(False)),
             }
         )
-        # ``best`` is never null; asking keeps both readers of this frame on the same columns, so that they
-        # share one shuffle.
-        .withColumn("starts", (c("own") & ~c("goes_on") & c("best").isNotNull()).cast("int"))
+        # The last two conditions always hold; asking keeps both readers of this frame on the same columns, so
+        # that they share one shuffle.
+        .withColumn(
+            "starts", (c("own") & ~c("goes_on") & c("best").isNotNull() & (c("copies") > 0)).cast("int")
+        )
     )
 
 
