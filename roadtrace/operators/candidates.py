@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadtrace.functions.geo import edge_distance, haversine_m, project, snap, with_foot
+from roadtrace.functions.geo import gaussian_emission, haversine_m, project, snap, with_foot
 from roadtrace.operators.blocks import time_block
 from roadtrace.params import DISTANCE_FLOOR, MatchParams
 
@@ -32,18 +32,20 @@ def road_cells(roads: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     edges = roads.select("road_id", *ENDS, F.explode(pieces).alias("e"))
     x1, y1 = project(c("e.a.lat"), c("e.a.lon"), p.frame)
     x2, y2 = project(c("e.b.lat"), c("e.b.lon"), p.frame)
-    edges = edges.select("road_id", *ENDS, x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
-    span = F.greatest(F.abs(c("x2") - c("x1")), F.abs(c("y2") - c("y1")))
+    edges = edges.select("road_id", *ENDS, x1.alias("x1"), y1.alias("y1"), (x2 - x1).alias("dx"), (y2 - y1).alias("dy"))
+    square = c("dx") * c("dx") + c("dy") * c("dy")
+    edges = edges.withColumn("square", F.when(square > 0, square).otherwise(F.lit(1.0)))
+    span = F.greatest(F.abs("dx"), F.abs("dy"))
     cut = edges.withColumn("parts", F.greatest(F.lit(1), F.ceil(span / side))).withColumn(
         "part", F.explode(F.sequence(F.lit(1).cast("bigint"), c("parts")))
     )
     start, end = (c("part") - 1) / c("parts"), c("part") / c("parts")
     boxed = cut.withColumns(
         {
-            "xa": c("x1") + (c("x2") - c("x1")) * start,
-            "xb": c("x1") + (c("x2") - c("x1")) * end,
-            "ya": c("y1") + (c("y2") - c("y1")) * start,
-            "yb": c("y1") + (c("y2") - c("y1")) * end,
+            "xa": c("x1") + c("dx") * start,
+            "xb": c("x1") + c("dx") * end,
+            "ya": c("y1") + c("dy") * start,
+            "yb": c("y1") + c("dy") * end,
         }
     )
     # One unit of slack covers the rounding of the cut points.
@@ -57,7 +59,7 @@ def road_cells(roads: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     return (
         boxed.withColumn("cx", F.explode(cells("xa", "xb")))
         .withColumn("cy", F.explode(cells("ya", "yb")))
-        .select("cx", "cy", "road_id", *ENDS, "x1", "y1", "x2", "y2")
+        .select("cx", "cy", "road_id", *ENDS, "x1", "y1", "dx", "dy", "square")
     )
 
 
@@ -80,18 +82,28 @@ def near_roads(points: DataFrame, cells: DataFrame, p: MatchParams = MatchParams
             }
         )
     )
+    # Squared, and from the edge vector the road side already has: the join evaluates this for every pair in a
+    # cell, and a short expression keeps the generated method small enough to be compiled.
+    along = F.greatest(
+        F.lit(0.0),
+        F.least(
+            F.lit(1.0), ((c("px") - c("x1")) * c("dx") + (c("py") - c("y1")) * c("dy")) / c("square")
+        ),
+    )
+    off_x = c("px") - c("x1") - along * c("dx")
+    off_y = c("py") - c("y1") - along * c("dy")
     hits = (
         placed.join(cells, ["cx", "cy"])
-        .withColumn("d", edge_distance(*(c(n) for n in ("px", "py", "x1", "y1", "x2", "y2"))))
-        .where(c("d") <= p.tau)
+        .withColumn("d2", F.pow(off_x, F.lit(2.0)) + F.pow(off_y, F.lit(2.0)))
+        .where(c("d2") <= p.tau * p.tau)
     )
     return (
-        hits.select(*POINT, "road_id", *ENDS, "d")
+        hits.select(*POINT, "road_id", *ENDS, "d2")
         .repartition(*BLOCK)
         .groupBy(*POINT, "road_id")
-        .agg(F.min("d").alias("d"), *[F.first(e).alias(e) for e in ENDS])
-        .withColumn("distance", snap(F.greatest(c("d"), F.lit(DISTANCE_FLOOR))))
-        .drop("d")
+        .agg(F.min("d2").alias("d2"), *[F.first(e).alias(e) for e in ENDS])
+        .withColumn("distance", snap(F.greatest(F.sqrt("d2"), F.lit(DISTANCE_FLOOR))))
+        .drop("d2")
     )
 
 
@@ -104,6 +116,8 @@ def candidates(points: DataFrame, cells: DataFrame, p: MatchParams = MatchParams
     """
     by_distance = Window.partitionBy(*BLOCK, "timest").orderBy("distance", "road_id")
     everything = by_distance.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    share = 1 / F.col("distance") / F.col("total")
+    prob = share if p.emission == "inverse" else gaussian_emission(F.col("distance"))
     return (
         near_roads(points, cells, p)
         .withColumns(
@@ -113,7 +127,7 @@ def candidates(points: DataFrame, cells: DataFrame, p: MatchParams = MatchParams
             }
         )
         .where(F.col("rank") <= p.alpha)
-        .withColumn("prob", 1 / F.col("distance") / F.col("total"))
+        .withColumn("prob", prob)
         .drop("total")
     )
 

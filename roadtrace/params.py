@@ -66,7 +66,8 @@ class MatchParams:
     ``frame`` and ``foot_frame`` choose the projection of the candidate search and of the foot points (see
     ``functions.geo.project``).  ``keep_dead_ends`` set to False drops a road reached at hop theta-1 that has
     no neighbour outside its path.  ``full_length`` sums all pieces of a road instead of taking first to last
-    node.  ``block_seconds`` only sets how a trajectory is split over tasks.
+    node.  ``emission`` is ``inverse`` (share of the inverse distances) or ``gaussian`` (density of the
+    distance).  ``block_seconds`` only sets how a trajectory is split over tasks.
     """
 
     alpha: int = 4
@@ -79,6 +80,7 @@ class MatchParams:
     foot_frame: str = "swapped"
     keep_dead_ends: bool = True
     full_length: bool = False
+    emission: str = "inverse"
     block_seconds: int = 600
 
     def __post_init__(self) -> None:
@@ -86,6 +88,8 @@ class MatchParams:
             raise ValueError("theta must be at least 2")
         if self.alpha < 1 or self.beta <= 0 or self.tau <= 0:
             raise ValueError("alpha, beta and tau must be positive")
+        if self.emission not in ("inverse", "gaussian"):
+            raise ValueError("emission must be inverse or gaussian")
 
     @classmethod
     def from_args(cls, args: list[str]) -> MatchParams:

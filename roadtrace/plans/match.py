@@ -17,9 +17,10 @@ from roadtrace.operators.transitions import linked_points, transitions
 from roadtrace.params import MatchParams
 from roadtrace.staging import small_enough, stage
 
-# A table of road pieces up to this many rows (about 100 bytes each) is sent to every task instead of
-# shuffling the points; larger ones are shuffled.  The rows are counted first.
-BROADCAST_ROWS = 2_000_000
+# A table of road edges up to this many rows (about 130 bytes each) is sent to every task instead of
+# shuffling the points; a larger one is joined by shuffling both sides on the cell, where adaptive execution
+# splits cells that hold too many points.  The rows are counted first.
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -42,8 +43,11 @@ def selected_points(trajectories: DataFrame, p: MatchParams = MatchParams()) ->
 
 
 def search_cells(roads: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
-    """Grid cells of the roads that may be candidates, marked for broadcast if they are few."""
-    cells = road_cells(connected_roads(roads), p)
+    """Grid cells of the roads that may be candidates, marked for broadcast if they are few.
+
+    They are written first, so that counting them costs no second computation.
+    """
+    cells = stage(road_cells(connected_roads(roads), p), "cells")
     return F.broadcast(cells) if small_enough(cells, BROADCAST_ROWS) else cells
 
 
