@@ -27,9 +27,9 @@ from roadtrace.functions.geo import (  # noqa: E402
     snap,
     unproject,
 )
-from roadtrace.operators.candidates import candidate_points, candidate_roads, candidates  # noqa: E402
+from roadtrace.operators.candidates import candidate_points, candidate_roads  # noqa: E402
 from roadtrace.operators.decode import decode  # noqa: E402
-from roadtrace.operators.paths import neighbor_paths, path_facts  # noqa: E402
+from roadtrace.operators.paths import neighbor_paths  # noqa: E402
 from roadtrace.operators.roads import adjacency, build_roads, neighbour_lists, road_features  # noqa: E402
 from roadtrace.operators.segment import clean_pings, segment  # noqa: E402
 from roadtrace.operators.select import quality_trajectories, top_trajectories  # noqa: E402
@@ -37,13 +37,19 @@ from roadtrace.operators.transitions import (  # noqa: E402
     linked_points,
     pairs_with_paths,
     transition_pairs,
-    transitions,
 )
 from roadtrace.params import MatchParams  # noqa: E402
-from roadtrace.plans.match import match, matched_candidates, network, search_cells  # noqa: E402
+from roadtrace.plans.match import (  # noqa: E402
+    candidate_paths,
+    found_candidates,
+    match,
+    matched_candidates,
+    network,
+    scored_moves,
+)
 from roadtrace.sources.derived import derived_nodes, derived_pings, derived_ways  # noqa: E402
 from roadtrace.sources.text import load_text  # noqa: E402
-from roadtrace.staging import stage, staging_folder  # noqa: E402
+from roadtrace.staging import staging_folder  # noqa: E402
 
 P = MatchParams()
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -66,25 +72,18 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return candidates(_points(spark, sf), search_cells(stage(_roads(spark, sf), "roads"), P), P)
+    return found_candidates(_points(spark, sf), _network(spark, sf), P)
 
 
 def _points_of(spark: SparkSession, sf: str):
-    """Network and candidate points, written once."""
+    """Network and candidate points."""
     net = _network(spark, sf)
-    return net, stage(matched_candidates(_points(spark, sf), net, P), "points")
+    return net, matched_candidates(_points(spark, sf), net, P)
 
 
-def _matched(spark: SparkSession, sf: str):
-    """Network, candidate points and paths, each written once."""
+def _moves(spark: SparkSession, sf: str):
     net, points = _points_of(spark, sf)
-    paths = stage(neighbor_paths(net.pairs, candidate_roads(points), P), "paths")
-    return net, points, paths
-
-
-def _moves(spark: SparkSession, sf: str) -> DataFrame:
-    net, points, paths = _matched(spark, sf)
-    return transitions(linked_points(points), path_facts(paths, net.roads), P)
+    return scored_moves(points, candidate_paths(points, net, P), net, P)
 
 
 def pings_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -246,13 +245,19 @@ def paths_of_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return _path_rows(neighbor_paths(net.pairs, candidate_roads(points), P))
 
 
+def paths_dead_ends_dropped(spark: SparkSession, sf: str) -> DataFrame:
+    net = _network(spark, sf)
+    return _path_rows(neighbor_paths(net.pairs, net.roads, MatchParams(gamma=400.0, keep_dead_ends=False)))
+
+
 def paths_of_all_roads(spark: SparkSession, sf: str) -> DataFrame:
     net = _network(spark, sf)
     return _path_rows(neighbor_paths(net.pairs, net.roads, MatchParams(gamma=400.0)))
 
 
 def pair_rows(spark: SparkSession, sf: str) -> DataFrame:
-    _, points, paths = _matched(spark, sf)
+    net, points = _points_of(spark, sf)
+    paths = candidate_paths(points, net, P)
     return pairs_with_paths(transition_pairs(linked_points(points)), paths).select(
         "customid",
         "trajid",
@@ -267,8 +272,9 @@ def pair_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def transition_rows(spark: SparkSession, sf: str) -> DataFrame:
+    moves, _ = _moves(spark, sf)
     return (
-        _moves(spark, sf)
+        moves
         .where(F.col("k").isNotNull())
         .select(
             "customid",
@@ -284,7 +290,7 @@ def transition_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def decoded(spark: SparkSession, sf: str) -> DataFrame:
-    return decode(_moves(spark, sf))
+    return decode(*_moves(spark, sf))
 
 
 def routes(spark: SparkSession, sf: str) -> DataFrame:
@@ -361,6 +367,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "candidate_roads": candidate_neighbours,
         "neighbor_paths": paths_of_candidates,
         "neighbor_paths_deep": paths_of_all_roads,
+        "neighbor_paths_no_dead_ends": paths_dead_ends_dropped,
         "transition_pairs": pair_rows,
         "transitions": transition_rows,
         "decoded": decoded,

@@ -220,6 +220,25 @@ SELECT s AS start_id, e AS end_id, w.micro AS micro, w.ids AS ids, w.lens AS len
 hop_parts("path", "SELECT road_id FROM cand", "cand", 4, 200)
 hop_parts("deep", "SELECT road_id FROM road", "road", 4, 400)
 
+# The same search as outer joins of the pair table: four rows wide, with the neighbour of the last row.
+part("wide", "adj", """
+SELECT a.road_id AS r0, a.length AS l0, b.road_id AS r1, b.length AS l1, c.road_id AS r2, c.length AS l2,
+  d.road_id AS r3, d.length AS l3, d.neighbour_id AS r4, d.neighbour_length AS l4
+FROM adj a
+LEFT JOIN adj b ON a.neighbour_id=b.road_id AND b.road_id<>a.road_id AND a.length < 400
+LEFT JOIN adj c ON b.neighbour_id=c.road_id AND c.road_id NOT IN (a.road_id, b.road_id) AND a.length+b.length < 400
+LEFT JOIN adj d ON c.neighbour_id=d.road_id AND d.road_id NOT IN (a.road_id, b.road_id, c.road_id)
+  AND d.neighbour_id NOT IN (a.road_id, b.road_id, c.road_id) AND a.length+b.length+c.length < 400""")
+
+part("prefix", "wide", """
+SELECT s, e, min({'micro': micro, 'n': len(ids), 'ids': ids}) AS w FROM (
+  SELECT ids[1] AS s, ids[len(ids)] AS e, ids, list_sum(list_transform(lens, lambda x: floor(x*1e6+0.5)::bigint))::bigint AS micro FROM (
+    SELECT [r0] AS ids, [l0] AS lens FROM wide
+    UNION ALL SELECT [r0,r1], [l0,l1] FROM wide WHERE r1 IS NOT NULL
+    UNION ALL SELECT [r0,r1,r2], [l0,l1,l2] FROM wide WHERE r2 IS NOT NULL
+    UNION ALL SELECT [r0,r1,r2,r3], [l0,l1,l2,l3] FROM wide WHERE r3 IS NOT NULL
+    UNION ALL SELECT [r0,r1,r2,r3,r4], [l0,l1,l2,l3,l4] FROM wide WHERE r4 IS NOT NULL)) GROUP BY s, e""")
+
 part("fact", "paths road", """
 SELECT p.start_id, p.end_id, p.ids, p.roads, list_sum(p.lens) AS whole,
   CASE WHEN p.roads > 2 THEN list_sum(p.lens[2:p.roads-1]) ELSE 0.0::double END AS inside, p.lens[1] AS first_length,
@@ -331,6 +350,8 @@ WHERE road_id IN (SELECT road_id FROM cand)"""),
 SELECT start_id, end_id, array_to_string(ids, '>') AS path, micro/1e6 AS cost, roads FROM paths"""),
         "neighbor_paths_deep": statement("deeps", """
 SELECT start_id, end_id, array_to_string(ids, '>') AS path, micro/1e6 AS cost, roads FROM deeps"""),
+        "neighbor_paths_no_dead_ends": statement("prefix", """
+SELECT s AS start_id, e AS end_id, array_to_string(w.ids, '>') AS path, w.micro/1e6 AS cost, len(w.ids) AS roads FROM prefix"""),
         "transition_pairs": statement("numbered paths", f"""
 SELECT k.customid, k.trajid, k.timest, k.latitude, k.longitude, k.road_id AS roadID, {snap('k.prob', 9)} AS prob,
   i.road_id AS "succID", array_to_string(p.ids, '>') AS path

@@ -63,11 +63,15 @@ def road_cells(roads: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     )
 
 
-def near_roads(points: DataFrame, cells: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
+def near_roads(
+    points: DataFrame, cells: DataFrame, p: MatchParams = MatchParams(), everywhere: bool = False
+) -> DataFrame:
     """Roads within ``tau`` of each point, with the floored distance: one row per (point, road).
 
-    A point has one cell, so this is an equi-join on the cell followed by the exact distance.  The rows are
-    then laid out by (trajectory, time block), which also serves ranking and the collection per point.
+    A point has one cell, so this is an equi-join on the cell followed by the exact distance.  The result is
+    laid out by (trajectory, time block), which also serves ranking and the collection per point.  With
+    ``everywhere`` the cells, known to be few, are sent to every task: then the points are laid out before the
+    join, and the roads found never move.  Otherwise both sides meet by cell and the roads found are laid out.
     """
     side = float(CELL_RADII * p.tau)
     c = F.col
@@ -92,22 +96,27 @@ def near_roads(points: DataFrame, cells: DataFrame, p: MatchParams = MatchParams
     )
     off_x = c("px") - c("x1") - along * c("dx")
     off_y = c("py") - c("y1") - along * c("dy")
+    if everywhere:
+        placed, cells = placed.repartition(*BLOCK), F.broadcast(cells)
     hits = (
         placed.join(cells, ["cx", "cy"])
         .withColumn("d2", F.pow(off_x, F.lit(2.0)) + F.pow(off_y, F.lit(2.0)))
         .where(c("d2") <= p.tau * p.tau)
     )
+    hits = hits.select(*POINT, "road_id", *ENDS, "d2")
+    if not everywhere:
+        hits = hits.repartition(*BLOCK)
     return (
-        hits.select(*POINT, "road_id", *ENDS, "d2")
-        .repartition(*BLOCK)
-        .groupBy(*POINT, "road_id")
+        hits.groupBy(*POINT, "road_id")
         .agg(F.min("d2").alias("d2"), *[F.first(e).alias(e) for e in ENDS])
         .withColumn("distance", snap(F.greatest(F.sqrt("d2"), F.lit(DISTANCE_FLOOR))))
         .drop("d2")
     )
 
 
-def candidates(points: DataFrame, cells: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
+def candidates(
+    points: DataFrame, cells: DataFrame, p: MatchParams = MatchParams(), everywhere: bool = False
+) -> DataFrame:
     """The ``alpha`` nearest roads of each point with their emission probability.
 
     The probability is the inverse distance over the sum of inverse distances of all roads within ``tau``, so
@@ -119,7 +128,7 @@ def candidates(points: DataFrame, cells: DataFrame, p: MatchParams = MatchParams
     share = 1 / F.col("distance") / F.col("total")
     prob = share if p.emission == "inverse" else gaussian_emission(F.col("distance"))
     return (
-        near_roads(points, cells, p)
+        near_roads(points, cells, p, everywhere)
         .withColumns(
             {
                 "rank": F.row_number().over(by_distance),

@@ -33,17 +33,18 @@ def _positions(array: Column) -> Column:
     return F.transform(array, lambda _, pos: pos)
 
 
-def block_steps(moves: DataFrame) -> DataFrame:
+def block_steps(moves: DataFrame, in_place: bool = False) -> DataFrame:
     """One row per (trajectory, block) with its points in order.
 
     A point holds its candidates; each has its emission and the moves ``into`` it, by candidate of the point
-    before.  A block has at most one point per second, a point at most alpha x alpha moves.
+    before.  A block has at most one point per second, a point at most alpha x alpha moves.  ``in_place`` tells
+    that the moves of a block are already in one task.
     """
     c = F.col
     move = F.struct("i", "k", "road_id", "prev_id", "emit", "move")
+    rows = scored(moves)
     per_point = (
-        scored(moves)
-        .repartition(*BLOCK)
+        (rows if in_place else rows.repartition(*BLOCK))
         .groupBy(*BLOCK, *ORDER, "is_last", "prev_timest")
         .agg(F.array_sort(F.collect_list(move)).alias("moves"), F.max("i").alias("n"))
         .withColumn("m", (F.size("moves") / c("n")).cast("int"))
@@ -278,13 +279,13 @@ def choose_blocks(runs: DataFrame) -> DataFrame:
     )
 
 
-def decode(moves: DataFrame) -> DataFrame:
+def decode(moves: DataFrame, in_place: bool = False) -> DataFrame:
     """The matched road of each point, with the matched road and time of the point before.
 
     If at some point no candidate can be reached, that point and all later ones of the trajectory get none.
     """
     c = F.col
-    runs = stage(block_runs(block_steps(moves)), "blocks")
+    runs = stage(block_runs(block_steps(moves, in_place)), "blocks")
     whole = runs.where(c("whole")).select(*BLOCK, "steps", "states", F.lit(0).alias("entry"))
     cut = (
         runs.where(~c("whole"))

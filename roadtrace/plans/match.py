@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from roadtrace.operators.candidates import candidate_points, candidate_roads, candidates, road_cells
 from roadtrace.operators.decode import decode
@@ -17,9 +16,9 @@ from roadtrace.operators.transitions import linked_points, transitions
 from roadtrace.params import MatchParams
 from roadtrace.staging import small_enough, stage
 
-# A table of road edges up to this many rows (about 130 bytes each) is sent to every task instead of
-# shuffling the points; a larger one is joined by shuffling both sides on the cell, where adaptive execution
-# splits cells that hold too many points.  The rows are counted first.
+# Road tables up to this many rows (about 130 bytes each) are sent to every task, so that neither points nor
+# moves are shuffled for them.  Larger ones are joined by shuffling both sides, where adaptive execution splits
+# keys that hold too many rows.  The rows are counted first, on the written table.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -43,22 +42,39 @@ def selected_points(trajectories: DataFrame, p: MatchParams = MatchParams()) ->
 
 
 def search_cells(roads: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
-    """Grid cells of the roads that may be candidates, marked for broadcast if they are few.
+    """Grid cells of the roads that may be candidates."""
+    return stage(road_cells(connected_roads(roads), p), "cells")
 
-    They are written first, so that counting them costs no second computation.
-    """
-    cells = stage(road_cells(connected_roads(roads), p), "cells")
-    return F.broadcast(cells) if small_enough(cells, BROADCAST_ROWS) else cells
+
+def found_candidates(points: DataFrame, net: Network, p: MatchParams = MatchParams()) -> DataFrame:
+    """Candidate rows of the points."""
+    cells = search_cells(net.roads, p)
+    return candidates(points, cells, p, everywhere=small_enough(cells, BROADCAST_ROWS))
 
 
 def matched_candidates(points: DataFrame, net: Network, p: MatchParams = MatchParams()) -> DataFrame:
-    return candidate_points(candidates(points, search_cells(net.roads, p), p), p)
+    """Points with their candidates, written once: paths, links and moves all read them."""
+    return stage(candidate_points(found_candidates(points, net, p), p), "points")
+
+
+def candidate_paths(points: DataFrame, net: Network, p: MatchParams = MatchParams()) -> DataFrame:
+    """Paths that start at a candidate road, written once."""
+    return stage(neighbor_paths(net.pairs, candidate_roads(points), p), "paths")
+
+
+def scored_moves(
+    points: DataFrame, paths: DataFrame, net: Network, p: MatchParams = MatchParams()
+) -> tuple[DataFrame, bool]:
+    """Moves between candidates, and whether those of a block are in one task."""
+    facts = stage(path_facts(paths, net.roads), "facts")
+    small = small_enough(facts, BROADCAST_ROWS)
+    return transitions(linked_points(points), facts, p, everywhere=small), small
 
 
 def match(trajectories: DataFrame, ways: DataFrame, nodes: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     """Trajectories, ways and nodes to driven roads."""
     net = network(ways, nodes, p)
-    points = stage(matched_candidates(selected_points(trajectories, p), net, p), "points")
-    paths = stage(neighbor_paths(net.pairs, candidate_roads(points), p), "paths")
-    moves = transitions(linked_points(points), path_facts(paths, net.roads), p)
-    return routes(decode(moves), paths)
+    points = matched_candidates(selected_points(trajectories, p), net, p)
+    paths = candidate_paths(points, net, p)
+    moves, in_place = scored_moves(points, paths, net, p)
+    return routes(decode(moves, in_place), paths)
