@@ -20,9 +20,12 @@ ORDER = ["timest", "latitude", "longitude"]
 
 
 def linked_points(points: DataFrame) -> DataFrame:
-    """Points with ``prev`` and ``next`` matched point of their trajectory."""
-    laid_out = points.repartition(*BLOCK)
-    return with_neighbours(laid_out, KEYS, "tblock", ORDER, ["cands"])
+    """Points with ``prev`` and ``next`` matched point of their trajectory.
+
+    The keys are never null here.  Saying so gives both readers of the layout the same plan, so they share it.
+    """
+    named = points.dropna(subset=BLOCK).repartition(*BLOCK)
+    return with_neighbours(named, KEYS, "tblock", ORDER, ["cands"])
 
 
 def transition_pairs(linked: DataFrame) -> DataFrame:
