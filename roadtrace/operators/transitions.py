@@ -24,8 +24,10 @@ def linked_points(points: DataFrame) -> DataFrame:
 
     The keys are never null here.  Saying so gives both readers of the layout the same plan, so they share it.
     """
-    named = points.dropna(subset=BLOCK).repartition(*BLOCK)
-    return with_neighbours(named, KEYS, "tblock", ORDER, ["cands"])
+    named = points
+    for key in BLOCK:
+        named = named.where(F.col(key).isNotNull())
+    return with_neighbours(named.repartition(*BLOCK), KEYS, "tblock", ORDER, ["cands"])
 
 
 def transition_pairs(linked: DataFrame) -> DataFrame:
