@@ -290,7 +290,8 @@ def transition_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def decoded(spark: SparkSession, sf: str) -> DataFrame:
-    return decode(*_moves(spark, sf))
+    moves, in_place = _moves(spark, sf)
+    return decode(moves, P, in_place)
 
 
 def routes(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,11 +1,15 @@
 """Most likely road of every point (Viterbi decoding), in time blocks.
 
-A trajectory is cut into time blocks.  Inside a block a fold keeps, for each possible entry candidate, the
-best score and way to every candidate reached.  Blocks of one trajectory then meet as small matrices (at most
-alpha x alpha numbers each, one row per block) to choose entry and exit of every block, and each block reads
-off its own part.  Scores are whole numbers and ties go to the smaller candidate of the later point first, so
-the outcome is the same as for one pass over the whole trajectory.  Trajectories inside one block, the usual
+A trajectory is cut into time blocks.  Inside a block a fold keeps, for each possible entry candidate, the best
+score of every candidate reached and where it came from.  Blocks of one trajectory then meet as small matrices
+(at most alpha x alpha numbers each, one row per block) to choose entry and exit of every block, and each block
+reads off its own part.  Scores are whole numbers and ties go to the smaller candidate of the later point first,
+so the outcome is the same as for one pass over the whole trajectory.  Trajectories inside one block, the usual
 case, skip the middle step.
+
+A score and the candidate it came from share one number: score * width + (width - 1 - candidate), where width is
+a power of two not below alpha.  The largest of these numbers is the best score, and the first candidate on ties.
+The score of a candidate leaves out its own emission, which is part of every move out of it instead.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from roadtrace.operators.transitions import KEYS, ORDER, scored
 from roadtrace.params import MatchParams
 from roadtrace.staging import stage
 
-WAYS = "array<struct<score:bigint,way:array<int>>>"
+WAYS = "array<struct<score:bigint,final:bigint,way:array<int>>>"
 
 
 def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -33,7 +37,21 @@ def _positions(array: Column) -> Column:
     return F.transform(array, lambda _, pos: pos)
 
 
-def block_steps(moves: DataFrame, in_place: bool = False) -> DataFrame:
+def _width(p: MatchParams) -> int:
+    return 1 << (p.alpha - 1).bit_length()
+
+
+def _score(packed: Column, width: int) -> Column:
+    """The score part, still times ``width``."""
+    return packed.bitwiseAND(F.lit(-width).cast("bigint"))
+
+
+def _origin(packed: Column, width: int) -> Column:
+    """The candidate part."""
+    return (width - 1 - packed.bitwiseAND(F.lit(width - 1).cast("bigint"))).cast("int")
+
+
+def block_steps(moves: DataFrame, p: MatchParams = MatchParams(), in_place: bool = False) -> DataFrame:
     """One row per (trajectory, block) with its points in order.
 
     A point holds its candidates; each has its emission and the moves ``into`` it, by candidate of the point
@@ -41,8 +59,16 @@ def block_steps(moves: DataFrame, in_place: bool = False) -> DataFrame:
     that the moves of a block are already in one task.
     """
     c = F.col
-    move = F.struct("i", "k", "road_id", "prev_id", "emit", "move")
-    rows = scored(moves)
+    width = _width(p)
+    origin = F.coalesce(c("k") - 1, F.lit(0))
+    rows = scored(moves).withColumns(
+        {
+            "move": (c("prev_emit") + c("move")) * width + (width - 1 - origin),
+            "emit": c("emit") * width,
+            "prev_emit": c("prev_emit") * width,
+        }
+    )
+    move = F.struct("i", "k", "road_id", "prev_id", "emit", "prev_emit", "move")
     per_point = (
         (rows if in_place else rows.repartition(*BLOCK))
         .groupBy(*BLOCK, *ORDER, "is_last", "prev_timest")
@@ -55,127 +81,157 @@ def block_steps(moves: DataFrame, in_place: bool = False) -> DataFrame:
                 lambda i: _bind(
                     F.slice("moves", i * c("m") + 1, c("m")),
                     lambda own: F.struct(
-                        own[0]["road_id"].alias("road_id"),
-                        own[0]["emit"].alias("emit"),
-                        F.transform(own, lambda x: x["move"]).alias("into"),
+                        own[0]["road_id"].alias("road_id"), own[0]["emit"].alias("emit"), own["move"].alias("into")
                     ),
                 ),
             ),
         )
-        .withColumn("from_ids", F.transform(F.slice("moves", F.lit(1), c("m")), lambda x: x["prev_id"]))
+        .withColumn("origins", F.slice("moves", F.lit(1), c("m")))
+        .withColumns({"from_ids": c("origins.prev_id"), "from_emits": c("origins.prev_emit")})
     )
-    step = F.struct(*ORDER, "is_last", "prev_timest", "from_ids", "cands")
+    step = F.struct(*ORDER, "is_last", "prev_timest", "from_ids", "from_emits", "cands")
     return per_point.groupBy(*BLOCK).agg(F.array_sort(F.collect_list(step)).alias("steps"))
 
 
-def _forward(steps: Column, entries: Column, entry: Column) -> Column:
+def _forward(steps: Column, entries: Column, entry: Column, width: int) -> Column:
     """Fold over the points of a block, entered at one candidate.
 
-    The state is {alive, n, ways}: after n points, score and way of each candidate.  A way lists the candidates
-    chosen before it, latest first.  When no candidate can be reached the state stays as it was.
+    The result has one array before the first and one after each point, with the packed number of each
+    candidate, null where it cannot be reached.  The state is that growing list and nothing else, so a step
+    copies references only.
     """
-    start = F.transform(
-        _positions(entries),
-        lambda e: F.struct(
-            F.when(e == entry, F.lit(0).cast("bigint")).alias("score"), F.array().cast("array<int>").alias("way")
+    start = F.transform(_positions(entries), lambda e: F.when(e == entry, F.lit(0).cast("bigint")))
+    return F.aggregate(
+        steps,
+        F.array(start),
+        lambda reached, point: F.concat(
+            reached,
+            F.array(
+                F.transform(
+                    point["cands"]["into"],
+                    lambda into: F.array_max(
+                        F.zip_with(F.element_at(reached, -1), into, lambda s, m: _score(s, width) + m)
+                    ),
+                )
+            ),
         ),
     )
-    initial = F.struct(F.lit(True).alias("alive"), F.lit(0).alias("n"), start.cast(WAYS).alias("ways"))
 
-    def best_into(state: Column, cand: Column) -> Column:
-        options = F.transform(
-            state["ways"],
-            lambda w, k: F.struct((w["score"] + F.get(cand["into"], k)).alias("score"), (-k).alias("minus")),
-        )
-        return _bind(
-            F.array_max(options),
-            lambda top: F.struct(
-                (top["score"] + cand["emit"]).alias("score"),
-                F.when(
-                    top["score"].isNotNull(),
-                    F.concat(F.array(-top["minus"]), F.get(state["ways"], -top["minus"])["way"]),
-                ).alias("way"),
-            ),
-        )
 
-    def advance(state: Column, point: Column) -> Column:
-        reached = F.transform(point["cands"], lambda cand: best_into(state, cand)).cast(WAYS)
-        return F.when(
-            state["alive"],
-            _bind(
-                reached,
-                lambda ways: F.when(
-                    F.exists(ways, lambda w: w["score"].isNotNull()),
-                    F.struct(F.lit(True).alias("alive"), (state["n"] + 1).alias("n"), ways.alias("ways")),
-                ).otherwise(
-                    F.struct(F.lit(False).alias("alive"), state["n"].alias("n"), state["ways"].alias("ways"))
-                ),
-            ),
-        ).otherwise(state)
+def _survived(reached: Column) -> Column:
+    """Number of points until no candidate can be reached."""
+    return F.size(F.filter(reached, lambda point: F.exists(point, lambda b: b.isNotNull()))) - 1
+
 
-    return F.aggregate(steps, initial, advance)
+def _emissions(steps: Column, n: Column) -> Column:
+    """Emissions of the candidates of the n-th point; of the point before the block if n is 0."""
+    return F.when(n > 0, F.get(steps, n - 1)["cands"]["emit"]).otherwise(steps[0]["from_emits"])
 
 
-def _best_exit(ways: Column) -> Column:
+def _walk(reached: Column, n: Column, exit_: Column, width: int) -> Column:
+    """Candidates from ``exit_`` at the n-th point back to the entry, latest first."""
+    return F.aggregate(
+        F.reverse(F.slice(reached, F.lit(2), n)),
+        F.array(exit_),
+        lambda way, point: F.concat(way, F.array(_origin(F.get(point, F.element_at(way, -1)), width))),
+    )
+
+
+def _first_best(scores: Column) -> Column:
     """Position of the highest score, the first one on ties."""
-    return -F.array_max(F.transform(ways, lambda w, x: F.struct(w["score"].alias("s"), (-x).alias("minus"))))["minus"]
+    return -F.array_max(F.transform(scores, lambda s, x: F.struct(s.alias("s"), (-x).alias("minus"))))["minus"]
 
 
-def _states(run: Column, exit_: Column) -> Column:
-    """Chosen candidates of the first ``n`` points of a block, in time order."""
-    way = F.get(run["ways"], exit_)["way"]
-    return F.when(
-        run["n"] > 0, F.reverse(F.concat(F.array(exit_), F.slice(way, F.lit(1), run["n"] - 1)))
-    ).otherwise(F.array().cast("array<int>"))
+def _states(reached: Column, exit_: Column, width: int) -> Column:
+    """Chosen candidates of the points of a block, in time order, as far as they can be reached."""
+    return _bind(
+        _survived(reached), lambda n: F.reverse(F.slice(_walk(reached, n, exit_, width), F.lit(1), n))
+    )
 
 
-def block_runs(steps: DataFrame) -> DataFrame:
+def block_runs(steps: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     """The fold of every block from every possible entry; finished at once where the block is a trajectory."""
     c = F.col
+    width = _width(p)
     entries = c("steps")[0]["from_ids"]
     whole = c("steps")[0]["prev_timest"].isNull() & F.element_at("steps", -1)["is_last"]
     runs = steps.withColumn("whole", whole).withColumn(
-        "runs", F.transform(_positions(entries), lambda e: _forward(c("steps"), entries, e))
+        "runs", F.transform(_positions(entries), lambda e: _forward(c("steps"), entries, e, width))
+    )
+    only = c("runs")[0]
+    finals = _bind(
+        _survived(only),
+        lambda n: F.zip_with(F.get(only, n), _emissions(c("steps"), n), lambda b, emit: _score(b, width) + emit),
     )
-    done = F.when(c("whole"), _bind(c("runs")[0], lambda r: _states(r, _best_exit(r["ways"]))))
+    done = F.when(c("whole"), _bind(_first_best(finals), lambda x: _states(only, x, width)))
     return runs.withColumn("states", done).withColumn("runs", F.when(~c("whole"), c("runs")))
 
 
-def choose_blocks(runs: DataFrame) -> DataFrame:
-    """Entry and exit candidate of every block of the trajectories that span several blocks."""
+def _block_matrices(runs: DataFrame, width: int) -> DataFrame:
+    """Per block of the longer trajectories: points survived, and of every (entry, exit) the score without and
+    with the emission at the exit, and the tie rank."""
     c = F.col
-
-    def rank_of(run: Column, e: Column, way: Column, x: Column) -> Column:
-        """How many entries have a smaller way to the same exit; only used to break ties."""
-        mine = F.struct(way.alias("w"), e.alias("e"))
-        others = F.filter(
+    parts = (
+        runs.where(~c("whole"))
+        .select(*BLOCK, "steps", "runs", F.transform("runs", _survived).alias("ns"))
+        .withColumn(
+            "walks",
             F.transform(
                 "runs",
-                lambda r, f: F.when(
-                    r["n"] == run["n"], F.struct(F.get(r["ways"], x)["way"].alias("w"), f.alias("e"))
+                lambda r, e: F.transform(
+                    F.get(r, c("ns")[e]),
+                    lambda b, x: F.when(b.isNotNull(), _walk(r, c("ns")[e], x, width)),
                 ),
             ),
-            lambda o: o.isNotNull() & o["w"].isNotNull() & (o < mine),
         )
-        return F.size(others)
+    )
+
+    def rank_of(e: Column, x: Column, way: Column) -> Column:
+        """How many entries have a smaller way to the same exit; only used to break ties."""
+        mine = F.struct(way.alias("way"), e.alias("e"))
+        others = F.transform(
+            "walks",
+            lambda w, f: F.when(
+                (c("ns")[f] == c("ns")[e]) & F.get(w, x).isNotNull(),
+                F.struct(F.get(w, x).alias("way"), f.alias("e")) < mine,
+            ),
+        )
+        return F.size(F.filter(others, lambda smaller: smaller))
 
     matrix = F.transform(
         "runs",
         lambda r, e: F.struct(
-            r["n"].alias("n"),
+            c("ns")[e].alias("n"),
             F.transform(
-                r["ways"],
-                lambda w, x: F.struct(w["score"].alias("score"), rank_of(r, e, w["way"], x).alias("rank")),
+                F.get(r, c("ns")[e]),
+                lambda b, x: F.struct(
+                    _score(b, width).alias("score"),
+                    (_score(b, width) + F.get(_emissions(c("steps"), c("ns")[e]), x)).alias("final"),
+                    rank_of(e, x, F.get(c("walks")[e], x)).alias("rank"),
+                ),
             ).alias("ways"),
         ),
     )
-    small = runs.where(~c("whole")).select(*BLOCK, F.size("steps").alias("n"), matrix.alias("runs"))
-    per_trajectory = small.groupBy(*KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("tblock", "n", "runs"))).alias("blocks")
+    return parts.select(*BLOCK, F.size("steps").alias("n"), matrix.alias("runs"))
+
+
+def choose_blocks(runs: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
+    """Entry and exit candidate of every block of the trajectories that span several blocks.
+
+    One row per block meets per trajectory; their number is bounded by its time span over the block length.
+    """
+    c = F.col
+    per_trajectory = (
+        _block_matrices(runs, _width(p))
+        .groupBy(*KEYS)
+        .agg(F.array_sort(F.collect_list(F.struct("tblock", "n", "runs"))).alias("blocks"))
     )
+    nothing = F.lit(0).cast("bigint")
     initial = F.struct(
         F.lit(True).alias("alive"),
-        F.array(F.struct(F.lit(0).cast("bigint").alias("score"), F.array().cast("array<int>").alias("way")))
+        F.array(
+            F.struct(nothing.alias("score"), nothing.alias("final"), F.array().cast("array<int>").alias("way"))
+        )
         .cast(WAYS)
         .alias("ways"),
     )
@@ -192,6 +248,7 @@ def choose_blocks(runs: DataFrame) -> DataFrame:
                         (F.get(state["ways"], e)["score"] + w["score"]).alias("score"),
                         (-w["rank"]).alias("minus_rank"),
                         e.alias("e"),
+                        (F.get(state["ways"], e)["score"] + w["final"]).alias("final"),
                     ),
                 ),
             ),
@@ -200,6 +257,7 @@ def choose_blocks(runs: DataFrame) -> DataFrame:
             F.array_max(F.filter(options, lambda o: o["score"].isNotNull())),
             lambda top: F.struct(
                 top["score"].alias("score"),
+                top["final"].alias("final"),
                 F.when(
                     top["score"].isNotNull(), F.concat(F.get(state["ways"], top["e"])["way"], F.array(x))
                 ).alias("way"),
@@ -215,7 +273,7 @@ def choose_blocks(runs: DataFrame) -> DataFrame:
                     r["ways"],
                     lambda w, x: F.struct(
                         r["n"].alias("n"),
-                        (F.get(state["ways"], e)["score"] + w["score"]).alias("score"),
+                        (F.get(state["ways"], e)["score"] + w["final"]).alias("score"),
                         (-x).alias("minus_x"),
                         (-w["rank"]).alias("minus_rank"),
                         e.alias("e"),
@@ -230,6 +288,7 @@ def choose_blocks(runs: DataFrame) -> DataFrame:
                 F.array(
                     F.struct(
                         top["score"].alias("score"),
+                        top["score"].alias("final"),
                         F.concat(F.get(state["ways"], top["e"])["way"], F.array(-top["minus_x"])).alias("way"),
                     )
                 )
@@ -252,11 +311,16 @@ def choose_blocks(runs: DataFrame) -> DataFrame:
                 lambda ways: F.when(
                     F.exists(ways, lambda w: w["score"].isNotNull()),
                     _bind(
-                        F.array_max(F.transform(ways, lambda w: w["score"])),
+                        F.array_max(ways["score"]),
                         lambda top: F.struct(
                             F.lit(True).alias("alive"),
                             F.transform(
-                                ways, lambda w: F.struct((w["score"] - top).alias("score"), w["way"].alias("way"))
+                                ways,
+                                lambda w: F.struct(
+                                    (w["score"] - top).alias("score"),
+                                    (w["final"] - top).alias("final"),
+                                    w["way"].alias("way"),
+                                ),
                             )
                             .cast(WAYS)
                             .alias("ways"),
@@ -266,7 +330,9 @@ def choose_blocks(runs: DataFrame) -> DataFrame:
             ),
         ).otherwise(state)
 
-    final = F.aggregate("blocks", initial, advance, lambda s: F.get(s["ways"], _best_exit(s["ways"]))["way"])
+    final = F.aggregate(
+        "blocks", initial, advance, lambda s: F.get(s["ways"], _first_best(s["ways"]["final"]))["way"]
+    )
     return (
         per_trajectory.select(*KEYS, c("blocks.tblock").alias("tblocks"), final.alias("exits"))
         .select(*KEYS, "tblocks", "exits", F.posexplode("exits").alias("pos", "exit"))
@@ -279,18 +345,18 @@ def choose_blocks(runs: DataFrame) -> DataFrame:
     )
 
 
-def decode(moves: DataFrame, in_place: bool = False) -> DataFrame:
+def decode(moves: DataFrame, p: MatchParams = MatchParams(), in_place: bool = False) -> DataFrame:
     """The matched road of each point, with the matched road and time of the point before.
 
     If at some point no candidate can be reached, that point and all later ones of the trajectory get none.
     """
     c = F.col
-    runs = stage(block_runs(block_steps(moves, in_place)), "blocks")
+    runs = stage(block_runs(block_steps(moves, p, in_place), p), "blocks")
     whole = runs.where(c("whole")).select(*BLOCK, "steps", "states", F.lit(0).alias("entry"))
     cut = (
         runs.where(~c("whole"))
-        .join(choose_blocks(runs), BLOCK)
-        .select(*BLOCK, "steps", _states(F.get("runs", c("entry")), c("exit")).alias("states"), "entry")
+        .join(choose_blocks(runs, p), BLOCK)
+        .select(*BLOCK, "steps", _states(F.get("runs", c("entry")), c("exit"), _width(p)).alias("states"), "entry")
     )
     chosen = whole.unionByName(cut)
     place = F.col("at")

@@ -100,6 +100,7 @@ def transitions(
             c("i.prob").alias("prob"),
             c("k.rank").alias("k"),
             c("start_id").alias("prev_id"),
+            c("k.prob").alias("prev_prob"),
             "route",
             "log_move",
         )
@@ -107,14 +108,14 @@ def transitions(
 
 
 def scored(moves: DataFrame) -> DataFrame:
-    """Whole-number log scores: ``emit`` of the candidate, ``move`` of the transition.
+    """Whole-number log scores: ``emit`` of the candidate, ``prev_emit`` of the one before, ``move`` between them.
 
     The same initial probability for every road would not change any comparison and is left out.
     """
-    first = F.col("k").isNull()
     return moves.withColumns(
         {
             "emit": fixed(F.log("prob"), LOG_SCALE),
-            "move": F.when(first, F.lit(0).cast("bigint")).otherwise(fixed(F.col("log_move"), LOG_SCALE)),
+            "prev_emit": F.coalesce(fixed(F.log("prev_prob"), LOG_SCALE), F.lit(0)),
+            "move": F.when(F.col("k").isNull(), F.lit(0)).otherwise(fixed(F.col("log_move"), LOG_SCALE)),
         }
     )

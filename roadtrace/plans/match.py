@@ -77,4 +77,4 @@ def match(trajectories: DataFrame, ways: DataFrame, nodes: DataFrame, p: MatchPa
     points = matched_candidates(selected_points(trajectories, p), net, p)
     paths = candidate_paths(points, net, p)
     moves, in_place = scored_moves(points, paths, net, p)
-    return routes(decode(moves, in_place), paths)
+    return routes(decode(moves, p, in_place), paths)
