@@ -9,6 +9,7 @@ import pytest
 from roadtrace.operators.decode import decode
 from roadtrace.operators.route import routes
 from roadtrace.operators.transitions import LOG_SCALE
+from roadtrace.params import MatchParams
 
 SCHEMA = (
     "customid string, trajid int, tblock bigint, timest int, latitude double, longitude double, is_last boolean, "
@@ -112,8 +113,8 @@ def test_model_itself_is_optimal():
             assert brute(cands, moves) is None
 
 
-@pytest.mark.parametrize("block", [1, 7, 30, 200, 10**6])
-def test_same_for_every_block_length(spark, block):
+@pytest.mark.parametrize("block, alpha", [(1, 4), (7, 4), (30, 4), (30, 7), (200, 4), (10**6, 4), (10**6, 9)])
+def test_same_for_every_block_length_and_width(spark, block, alpha):
     rng = random.Random(5)
     rows, expected = [], set()
     for n in range(60):
@@ -130,7 +131,7 @@ def test_same_for_every_block_length(spark, block):
             road = cands[at][s][0]
             expected.add((f"u{n}", times[at], road, times[at - 1] if at else None, before, at == length - 1))
             before = road
-    got = decode(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = decode(spark.createDataFrame(rows, SCHEMA), MatchParams(alpha=alpha)).collect()
     assert len(got) == len(expected)
     assert {(r.customid, r.timest, r.road_id, r.prev_timest, r.prev_id, r.is_last) for r in got} == expected
 
