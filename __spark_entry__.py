@@ -13,7 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, HERE)
+# Python workers started from here find the package as well; on a cluster it is shipped with --py-files.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("PYTHONPATH")]))
 
 import oracles  # noqa: E402
 from roadtrace.functions.geo import (  # noqa: E402
@@ -51,6 +54,12 @@ from roadtrace.sources.derived import derived_nodes, derived_pings, derived_ways
 from roadtrace.sources.text import load_text  # noqa: E402
 from roadtrace.staging import staging_folder  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from roadtrace.llm import queries as llm
+except ImportError:
+    corpus_pipeline = llm = None
+
 P = MatchParams()
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -350,6 +359,13 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        **_own_queries(),
+        **({} if llm is None else {**llm.queries(), "pipeline": corpus_pipeline.run}),
+    }
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pings_clean": pings_clean,
         "segments": segments,
@@ -381,4 +397,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """``segment_tag`` has none: its value is a hash that no other engine has."""
-    return oracles.all_statements()
+    return {**oracles.all_statements(), **({} if llm is None else llm.oracle_sql())}
