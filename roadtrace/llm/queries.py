@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadtrace.llm.chat import conversation_digests, format_conversations
 from roadtrace.llm.common import remainder, table
 from roadtrace.llm.language import language_model, predicted_language
 from roadtrace.llm.quality import quality_model, quality_score
+from roadtrace.llm.shards import interleave
 from roadtrace.llm.toxicity import toxicity_model, toxicity_score
+from roadtrace.llm.urls import ALLOW, BLOCK, Rule, judge, labelled_urls
+from roadtrace.llm.urls import train as train_urls
 
 
 def _held_out(divisor: int, value: int):
@@ -29,6 +33,42 @@ def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("*", _verdict())
 
 
+RULES = (
+    Rule(ALLOW, "com", "/"),
+    Rule(BLOCK, "example.com", "/en/"),
+    Rule(ALLOW, "www.example.com", "/en/"),
+    Rule(BLOCK, "net", "/es/"),
+    Rule(BLOCK, "net", "/fr/"),
+)
+
+
+def op3_urls(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return judge(pages, "url", RULES, train_urls(labelled_urls(spark))).drop("url")
+
+
+SHARDS = 40
+
+
+def op5_shards(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(
+        "doc_id",
+        "source",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+    )
+    identity = F.concat_ws("|", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string"))
+    return interleave(docs, SHARDS, F.col("source"), identity).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = toxicity_model(docs, table(spark, sf, "labels"), keep=f"{remainder(5)} <> 0")
@@ -43,11 +83,24 @@ def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op10_chat(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations and one more whose texts hold control strings."""
+    said = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql(
+        "select * from values (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]')"
+        " as t(conv_id, turn, role, text)"
+    )
+    return conversation_digests(format_conversations(said.unionByName(extra)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op3_urls": op3_urls,
+        "op5_shards": op5_shards,
         "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
+        "op10_chat": op10_chat,
     }
 
 
