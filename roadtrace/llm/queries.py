@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roadtrace.llm.chat import conversation_digests, format_conversations
 from roadtrace.llm.common import remainder, table
+from roadtrace.llm.embeddings import near_vectors
 from roadtrace.llm.language import language_model, predicted_language
 from roadtrace.llm.quality import quality_model, quality_score
 from roadtrace.llm.shards import interleave
@@ -47,6 +48,10 @@ def op3_urls(spark: SparkSession, sf: str) -> DataFrame:
     return judge(pages, "url", RULES, train_urls(labelled_urls(spark))).drop("url")
 
 
+def op4_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(table(spark, sf, "embeddings"))
+
+
 SHARDS = 40
 
 
@@ -97,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op3_urls": op3_urls,
+        "op4_embeddings": op4_embeddings,
         "op5_shards": op5_shards,
         "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
