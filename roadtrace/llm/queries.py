@@ -11,6 +11,7 @@ from roadtrace.llm.chat import conversation_digests, format_conversations
 from roadtrace.llm.common import remainder, table
 from roadtrace.llm.embeddings import near_vectors
 from roadtrace.llm.language import language_model, predicted_language
+from roadtrace.llm.minhash import duplicate_classes
 from roadtrace.llm.quality import quality_model, quality_score
 from roadtrace.llm.shards import interleave
 from roadtrace.llm.toxicity import toxicity_model, toxicity_score
@@ -74,6 +75,10 @@ def op5_shards(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op6_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicate_classes(table(spark, sf, "documents")).drop("text_key")
+
+
 def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = toxicity_model(docs, table(spark, sf, "labels"), keep=f"{remainder(5)} <> 0")
@@ -104,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_urls": op3_urls,
         "op4_embeddings": op4_embeddings,
         "op5_shards": op5_shards,
+        "op6_near_duplicates": op6_near_duplicates,
         "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
         "op10_chat": op10_chat,
