@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from roadtrace.llm.chat import conversation_digests, format_conversations
 from roadtrace.llm.common import remainder, table
+from roadtrace.llm.decontaminate import leaks
 from roadtrace.llm.embeddings import near_vectors
 from roadtrace.llm.language import language_model, predicted_language
 from roadtrace.llm.minhash import duplicate_classes
+from roadtrace.llm.packing import pack
 from roadtrace.llm.quality import quality_model, quality_score
 from roadtrace.llm.shards import interleave
 from roadtrace.llm.toxicity import toxicity_model, toxicity_score
@@ -35,6 +37,10 @@ def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("*", _verdict())
 
 
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("text_key")
+
+
 RULES = (
     Rule(ALLOW, "com", "/"),
     Rule(BLOCK, "example.com", "/en/"),
@@ -79,6 +85,17 @@ def op6_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return duplicate_classes(table(spark, sf, "documents")).drop("text_key")
 
 
+def vocabulary() -> str:
+    """Path of the byte-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(table(spark, sf, "documents"), vocabulary()).drop("ids")
+
+
 def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = toxicity_model(docs, table(spark, sf, "labels"), keep=f"{remainder(5)} <> 0")
@@ -106,10 +123,12 @@ def op10_chat(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_decontamination": op2_decontamination,
         "op3_urls": op3_urls,
         "op4_embeddings": op4_embeddings,
         "op5_shards": op5_shards,
         "op6_near_duplicates": op6_near_duplicates,
+        "op7_packing": op7_packing,
         "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
         "op10_chat": op10_chat,
