@@ -1,37 +1,83 @@
 """Documents to packed training sequences, in five stages.
 
-Each stage gets the documents that the one before kept, as a written table, and works on all of them.
+Each stage gets the documents that the one before kept, as a written table, and works on all of them.  All but the last
+return the columns of ``documents``; the last returns packed pieces.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadtrace.llm.common import table
+from roadtrace.llm.decontaminate import without_leaks
 from roadtrace.llm.language import UNKNOWN, language_model, predicted_language
+from roadtrace.llm.minhash import without_duplicates
+from roadtrace.llm.packing import pack
+from roadtrace.llm.queries import vocabulary
 from roadtrace.llm.toxicity import toxicity_model, toxicity_score
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half; all columns stay.  Null and empty texts are kept."""
+    """Documents whose toxicity score is below one half.  Learnt from all labels of documents at hand.
+
+    Without labels nothing is toxic.  Null, empty and wordless texts have no toxic window and stay.
+    """
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity_score(F.col("text"), model) < 0.5)
 
 
 def drop_languageless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; those without any letter, null and empty ones go."""
+    """Documents with a language: null texts and texts without any letter go.
+
+    If no document says its language, none can be learnt, and documents with a letter stay.
+    """
     model = language_model(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return docs.where(predicted_language(F.col("text"), model, docs)["lang"] != UNKNOWN)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal or similar texts: the one with the smallest id; one of repeated rows."""
+    return without_duplicates(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed pieces with their token ids."""
+    return pack(docs, vocabulary())
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("language", drop_languageless),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("packing", pack_sequences),
 ]
+# Trained models and signatures are no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared folder and read again."""
-    raise NotImplementedError
+    """All stages over ``documents``.
+
+    What a stage keeps is written to the folder that all executors share (``spark.checkpoint.dir``, a temporary one
+    only where that is unset, as in tests) and read again by the next.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    folder = f"{(named or tempfile.mkdtemp(prefix='roadtrace-')).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
