@@ -18,6 +18,7 @@ sys.path.insert(0, HERE)
 # Python workers started from here find the package as well; on a cluster it is shipped with --py-files.
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("PYTHONPATH")]))
 
+import derived  # noqa: E402
 import oracles  # noqa: E402
 from roadtrace.functions.geo import (  # noqa: E402
     flat_km,
@@ -50,9 +51,10 @@ from roadtrace.plans.match import (  # noqa: E402
     network,
     scored_moves,
 )
-from roadtrace.sources.derived import derived_nodes, derived_pings, derived_ways  # noqa: E402
-from roadtrace.sources.text import load_text  # noqa: E402
-from roadtrace.staging import staging_folder  # noqa: E402
+from roadtrace.sources.readers import read_nodes, read_pings, read_trajectories, read_ways  # noqa: E402
+from roadtrace.sources.sinks import write_csv, write_matches, write_segments  # noqa: E402
+from roadtrace.sources.text import parse_text  # noqa: E402
+from roadtrace.staging import shared_folder  # noqa: E402
 
 try:
     import corpus_pipeline
@@ -60,10 +62,23 @@ try:
 except ImportError:
     corpus_pipeline = llm = None
 
-P = MatchParams()
+P = MatchParams.from_args(["alpha=4", "beta=10", "tau=100", "theta=4", "gamma=200"])
+GAUSSIAN = MatchParams(tau=500, emission="gaussian")
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
+def derived_ways(spark: SparkSession, sf: str) -> DataFrame:
+    return read_ways(spark, derived.derived_ways(spark, sf))
+
+
+def derived_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return read_nodes(spark, derived.derived_nodes(spark, sf))
+
+
+def derived_pings(spark: SparkSession, sf: str) -> DataFrame:
+    return read_pings(spark, derived.derived_pings(spark, sf))
+
+
 def _roads(spark: SparkSession, sf: str) -> DataFrame:
     return build_roads(derived_ways(spark, sf), derived_nodes(spark, sf))
 
@@ -90,7 +105,7 @@ def _points_of(spark: SparkSession, sf: str):
     return net, matched_candidates(_points(spark, sf), net, P)
 
 
-def _moves(spark: SparkSession, sf: str):
+def _moves(spark: SparkSession, sf: str) -> DataFrame:
     net, points = _points_of(spark, sf)
     return scored_moves(points, candidate_paths(points, net, P), net, P)
 
@@ -281,9 +296,8 @@ def pair_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def transition_rows(spark: SparkSession, sf: str) -> DataFrame:
-    moves, _ = _moves(spark, sf)
     return (
-        moves
+        _moves(spark, sf)
         .where(F.col("k").isNotNull())
         .select(
             "customid",
@@ -299,22 +313,17 @@ def transition_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def decoded(spark: SparkSession, sf: str) -> DataFrame:
-    moves, in_place = _moves(spark, sf)
-    return decode(moves, P, in_place)
+    return decode(_moves(spark, sf), P)
 
 
-def routes(spark: SparkSession, sf: str) -> DataFrame:
-    return match(_segments(spark, sf), derived_ways(spark, sf), derived_nodes(spark, sf), P)
+def decoded_gaussian(spark: SparkSession, sf: str) -> DataFrame:
+    net = _network(spark, sf)
+    points = matched_candidates(_points(spark, sf), net, GAUSSIAN)
+    return decode(scored_moves(points, candidate_paths(points, net, GAUSSIAN), net, GAUSSIAN), GAUSSIAN)
 
 
-def _text_folder(spark: SparkSession, lines: DataFrame, name: str) -> str:
-    """Write lines of text to a fresh folder."""
-    shared = staging_folder(spark)
-    if shared is None:
-        raise RuntimeError("this query writes text files and needs spark.checkpoint.dir")
-    path = f"{shared}/{name}-{uuid.uuid4().hex}"
-    lines.write.text(path)
-    return path
+def routes(spark: SparkSession, sf: str) -> DataFrame:
+    return match(_segments(spark, sf), derived_ways(spark, sf), derived_nodes(spark, sf), P)
 
 
 def _head(df: DataFrame) -> list:
@@ -324,7 +333,7 @@ def _head(df: DataFrame) -> list:
 def load_ways(spark: SparkSession, sf: str) -> DataFrame:
     ways = derived_ways(spark, sf)
     lines = ways.select(F.concat_ws(",", *_head(ways), F.to_json("tags"), F.to_json("nodes")).alias("value"))
-    return load_text(spark, _text_folder(spark, lines, "ways-text"), "ways").select(
+    return parse_text(lines, "ways").select(
         "id",
         "version",
         F.col("tags")["highway"].alias("highway"),
@@ -340,7 +349,7 @@ def load_nodes(spark: SparkSession, sf: str) -> DataFrame:
             ",", *_head(nodes), F.to_json("tags"), F.col("latitude").cast("string"), F.col("longitude").cast("string")
         ).alias("value")
     )
-    return load_text(spark, _text_folder(spark, lines, "nodes-text"), "nodes").select(
+    return parse_text(lines, "nodes").select(
         "id", "version", F.size("tags").alias("n_tags"), "latitude", "longitude"
     )
 
@@ -348,11 +357,31 @@ def load_nodes(spark: SparkSession, sf: str) -> DataFrame:
 def load_trajectories(spark: SparkSession, sf: str) -> DataFrame:
     points = _points(spark, sf)
     lines = points.select(F.concat_ws(",", *[F.col(n).cast("string") for n in points.columns]).alias("value"))
-    loaded = load_text(spark, _text_folder(spark, lines, "trajectories-text"), "trajectories")
+    loaded = read_trajectories(spark, parse_text(lines, "trajectories"))
     lat, lon = parse_point(F.col("geojson"))
     return loaded.withColumns({"json_lon": lon, "json_lat": lat}).drop("geojson")
 
 
+def sink_matches(spark: SparkSession, sf: str) -> DataFrame:
+    write_matches(routes(spark, sf), "roadtrace_matches")
+    return spark.table("roadtrace_matches")
+
+
+def sink_segments(spark: SparkSession, sf: str) -> DataFrame:
+    write_segments(_segments(spark, sf), "roadtrace_segments")
+    return spark.table("roadtrace_segments").drop("rnd", "weekday", "dayhour", "geojson")
+
+
+def sink_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Roads with their nodes as JSON in comma-separated text, read back."""
+    path = f"{shared_folder(spark)}/roads-csv-{uuid.uuid4().hex}"
+    write_csv(_roads(spark, sf).select("road_id", "nodes", F.col("tags")["highway"].alias("highway")), path)
+    back = spark.read.schema("road_id string, nodes string, highway string").option("header", True).option("escape", "\\")
+    return back.csv(path).select(
+        "road_id", F.array_join(F.from_json("nodes", "array<string>"), ",").alias("nodes"), "highway"
+    )
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Driven roads of every trajectory in the smallest test tables."""
     return routes(spark, SMOKE_DIR)
@@ -388,13 +417,16 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "transition_pairs": pair_rows,
         "transitions": transition_rows,
         "decoded": decoded,
+        "decoded_gaussian": decoded_gaussian,
         "routes": routes,
         "load_ways": load_ways,
         "load_nodes": load_nodes,
         "load_trajectories": load_trajectories,
+        "sink_matches": sink_matches,
+        "sink_segments": sink_segments,
+        "sink_csv": sink_csv,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """``segment_tag`` has none: its value is a hash that no other engine has."""
     return {**oracles.all_statements(), **({} if llm is None else llm.oracle_sql())}

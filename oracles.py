@@ -7,6 +7,7 @@ one decoding pass over whole trajectories.  Each query is one statement built fr
 from __future__ import annotations
 
 import math
+import re
 
 PI4 = repr(math.pi / 4)
 PI2 = repr(math.pi / 2)
@@ -94,8 +95,8 @@ SELECT 'WV'||k, k, 40 FROM (SELECT p_partkey k FROM part)
 WHERE (k%40)%2=0 AND (k//40)%2=0 AND k+80 <= (SELECT max(p_partkey) FROM part)""")
 
 part("tagged", "way", """
-SELECT *, ['motorway','trunk','primary','secondary','tertiary','unclassified','residential','residential','service']
-  [k%9+1] AS highway FROM way""")
+SELECT *, CASE WHEN k%45=1 THEN 'service' ELSE usual END AS highway FROM (SELECT *, ['motorway','trunk','primary','secondary','tertiary','unclassified','residential','residential','service']
+  [k%9+1] AS usual FROM way)""")
 
 part("way_node", "tagged", """
 SELECT id AS road_id, highway, pos, 'N'||(k+pos*step) AS node_id FROM tagged, (SELECT unnest([0,1,2]) AS pos)
@@ -123,10 +124,12 @@ SELECT road_id, {east('lon')} x1, {north('lat')} y1, {east('lon2')} x2, {north('
 WHERE lat2 IS NOT NULL AND road_id IN (SELECT road_id FROM adj)""")
 
 part("ping", "", """
-SELECT 'u'||user_id AS customid, (1504300000 + 5*(k - CASE WHEN event_id%50=0 AND k>0 THEN 1 ELSE 0 END) + 3600*(k//40))::int AS timestamp,
+SELECT 'u'||user_id AS customid, (1504300000 + CASE WHEN user_id%6=0
+    THEN 10*(k - CASE WHEN event_id%50=0 AND k>0 THEN 1 ELSE 0 END)
+    ELSE 5*(k - CASE WHEN event_id%50=0 AND k>0 THEN 1 ELSE 0 END) + 3600*(k//40) END)::int AS timestamp,
   45.44::double + 0.0005::double*(user_id % (SELECT max(p_partkey)//40+1 FROM part)) + 0.00002::double*(event_id%7-3)
     + (CASE WHEN event_id%37=0 THEN 1 ELSE 0 END)*0.003::double AS latitude,
-  9.1402::double + 0.0006::double*(k%40) + 0.00002::double*(event_id%5-2) AS longitude,
+  9.1402::double + (CASE WHEN user_id%6=0 THEN 0.001::double*least(k%48, 48-k%48) ELSE 0.0006::double*(k%40) END) + 0.00002::double*(event_id%5-2) AS longitude,
   (event_id%110)::int AS accuracy
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 AS k FROM events)""")
 
@@ -299,14 +302,41 @@ FROM (SELECT customid, trajid, way, unnest(range(1, len(way)+1)) AS n FROM best)
 JOIN numbered i ON i.customid=b.customid AND i.trajid=b.trajid AND i.n=b.n AND i.rank=b.way[b.n]
 LEFT JOIN numbered k ON k.customid=b.customid AND k.trajid=b.trajid AND k.n=b.n-1 AND k.rank=b.way[b.n-1]""")
 
+# The same with a search radius of 500 and the normal density, under names that begin with far_.
+FAR = ("hit", "cand", "chorded", "dropped", "footed", "point", "numbered", "move", "score", "recursion", "best", "dec", "fact",
+       "paths", "path0", "path1", "path2", "path3", "path4")
+
+
+def far(text: str) -> str:
+    text = re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(FAR)})\b", r"\1\2far_\3", text)
+    return text.replace("px-100", "px-500").replace("px+100", "px+500").replace("py-100", "py-500").replace(
+        "py+100", "py+500").replace("d <= 100", "d <= 500")
+
+
+for _name in FAR:
+    _needs, _body = PARTS[_name]
+    part(f"far_{_name}", " ".join(f"far_{n}" if n in FAR else n for n in _needs), far(_body))
+_density = "-0.5::double*(distance/10)*(distance/10)"
+part("far_cand", "far_hit", f"""
+SELECT *, {1 / (math.sqrt(2 * math.pi) * 10)!r}::double*exp({_density}) AS prob,
+  {_density} - {math.log(math.sqrt(2 * math.pi) * 10)!r}::double AS log_prob FROM (
+  SELECT *, row_number() OVER (PARTITION BY customid, trajid, timest ORDER BY distance, road_id) AS rank FROM far_hit)
+WHERE rank <= 4""")
+part("far_score", "far_move", f"""
+SELECT m.*, floor((-0.5::double*(c.distance/10)*(c.distance/10) - {math.log(math.sqrt(2 * math.pi) * 10)!r}::double)*1e9+0.5::double)::bigint
+  AS emit, floor(log_move*1e9+0.5::double)::bigint AS step
+FROM far_move m JOIN far_cand c USING (customid, trajid, timest, road_id)""")
+
 SEG_COLUMNS = "customid, timest, latitude, longitude, accuracy, timediff, spacediff, speed, speeddiff, trajid"
 
 
 def all_statements() -> dict[str, str]:
     utc = "timest + CASE WHEN timest < 1509238800 THEN 7200 ELSE 3600 END"
-    return {
+    found = {
         "pings_clean": statement("clean", "SELECT * FROM clean"),
         "segments": statement("seg", f"SELECT {SEG_COLUMNS}, 'in' AS status FROM seg"),
+        "segment_tag": statement("seg", """
+SELECT customid, timest, ('0x'||md5(customid||'|'||timest)[1:5])::int / 1048576.0::double AS rnd FROM seg"""),
         "segment_calendar": statement("seg", f"""
 SELECT customid, timest, (({utc})//86400 + 4) % 7 + 1 AS weekday, ({utc}) % 86400 // 3600 AS dayhour,
   '{{"type":"Point","coordinates":[' || longitude || ',' || latitude || ']}}' AS geojson FROM seg"""),
@@ -326,8 +356,9 @@ SELECT road_id, neighbour_id, {snap('length', 3)} AS length, {snap('neighbour_le
 SELECT road_id, {snap('any_value(length)', 3)} AS length, count(*) AS n,
   string_agg(neighbour_id, ',' ORDER BY neighbour_id) AS neighbours FROM adj GROUP BY road_id"""),
         "road_features": statement("road adj", f"""
-SELECT road_id, 'noName' AS name, highway, 'yes' AS oneway, n_points, {snap('length', 3)} AS length, lon0 AS first_lon,
-  lat0 AS first_lat FROM road WHERE road_id IN (SELECT road_id FROM adj)"""),
+SELECT road_id, CASE WHEN k%4=0 THEN 'Via '||k ELSE 'noName' END AS name, highway,
+  CASE WHEN k%3=0 THEN 'no' ELSE 'yes' END AS oneway, n_points, {snap('length', 3)} AS length, lon0 AS first_lon,
+  lat0 AS first_lat FROM (SELECT *, road_id[3:]::bigint AS k FROM road) WHERE road_id IN (SELECT road_id FROM adj)"""),
         "projected_points": statement("good", f"""
 SELECT customid, trajid, timest, {snap(east('longitude'), 3)} AS x, {snap(north('latitude'), 3)} AS y,
   {snap(east('latitude'), 3)} AS swapped_x, {snap(north('longitude'), 3)} AS swapped_y, {snap('latitude', 6)} AS back_lat,
@@ -361,6 +392,7 @@ LEFT JOIN paths p ON p.start_id=k.road_id AND p.end_id=i.road_id"""),
 SELECT customid, trajid, prev_timest, timest, prev_id, road_id, {snap('route', 3)} AS route,
   {snap('coalesce(exp(log_move), 0)', 6)} AS prob FROM move WHERE k IS NOT NULL"""),
         "decoded": statement("dec", "SELECT * FROM dec"),
+        "decoded_gaussian": statement("far_dec", "SELECT * FROM far_dec"),
         "routes": statement("dec paths", """
 SELECT customid, trajid, timest, "roadID", seq FROM (
   SELECT d.customid, d.trajid, d.prev_timest AS timest, unnest(p.ids[1:p.roads-1]) AS "roadID",
@@ -368,9 +400,18 @@ SELECT customid, trajid, timest, "roadID", seq FROM (
   FROM dec d JOIN paths p ON p.start_id=d.prev_id AND p.end_id=d.road_id WHERE d.prev_id <> d.road_id
   UNION ALL SELECT customid, trajid, timest, road_id, 0 FROM dec WHERE is_last)"""),
         "load_ways": statement("tagged", """
-SELECT id, 1 AS version, highway, 'yes' AS oneway, 'N'||k||','||'N'||(k+step)||','||'N'||(k+2*step) AS nodes FROM tagged"""),
+SELECT id, version, CASE WHEN version=2 THEN highway WHEN k%45=1 THEN 'residential' ELSE 'service' END AS highway,
+  CASE WHEN k%3=0 THEN 'no' ELSE 'yes' END AS oneway, 'N'||k||','||'N'||(k+step)||','||'N'||(k+2*step) AS nodes
+FROM tagged, (SELECT unnest([1,2]) AS version)
+WHERE version=2 OR k%45=1 OR k%35=2"""),
         "load_nodes": statement("node", "SELECT id, 1 AS version, 0 AS n_tags, latitude, longitude FROM node"),
         "load_trajectories": statement("good", f"""
 SELECT customid, trajid, timest, latitude, longitude, timediff, spacediff, speed, longitude AS json_lon, latitude AS json_lat
 FROM good"""),
     }
+    found["sink_matches"] = found["routes"]
+    found["sink_segments"] = found["segments"]
+    found["sink_csv"] = statement("road tagged", """
+SELECT road_id, 'N'||k||','||'N'||(k+step)||','||'N'||(k+2*step) AS nodes, t.highway
+FROM road JOIN tagged t ON road_id = t.id""")
+    return found

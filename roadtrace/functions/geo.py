@@ -100,22 +100,18 @@ def unproject(x: Column, y: Column, frame: str = "mercator") -> tuple[Column, Co
     raise ValueError(f"frame must be one of {FRAMES}")
 
 
-def edge_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Planar distance of a point from a straight edge."""
-    dx, dy = x2 - x1, y2 - y1
-    square = dx * dx + dy * dy
-    along = F.when(square > 0, ((px - x1) * dx + (py - y1) * dy) / square).otherwise(F.lit(0.0))
-    along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    ex, ey = px - (x1 + along * dx), py - (y1 + along * dy)
-    return F.sqrt(ex * ex + ey * ey)
-
-
 def gaussian_emission(distance: Column, sigma: float = GPS_SIGMA) -> Column:
     """Normal density of the distance, an alternative to the inverse-distance emission."""
     z = distance / F.lit(sigma)
     return F.lit(1.0 / (math.sqrt(2 * math.pi) * sigma)) * F.exp(F.lit(-0.5) * z * z)
 
 
+def log_gaussian_emission(distance: Column, sigma: float = GPS_SIGMA) -> Column:
+    """Its natural logarithm, finite at any distance."""
+    z = distance / F.lit(sigma)
+    return F.lit(-0.5) * z * z - F.lit(math.log(math.sqrt(2 * math.pi) * sigma))
+
+
 def with_foot(df: DataFrame, point: tuple[str, str], chord: tuple[str, str, str, str], frame: str = "swapped",
               prefix: str = "foot") -> DataFrame:
     """Add ``<prefix>_lat`` and ``<prefix>_lon``: the foot of the perpendicular from a point to a chord.

@@ -2,6 +2,9 @@
 
     jobs.py match alpha=4 beta=10 tau=100 theta=4 gamma=200 [top50]
     jobs.py segment <ping table> <output table>
+    jobs.py load <ways, nodes or trajectories> <text files> <output table>
+
+Tables are those of the session's metastore.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from roadtrace.params import MatchParams
 from roadtrace.plans.match import match
 from roadtrace.sources.readers import read_nodes, read_pings, read_trajectories, read_ways
 from roadtrace.sources.sinks import write_matches, write_segments
+from roadtrace.sources.text import load_text
 
 # Names of the input and output tables.
 WAYS_TABLE = "osmwaysmilan"
@@ -40,11 +44,17 @@ def run_segment(spark: SparkSession, args: list[str]) -> None:
     write_segments(segment(read_pings(spark, source)), target)
 
 
+def run_load(spark: SparkSession, args: list[str]) -> None:
+    """Comma-separated text into a table that the other programs read."""
+    kind, path, target = args
+    load_text(spark, path, kind).write.mode("overwrite").saveAsTable(target)
+
+
 def main(args: list[str]) -> None:
-    programs = {"match": run_match, "segment": run_segment}
+    programs = {"match": run_match, "segment": run_segment, "load": run_load}
     if not args or args[0] not in programs:
         raise SystemExit(__doc__)
-    spark = SparkSession.builder.appName(f"roadtrace {args[0]}").getOrCreate()
+    spark = SparkSession.builder.appName(f"roadtrace {args[0]}").enableHiveSupport().getOrCreate()
     programs[args[0]](spark, args[1:])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadtrace.functions.geo import gaussian_emission, haversine_m, project, snap, with_foot
+from roadtrace.functions.geo import gaussian_emission, haversine_m, log_gaussian_emission, project, snap, with_foot
 from roadtrace.operators.blocks import time_block
 from roadtrace.params import DISTANCE_FLOOR, MatchParams
 
@@ -63,15 +63,12 @@ def road_cells(roads: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     )
 
 
-def near_roads(
-    points: DataFrame, cells: DataFrame, p: MatchParams = MatchParams(), everywhere: bool = False
-) -> DataFrame:
+def near_roads(points: DataFrame, cells: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     """Roads within ``tau`` of each point, with the floored distance: one row per (point, road).
 
-    A point has one cell, so this is an equi-join on the cell followed by the exact distance.  The result is
-    laid out by (trajectory, time block), which also serves ranking and the collection per point.  With
-    ``everywhere`` the cells, known to be few, are sent to every task: then the points are laid out before the
-    join, and the roads found never move.  Otherwise both sides meet by cell and the roads found are laid out.
+    A point has one cell, so this is an equi-join on the cell followed by the exact distance.  How the cells reach
+    the points is left to Spark, which measures them and splits crowded cells.  The roads found are laid out by
+    (trajectory, time block), which also serves ranking and the collection per point.
     """
     side = float(CELL_RADII * p.tau)
     c = F.col
@@ -96,16 +93,12 @@ def near_roads(
     )
     off_x = c("px") - c("x1") - along * c("dx")
     off_y = c("py") - c("y1") - along * c("dy")
-    if everywhere:
-        placed, cells = placed.repartition(*BLOCK), F.broadcast(cells)
     hits = (
         placed.join(cells, ["cx", "cy"])
         .withColumn("d2", F.pow(off_x, F.lit(2.0)) + F.pow(off_y, F.lit(2.0)))
         .where(c("d2") <= p.tau * p.tau)
     )
-    hits = hits.select(*POINT, "road_id", *ENDS, "d2")
-    if not everywhere:
-        hits = hits.repartition(*BLOCK)
+    hits = hits.select(*POINT, "road_id", *ENDS, "d2").repartition(*BLOCK)
     return (
         hits.groupBy(*POINT, "road_id")
         .agg(F.min("d2").alias("d2"), *[F.first(e).alias(e) for e in ENDS])
@@ -114,21 +107,21 @@ def near_roads(
     )
 
 
-def candidates(
-    points: DataFrame, cells: DataFrame, p: MatchParams = MatchParams(), everywhere: bool = False
-) -> DataFrame:
+def candidates(points: DataFrame, cells: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     """The ``alpha`` nearest roads of each point with their emission probability.
 
     The probability is the inverse distance over the sum of inverse distances of all roads within ``tau``, so
-    the kept ones may sum to less than 1.  Equal distances go to the smaller road id.  Points with no road
-    vanish.
+    the kept ones may sum to less than 1.  ``log_prob`` is its logarithm, in closed form for the normal density, which
+    itself becomes 0 far away.  Equal distances go to the smaller road id.  Points with no road vanish.
     """
     by_distance = Window.partitionBy(*BLOCK, "timest").orderBy("distance", "road_id")
     everything = by_distance.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     share = 1 / F.col("distance") / F.col("total")
-    prob = share if p.emission == "inverse" else gaussian_emission(F.col("distance"))
+    inverse = p.emission == "inverse"
+    prob = share if inverse else gaussian_emission(F.col("distance"))
+    log_prob = F.log(share) if inverse else log_gaussian_emission(F.col("distance"))
     return (
-        near_roads(points, cells, p, everywhere)
+        near_roads(points, cells, p)
         .withColumns(
             {
                 "rank": F.row_number().over(by_distance),
@@ -136,7 +129,7 @@ def candidates(
             }
         )
         .where(F.col("rank") <= p.alpha)
-        .withColumn("prob", prob)
+        .withColumns({"prob": prob, "log_prob": log_prob})
         .drop("total")
     )
 
@@ -159,7 +152,7 @@ def candidate_points(found: DataFrame, p: MatchParams = MatchParams()) -> DataFr
             "near0": haversine_m(*here, *end0) < haversine_m(*here, *end1),
         }
     )
-    one = F.struct("rank", "road_id", "prob", "foot_lat", "foot_lon", "to0", "to1", "near0")
+    one = F.struct("rank", "road_id", "prob", "log_prob", "foot_lat", "foot_lon", "to0", "to1", "near0")
     return footed.groupBy(*POINT).agg(F.array_sort(F.collect_list(one)).alias("cands"))
 
 

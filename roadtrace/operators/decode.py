@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from roadtrace.operators.candidates import BLOCK
 from roadtrace.operators.transitions import KEYS, ORDER, scored
 from roadtrace.params import MatchParams
-from roadtrace.staging import stage
+from roadtrace.staging import staged
 
 WAYS = "array<struct<score:bigint,final:bigint,way:array<int>>>"
 
@@ -51,12 +51,11 @@ def _origin(packed: Column, width: int) -> Column:
     return (width - 1 - packed.bitwiseAND(F.lit(width - 1).cast("bigint"))).cast("int")
 
 
-def block_steps(moves: DataFrame, p: MatchParams = MatchParams(), in_place: bool = False) -> DataFrame:
+def block_steps(moves: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     """One row per (trajectory, block) with its points in order.
 
     A point holds its candidates; each has its emission and the moves ``into`` it, by candidate of the point
-    before.  A block has at most one point per second, a point at most alpha x alpha moves.  ``in_place`` tells
-    that the moves of a block are already in one task.
+    before.  A block has at most one point per second, a point at most alpha x alpha moves.
     """
     c = F.col
     width = _width(p)
@@ -70,7 +69,7 @@ def block_steps(moves: DataFrame, p: MatchParams = MatchParams(), in_place: bool
     )
     move = F.struct("i", "k", "road_id", "prev_id", "emit", "prev_emit", "move")
     per_point = (
-        (rows if in_place else rows.repartition(*BLOCK))
+        rows.repartition(*BLOCK)
         .groupBy(*BLOCK, *ORDER, "is_last", "prev_timest")
         .agg(F.array_sort(F.collect_list(move)).alias("moves"), F.max("i").alias("n"))
         .withColumn("m", (F.size("moves") / c("n")).cast("int"))
@@ -345,13 +344,13 @@ def choose_blocks(runs: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     )
 
 
-def decode(moves: DataFrame, p: MatchParams = MatchParams(), in_place: bool = False) -> DataFrame:
+def decode(moves: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     """The matched road of each point, with the matched road and time of the point before.
 
     If at some point no candidate can be reached, that point and all later ones of the trajectory get none.
     """
     c = F.col
-    runs = stage(block_runs(block_steps(moves, p, in_place), p), "blocks")
+    runs = staged(block_runs(block_steps(moves, p), p))
     whole = runs.where(c("whole")).select(*BLOCK, "steps", "states", F.lit(0).alias("entry"))
     cut = (
         runs.where(~c("whole"))

@@ -10,13 +10,13 @@ from roadtrace.params import ROAD_CLASSES
 
 
 def road_ways(ways: DataFrame) -> DataFrame:
-    """Ways of a drivable class, the latest version of each."""
-    chosen = ways.where(F.col("tags")["highway"].isin(*ROAD_CLASSES))
+    """Ways whose latest version is of a drivable class; that version of each."""
     record = F.struct("timestamp", "version", "changesetid", "tags", "nodes")
     newest = F.struct("version", "timestamp", "changesetid")
     return (
-        chosen.groupBy(F.col("id").alias("road_id"))
+        ways.groupBy(F.col("id").alias("road_id"))
         .agg(F.max_by(record, newest).alias("w"))
+        .where(F.col("w.tags")["highway"].isin(*ROAD_CLASSES))
         .select("road_id", "w.*")
     )
 

@@ -135,6 +135,12 @@ def _user_blocks(motion: DataFrame, p: SegmentParams) -> DataFrame:
     )
 
 
+def _tag(user: Column, second: Column) -> Column:
+    """A number from 0 up to 1 that depends on user and time alone: the first five hexadecimal digits of a digest."""
+    digest = F.md5(F.concat_ws("|", user, second.cast("string")))
+    return F.conv(F.substring(digest, 1, 5), 16, 10).cast("double") / float(16**5)
+
+
 def segment(pings: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
     """Raw pings to trajectories with speed, spacing, calendar and outlier columns.
 
@@ -173,7 +179,7 @@ def segment(pings: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
         floor_to(c("speed"), p.digits).alias("speed"),
         floor_to(c("speed") - c("v1"), p.digits).alias("speeddiff"),
         (c("started") + c("begun") - 1).cast("int").alias("trajid"),
-        (F.pmod(F.xxhash64("customid", "timest"), F.lit(1000000)) / 1000000).alias("rnd"),
+        _tag(c("customid"), c("timest")).alias("rnd"),
         F.dayofweek(clock).alias("weekday"),
         F.hour(clock).alias("dayhour"),
         point_geojson(lat, lon, p.digits).alias("geojson"),

@@ -45,17 +45,12 @@ def pairs_with_paths(pairs: DataFrame, paths: DataFrame) -> DataFrame:
     return pairs.join(links, ["road_id", "succ_id"], "left")
 
 
-def transitions(
-    linked: DataFrame, facts: DataFrame, p: MatchParams = MatchParams(), everywhere: bool = False
-) -> DataFrame:
+def transitions(linked: DataFrame, facts: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     """Every move into a point: candidate k of the point before, candidate i of this one, log probability.
 
     The route length is the path length with the first and last road cut at the feet of the two points.  The
     log probability compares it with the distance of the points; it is null where no path connects the roads.
     The first point of a trajectory has one row per candidate with no ``k``.
-
-    With ``everywhere`` the path facts, known to be few, are sent to every task and the moves stay where their
-    points are; otherwise both sides meet by road pair.
     """
     c = F.col
     spread = (
@@ -73,7 +68,6 @@ def transitions(
         .drop("before")
         .withColumns({"start_id": c("k.road_id"), "end_id": c("i.road_id")})
     )
-    facts = F.broadcast(facts) if everywhere else facts
     joined = spread.join(facts, ["start_id", "end_id"], "left")
     a, b = c("k.foot_lat").isNotNull(), c("i.foot_lat").isNotNull()
     one_road = (
@@ -98,9 +92,10 @@ def transitions(
             c("i.rank").alias("i"),
             c("end_id").alias("road_id"),
             c("i.prob").alias("prob"),
+            c("i.log_prob").alias("log_prob"),
             c("k.rank").alias("k"),
             c("start_id").alias("prev_id"),
-            c("k.prob").alias("prev_prob"),
+            c("k.log_prob").alias("prev_log_prob"),
             "route",
             "log_move",
         )
@@ -114,8 +109,9 @@ def scored(moves: DataFrame) -> DataFrame:
     """
     return moves.withColumns(
         {
-            "emit": fixed(F.log("prob"), LOG_SCALE),
-            "prev_emit": F.coalesce(fixed(F.log("prev_prob"), LOG_SCALE), F.lit(0)),
+            "emit": fixed(F.col("log_prob"), LOG_SCALE),
+            # Only the first point of a trajectory has none before it.
+            "prev_emit": F.when(F.col("k").isNull(), F.lit(0)).otherwise(fixed(F.col("prev_log_prob"), LOG_SCALE)),
             "move": F.when(F.col("k").isNull(), F.lit(0)).otherwise(fixed(F.col("log_move"), LOG_SCALE)),
         }
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 # The road classes that count as drivable roads.
@@ -68,6 +69,9 @@ class MatchParams:
     no neighbour outside its path.  ``full_length`` sums all pieces of a road instead of taking first to last
     node.  ``emission`` is ``inverse`` (share of the inverse distances) or ``gaussian`` (density of the
     distance).  ``block_seconds`` only sets how a trajectory is split over tasks.
+
+    Cost: with theta up to 4 only the cheapest path per pair of roads goes on after each hop; with more hops, or with
+    ``keep_dead_ends=False``, all simple paths do, whose number grows with the degree to the power of theta.
     """
 
     alpha: int = 4
@@ -90,6 +94,13 @@ class MatchParams:
             raise ValueError("alpha, beta and tau must be positive")
         if self.emission not in ("inverse", "gaussian"):
             raise ValueError("emission must be inverse or gaussian")
+        if self.block_seconds < 1:
+            raise ValueError("block_seconds must be positive")
+        # The decoder adds whole numbers: 10^9 per unit of log probability, times room for the candidate.  A block has
+        # at most one point per second, and consecutive points are taken to be less than 100 km apart.
+        per_point = 1e5 / self.beta + abs(math.log(self.beta)) + max(20.0, self.tau**2 / (2 * GPS_SIGMA**2) + 5)
+        if self.block_seconds * per_point * 2 * (self.alpha + 1) * 1e9 >= 2.0**63:
+            raise ValueError("block_seconds is too long for beta, alpha and tau: scores would leave the bigint range")
 
     @classmethod
     def from_args(cls, args: list[str]) -> MatchParams:

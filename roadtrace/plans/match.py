@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 
 from roadtrace.operators.candidates import candidate_points, candidate_roads, candidates, road_cells
@@ -14,25 +12,25 @@ from roadtrace.operators.route import routes
 from roadtrace.operators.select import quality_trajectories, top_trajectories
 from roadtrace.operators.transitions import linked_points, transitions
 from roadtrace.params import MatchParams
-from roadtrace.staging import small_enough, stage
-
-# Road tables up to this many rows (about 130 bytes each) are sent to every task, so that neither points nor
-# moves are shuffled for them.  Larger ones are joined by shuffling both sides, where adaptive execution splits
-# keys that hold too many rows.  The rows are counted first, on the written table.
-BROADCAST_ROWS = 1_000_000
+from roadtrace.staging import staged
 
 
-@dataclass(frozen=True)
 class Network:
-    """Written road tables that several steps read."""
+    """Road tables that several steps read, computed once; the pairs when they are first asked for."""
+
+    def __init__(self, roads: DataFrame):
+        self.roads = staged(roads)
+        self._pairs: DataFrame | None = None
 
-    roads: DataFrame
-    pairs: DataFrame
+    @property
+    def pairs(self) -> DataFrame:
+        if self._pairs is None:
+            self._pairs = staged(adjacency(self.roads))
+        return self._pairs
 
 
 def network(ways: DataFrame, nodes: DataFrame, p: MatchParams = MatchParams()) -> Network:
-    roads = stage(build_roads(ways, nodes, p.full_length), "roads")
-    return Network(roads, stage(adjacency(roads), "pairs"))
+    return Network(build_roads(ways, nodes, p.full_length))
 
 
 def selected_points(trajectories: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
@@ -41,34 +39,24 @@ def selected_points(trajectories: DataFrame, p: MatchParams = MatchParams()) ->
     return good if p.top_k is None else top_trajectories(good, p.top_k)
 
 
-def search_cells(roads: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
-    """Grid cells of the roads that may be candidates."""
-    return stage(road_cells(connected_roads(roads), p), "cells")
-
-
 def found_candidates(points: DataFrame, net: Network, p: MatchParams = MatchParams()) -> DataFrame:
-    """Candidate rows of the points."""
-    cells = search_cells(net.roads, p)
-    return candidates(points, cells, p, everywhere=small_enough(cells, BROADCAST_ROWS))
+    """Candidate rows of the points, among roads that share a node with another one."""
+    return candidates(points, road_cells(connected_roads(net.roads), p), p)
 
 
 def matched_candidates(points: DataFrame, net: Network, p: MatchParams = MatchParams()) -> DataFrame:
-    """Points with their candidates, written once: paths, links and moves all read them."""
-    return stage(candidate_points(found_candidates(points, net, p), p), "points")
+    """Points with their candidates: paths, links and moves all read them."""
+    return staged(candidate_points(found_candidates(points, net, p), p))
 
 
 def candidate_paths(points: DataFrame, net: Network, p: MatchParams = MatchParams()) -> DataFrame:
-    """Paths that start at a candidate road, written once."""
-    return stage(neighbor_paths(net.pairs, candidate_roads(points), p), "paths")
+    """Paths that start at a candidate road."""
+    return staged(neighbor_paths(net.pairs, candidate_roads(points), p))
 
 
-def scored_moves(
-    points: DataFrame, paths: DataFrame, net: Network, p: MatchParams = MatchParams()
-) -> tuple[DataFrame, bool]:
-    """Moves between candidates, and whether those of a block are in one task."""
-    facts = stage(path_facts(paths, net.roads), "facts")
-    small = small_enough(facts, BROADCAST_ROWS)
-    return transitions(linked_points(points), facts, p, everywhere=small), small
+def scored_moves(points: DataFrame, paths: DataFrame, net: Network, p: MatchParams = MatchParams()) -> DataFrame:
+    """Moves between candidates of consecutive points."""
+    return transitions(linked_points(points), path_facts(paths, net.roads), p)
 
 
 def match(trajectories: DataFrame, ways: DataFrame, nodes: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
@@ -76,5 +64,4 @@ def match(trajectories: DataFrame, ways: DataFrame, nodes: DataFrame, p: MatchPa
     net = network(ways, nodes, p)
     points = matched_candidates(selected_points(trajectories, p), net, p)
     paths = candidate_paths(points, net, p)
-    moves, in_place = scored_moves(points, paths, net, p)
-    return routes(decode(moves, p, in_place), paths)
+    return routes(decode(scored_moves(points, paths, net, p), p), paths)

@@ -4,15 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TRAJECTORY_COLUMNS = [
-    "customid", "trajid", "timest", "latitude", "longitude", "timediff", "spacediff", "speed", "geojson"
-]
-PING_COLUMNS = ["customid", "timestamp", "latitude", "longitude", "accuracy"]
-WAY_COLUMNS = ["id", "userid", "timestamp", "isvisible", "version", "changesetid", "tags", "nodes"]
-NODE_COLUMNS = [
-    "id", "userid", "timestamp", "isvisible", "version", "changesetid", "tags", "latitude", "longitude"
-]
-
+# Names and types of the input columns.
 WAY_SCHEMA = (
     "id string, userid bigint, timestamp string, isvisible boolean, version int, changesetid bigint, "
     "tags map<string,string>, nodes array<string>"
@@ -25,6 +17,11 @@ TRAJECTORY_SCHEMA = (
     "customid string, trajid int, timest int, latitude double, longitude double, timediff int, "
     "spacediff double, speed double, geojson string"
 )
+PING_SCHEMA = "customid string, timestamp int, latitude double, longitude double, accuracy int"
+
+
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.replace("map<string,string>", "map").split(",")]
 
 
 def _read(spark: SparkSession, source: DataFrame | str, columns: list[str]) -> DataFrame:
@@ -39,16 +36,16 @@ def _read(spark: SparkSession, source: DataFrame | str, columns: list[str]) -> D
 
 
 def read_ways(spark: SparkSession, source: DataFrame | str) -> DataFrame:
-    return _read(spark, source, WAY_COLUMNS)
+    return _read(spark, source, _names(WAY_SCHEMA))
 
 
 def read_nodes(spark: SparkSession, source: DataFrame | str) -> DataFrame:
-    return _read(spark, source, NODE_COLUMNS)
+    return _read(spark, source, _names(NODE_SCHEMA))
 
 
 def read_trajectories(spark: SparkSession, source: DataFrame | str) -> DataFrame:
-    return _read(spark, source, TRAJECTORY_COLUMNS)
+    return _read(spark, source, _names(TRAJECTORY_SCHEMA))
 
 
 def read_pings(spark: SparkSession, source: DataFrame | str) -> DataFrame:
-    return _read(spark, source, PING_COLUMNS)
+    return _read(spark, source, _names(PING_SCHEMA))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Names of the output columns.
 MATCH_COLUMNS = ["customid", "trajid", "timest", "roadID", "seq"]
 SEGMENT_COLUMNS = [
     "customid", "timest", "latitude", "longitude", "accuracy", "timediff", "spacediff", "speed", "speeddiff",

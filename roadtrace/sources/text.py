@@ -18,17 +18,27 @@ TAILS = {
 }
 
 
+def _check_kind(kind: str) -> None:
+    if kind not in SCHEMAS:
+        raise ValueError(f"kind must be one of {sorted(SCHEMAS)}")
+
+
 def load_text(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Read ``ways``, ``nodes`` or ``trajectories`` text; a header line is dropped if there is one.
+    """Read ``ways``, ``nodes`` or ``trajectories`` text; see ``parse_text``."""
+    _check_kind(kind)
+    return parse_text(spark.read.text(path), kind)
+
+
+def parse_text(lines: DataFrame, kind: str) -> DataFrame:
+    """Lines of text (column ``value``) to rows; a header line is dropped if there is one.
 
     Values that do not parse become null, as in any delimited table.
     """
-    if kind not in SCHEMAS:
-        raise ValueError(f"kind must be one of {sorted(SCHEMAS)}")
+    _check_kind(kind)
     plain = PLAIN_FIELDS[kind]
     pattern, tail_names = TAILS[kind]
     fields = F.split("value", ",", plain + 1)
-    rows = spark.read.text(path).where(F.length("value") > 0).select(fields.alias("f"))
+    rows = lines.where(F.length("value") > 0).select(fields.alias("f"))
     # Only a header has the column name itself, with or without the table name, as its first field.
     first_name = SCHEMAS[kind].split(" ", 1)[0]
     rows = rows.where(~F.col("f")[0].rlike(rf"^([^.]+\.)?{first_name}$"))

@@ -1,47 +1,28 @@
-"""Written intermediate tables.
+"""Tables that several later steps read, computed once.
 
-A result that several later steps read is written once as Parquet under the folder that the cluster names in
-``spark.checkpoint.dir``.  Reading it back needs no executor to have survived, and each reader takes only the
-columns it uses.
+``staged`` cuts the lineage of a table with ``checkpoint()``: it is written to the folder that the cluster names in
+``spark.checkpoint.dir``, so reading it back needs no executor to have survived.  That is the same on every master; only
+where the setting is absent, as in tests, is a folder made.  Spark removes the files of tables that nobody refers to
+any more if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
 """
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: str | None = None
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, which all executors share."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="roadtrace-checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
-def staging_folder(spark: SparkSession) -> str | None:
-    """The shared folder, a temporary one in local mode, or None on a cluster that names none."""
-    global _local_folder
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="roadtrace-")
-    return _local_folder
 
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` and return a reader of the written table.
-
-    Without a shared folder the plan itself is returned: same rows, computed again by each reader.
-    """
-    spark = df.sparkSession
-    folder = staging_folder(spark)
-    if folder is None:
-        return df
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows; counts no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def staged(df: DataFrame) -> DataFrame:
+    """``df``, written now and read from the shared folder by all that use it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -103,6 +103,14 @@ def test_same_as_all_pairs(spark, tau):
     assert got == pytest.approx(expected, abs=1e-4)
 
 
+def test_far_road_keeps_a_finite_emission(spark):
+    """The density itself is 0 at 450 units; its logarithm still tells near from far."""
+    rows = find(spark, {"near": LINES["at2"], "far": [(450, -50), (450, 50)]}, [(0, 0)], MatchParams(tau=500, emission="gaussian")).collect()
+    got = {r.road_id: r for r in rows}
+    assert got["far"].prob == 0.0 and got["far"].log_prob == pytest.approx(-0.5 * 45**2 - math.log(10 * math.sqrt(2 * math.pi)), rel=1e-3)
+    assert got["near"].log_prob > got["far"].log_prob
+
+
 def test_shuffled_and_broadcast_cells_agree(spark):
     p = MatchParams()
     cells = road_cells(roads(spark, LINES), p)

@@ -13,7 +13,7 @@ from roadtrace.params import MatchParams
 
 SCHEMA = (
     "customid string, trajid int, tblock bigint, timest int, latitude double, longitude double, is_last boolean, "
-    "prev_timest int, i int, road_id string, prob double, k int, prev_id string, prev_prob double, log_move double"
+    "prev_timest int, i int, road_id string, log_prob double, k int, prev_id string, prev_log_prob double, log_move double"
 )
 
 
@@ -41,11 +41,11 @@ def rows_of(name, times, cands, moves, block):
         head = (name, 0, times[t] // block, times[t], 45.0, 9.0, t == len(cands) - 1, times[t - 1] if t else None)
         for i, (road, prob) in enumerate(here):
             if t == 0:
-                rows.append((*head, i + 1, road, prob, None, None, None, None))
+                rows.append((*head, i + 1, road, math.log(prob), None, None, None, None))
             else:
                 rows += [
-                    (*head, i + 1, road, prob, k + 1, *before, moves[t][k][i])
-                    for k, before in enumerate(cands[t - 1])
+                    (*head, i + 1, road, math.log(prob), k + 1, before, math.log(p), moves[t][k][i])
+                    for k, (before, p) in enumerate(cands[t - 1])
                 ]
     return rows
 

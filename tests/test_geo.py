@@ -54,18 +54,6 @@ def test_unknown_frame():
         geo.project(F.lit(1.0), F.lit(2.0), "other")
 
 
-@pytest.mark.parametrize(
-    "point, expected",
-    [((5, 3), 3), ((-3, 4), 5), ((13, 4), 5), ((5, 0), 0)],
-)
-def test_edge_distance(spark, point, expected):
-    assert one(spark, geo.edge_distance(*lits(*point, 0, 0, 10, 0))) == pytest.approx(expected)
-
-
-def test_edge_distance_of_a_point_edge(spark):
-    assert one(spark, geo.edge_distance(*lits(3, 4, 0, 0, 0, 0))) == pytest.approx(5)
-
-
 def test_foot_inside_outside_and_equal_ends(spark):
     chord = (45.44, 9.14, 45.45, 9.14)
     rows = [

@@ -69,6 +69,17 @@ def test_routes_follow_the_car(spark, town, trajectories):
         assert a == b or (a, b) in near
 
 
+def test_same_without_any_broadcast(spark, town, trajectories):
+    usual = rows(match(trajectories, *town))
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, "-1")
+    try:
+        assert rows(match(trajectories, *town)) == usual
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+
+
 @pytest.mark.parametrize("block", [10, 60])
 def test_block_length_does_not_matter(town, trajectories, block):
     assert rows(match(trajectories, *town, MatchParams(block_seconds=block))) == rows(match(trajectories, *town))
@@ -89,7 +100,7 @@ def test_arguments():
     assert MatchParams.from_args([*args, "yes"]).top_k == 50
     with pytest.raises(ValueError):
         MatchParams.from_args(args[:4])
-    for bad in ({"theta": 1}, {"alpha": 0}, {"emission": "none"}):
+    for bad in ({"theta": 1}, {"alpha": 0}, {"emission": "none"}, {"block_seconds": 0}, {"block_seconds": 10**7, "beta": 1}):
         with pytest.raises(ValueError):
             MatchParams(**bad)
 

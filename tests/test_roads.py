@@ -38,6 +38,14 @@ def test_road_classes(spark):
     assert {r.road_id for r in road_ways(ways(spark, rows)).collect()} == set(classes)
 
 
+def test_class_of_the_latest_version_counts(spark):
+    rows = [
+        ("a", ROAD, ["N0", "N1"], "2018", 1), ("a", {"highway": "service"}, ["N0", "N1"], "2018", 2),
+        ("b", {"highway": "service"}, ["N0", "N1"], "2018", 1), ("b", ROAD, ["N0", "N1"], "2018", 2),
+    ]
+    assert [(r.road_id, r.version) for r in road_ways(ways(spark, rows)).collect()] == [("b", 2)]
+
+
 def test_latest_version_of_a_way(spark):
     rows = [("A", ROAD, ["N0", "N1"], "2017", 1), ("A", ROAD, ["N0", "N1", "N2"], "2018", 2)]
     got = build_roads(ways(spark, rows), nodes(spark, PLACES)).collect()
