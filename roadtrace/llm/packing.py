@@ -15,15 +15,16 @@ with at most one sequence that is padded for want of pieces.
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 TIERS = (256, 512, 1024, 2048)
 END_OF_TEXT = 1
@@ -32,85 +33,64 @@ LEFT_FREE = 16
 # Sequences of the longest tier in a step group, or as many tokens of another one.
 STEP = 8
 PACK_BYTES = 8_000_000
-# Words whose ids a Python worker remembers, and characters that are tokenised together.
-REMEMBERED = 500_000
+# Tokens that leave the tokeniser together.
 PASS = 1_000_000
 
 # The split into words of byte-level vocabularies: fixed values.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_split = regex.compile(SPLIT)
-# The same for texts of plain letters, digits, blanks and ASCII marks, where both agree; about twice as fast.
-_PLAIN = re.compile(r"[\x20-\x7e\nÀ-ÖØ-öø-ſ]*")
-_plain_split = re.compile(
-    r" ?[A-Za-zÀ-ÖØ-öø-ſ]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+"
-    r"| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+"
-)
 
-_ready: dict[str, tuple] = {}
 
+@cache
+def _encoding(path: str) -> tiktoken.Encoding:
+    """The byte-level vocabulary at ``path``, for the encoder that needs least time for it.
 
-def _tokenizer(path: str):
-    if path not in _ready:
-        from tokenizers import Tokenizer
-
-        _ready[path] = (Tokenizer.from_file(path), {})
-    return _ready[path]
+    Its ids are those of ``tokenizers`` (tests compare them): a token's id is its rank among the merges.  In the file
+    printable bytes stand for themselves and the others, in order, for the characters from 256 on.
+    """
+    tokenizer = Tokenizer.from_file(path)
+    special = set(tokenizer.get_added_tokens_decoder())
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in tokenizer.get_vocab().items() if i not in special}
+    return tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of whole texts by the vocabulary at ``path``, without special tokens.
-
-    The tokenizer works on each different word once: a byte-level vocabulary never joins across words.
-    """
-    tokenizer, known = _tokenizer(path)
-    made: list[np.ndarray] = []
-    start = 0
-    while start < len(texts):
-        pieces, held = [], 0
-        while start < len(texts) and (not pieces or held < PASS):
-            text = texts[start]
-            held += len(text)
-            pieces.append((_plain_split if _PLAIN.fullmatch(text) else _split).findall(text))
-            start += 1
-        new = list({w for words in pieces for w in words if w not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({w for words in pieces for w in words})
-        if new:
-            encoded = tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(new, encoded))
-        look = known.__getitem__
-        made += [np.frombuffer(b"".join(map(look, words)), np.uint32) for words in pieces]
-    return made
+def token_ids(text: str | None, path: str) -> np.ndarray:
+    """Ids of a whole text by the vocabulary at ``path``, without special tokens; those of a null text are none."""
+    return np.asarray(_encoding(path).encode_to_numpy(text or "", disallowed_special=()), np.uint32)
 
 
 def _tokenised(path: str, packs: int, seed: int):
     """Pieces of at most the longest context, with ids, and the pack each one goes to."""
     longest = TIERS[-1]
 
+    def made(batch: pa.RecordBatch, keys: np.ndarray, rows, starts, pieces, totals) -> pa.RecordBatch:
+        start = np.array(starts, np.int64)
+        with np.errstate(over="ignore"):
+            mixed = (keys[rows].view(np.uint64) + start.view(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+        pack = ((mixed >> np.uint64(32)) % np.uint64(packs)).astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(pack), batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(keys[rows]),
+             pa.array(start), pa.array(totals, pa.int64()), pa.array(pieces, pa.binary())],
+            ["pack", "doc_id", "key", "start", "doc_tokens", "ids"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = token_ids([t or "" for t in batch.column("text").to_pylist()], path)
-            keys = batch.column("key").to_numpy()
-            rows, starts, pieces, totals = [], [], [], []
-            for i, own in enumerate(ids):
-                own = np.append(own, np.uint32(END_OF_TEXT))
+            texts, keys = batch.column("text"), batch.column("key").to_numpy()
+            rows, starts, pieces, totals, held = [], [], [], [], 0
+            for i in range(len(batch)):
+                own = np.append(token_ids(texts[i].as_py(), path), np.uint32(END_OF_TEXT))
+                held += len(own)
                 for start in range(0, len(own), longest):
                     rows.append(i)
                     starts.append(start)
                     pieces.append(own[start : start + longest].tobytes())
                     totals.append(len(own))
-            start_array = np.array(starts, np.int64)
-            with np.errstate(over="ignore"):
-                mixed = (keys[rows].view(np.uint64) + start_array.view(np.uint64) + np.uint64(seed)) * np.uint64(
-                    0x9E3779B97F4A7C15
-                )
-            pack = ((mixed >> np.uint64(32)) % np.uint64(packs)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pack), batch.column("doc_id").take(pa.array(rows, pa.int64())),
-                 pa.array(keys[rows]), pa.array(start_array), pa.array(totals, pa.int64()), pa.array(pieces, pa.binary())],
-                ["pack", "doc_id", "key", "start", "doc_tokens", "ids"],
-            )
+                if held >= PASS or i + 1 == len(batch):
+                    yield made(batch, keys, rows, starts, pieces, totals)
+                    rows, starts, pieces, totals, held = [], [], [], [], 0
 
     return run
 
