@@ -85,28 +85,33 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return best
 
 
-def _ngrams(host: Column, path: Column) -> Column:
-    """Character n-grams of host and path, each marked with where it comes from; never empty."""
-
-    def of(mark: str, text: Column) -> Column:
-        framed = F.concat(F.lit("^"), text, F.lit("$"))
-        runs = [
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(framed) - size + 1)),
-                lambda i, size=size: F.concat(F.lit(mark), framed.substr(i, F.lit(size))),
-            )
-            for size in SIZES
-        ]
-        return F.concat(*runs)
+def _ngrams(mark: str, chars: Column) -> list[Column]:
+    """Runs of characters, each marked with where it comes from; one at least.
 
-    # Digits of a path are page numbers.
-    return F.concat(of("h", host), of("p", F.regexp_replace(path, "[0-9]", "0")))
+    Single elements are looked up, because a slice of an array takes as long as the whole array.
+    """
+
+    def runs(size: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(chars) - size))
+        return F.transform(starts, lambda i: F.concat_ws("", F.lit(mark), *[F.get(chars, i + k) for k in range(size)]))
+
+    return [runs(size) for size in SIZES]
 
 
 def _prepared(urls: DataFrame, url: Column) -> DataFrame:
+    """Host, path and their n-grams.  Characters are split off first: looking them up in a long text takes long."""
     host, path = host_and_path(url)
+
+    def chars(text: Column) -> Column:
+        return F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
+
     split = urls.withColumns({"_host": host, "_path": path})
-    return split.withColumn("_ngrams", _ngrams(F.col("_host"), F.col("_path")))
+    # Digits of a path are page numbers.
+    split = split.withColumns(
+        {"_host_chars": chars(F.col("_host")), "_path_chars": chars(F.regexp_replace("_path", "[0-9]", "0"))}
+    )
+    grams = F.concat(*_ngrams("h", F.col("_host_chars")), *_ngrams("p", F.col("_path_chars")))
+    return split.withColumn("_ngrams", grams)
 
 
 def train(labelled: DataFrame) -> PipelineModel:

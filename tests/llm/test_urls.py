@@ -29,8 +29,11 @@ def _rule(host, path):
     return max(fits, key=lambda r: len(r.text), default=None)
 
 
-def test_parts_rules_and_model(spark):
+def test_parts_rules_and_model(spark, tmp_path):
     rows = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").withColumn("label", F.lit("clash"))
+    # From a file: a table of literals would be evaluated while the plan is made.
+    rows.write.parquet(str(tmp_path / "urls"))
+    rows = spark.read.parquet(str(tmp_path / "urls")).coalesce(1).orderBy("page_id")
     host, path = host_and_path(F.col("url"))
     assert [(r[0], r[1]) for r in rows.select(host, path).collect()] == [_parts(u) for u in URLS]
     model = train(labelled_urls(spark))
