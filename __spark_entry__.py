@@ -107,7 +107,7 @@ def _points_of(spark: SparkSession, sf: str):
 
 def _moves(spark: SparkSession, sf: str) -> DataFrame:
     net, points = _points_of(spark, sf)
-    return scored_moves(points, candidate_paths(points, net, P), net, P)
+    return scored_moves(points, candidate_paths(points, net, P), P)
 
 
 def pings_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -319,7 +319,7 @@ def decoded(spark: SparkSession, sf: str) -> DataFrame:
 def decoded_gaussian(spark: SparkSession, sf: str) -> DataFrame:
     net = _network(spark, sf)
     points = matched_candidates(_points(spark, sf), net, GAUSSIAN)
-    return decode(scored_moves(points, candidate_paths(points, net, GAUSSIAN), net, GAUSSIAN), GAUSSIAN)
+    return decode(scored_moves(points, candidate_paths(points, net, GAUSSIAN), GAUSSIAN), GAUSSIAN)
 
 
 def routes(spark: SparkSession, sf: str) -> DataFrame:

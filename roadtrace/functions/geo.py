@@ -1,4 +1,4 @@
-"""Geographic functions as Column expressions; all of them run inside generated code."""
+"""Geographic functions as Column expressions."""
 
 from __future__ import annotations
 

@@ -20,7 +20,8 @@ def neighbor_paths(edges: DataFrame, starts: DataFrame, p: MatchParams = MatchPa
 
     A path visits each road once.  A hop is allowed while the roads before the new one sum to less than
     ``gamma``; the last of ``theta`` hops is not tested.  The cost counts both end roads; equal costs go to
-    fewer hops, then to smaller road ids.
+    fewer hops, then to smaller road ids.  ``first_at0`` (``last_at0``) tells whether the first (last) road touches the
+    next (previous) one with its first end, as the pair table says; null for a path of one road.
 
     Before each further hop the paths are reduced to the cheapest per (start, end).  With at most four hops
     this loses nothing: if the cheaper path shares a road with the rest of a dropped path, then that road is
@@ -33,7 +34,10 @@ def neighbor_paths(edges: DataFrame, starts: DataFrame, p: MatchParams = MatchPa
         "neighbour_id",
         "neighbour_length",
         fixed(c("neighbour_length"), MICRO).alias("step"),
+        "at0",
+        "neighbour_at0",
     )
+    unknown = F.lit(None).cast("boolean")
     lengths = edges.groupBy("road_id").agg(F.first("length").alias("length"))
     frame = lengths.join(starts.select("road_id"), "road_id", "left_semi").select(
         c("road_id").alias("start_id"),
@@ -41,6 +45,8 @@ def neighbor_paths(edges: DataFrame, starts: DataFrame, p: MatchParams = MatchPa
         fixed(c("length"), MICRO).alias("micro"),
         F.array("road_id").alias("ids"),
         F.array("length").alias("lengths"),
+        unknown.alias("first_at0"),
+        unknown.alias("last_at0"),
     )
     limit = F.lit(round(p.gamma * MICRO)).cast("bigint")
     prune = p.theta <= PRUNABLE_HOPS and p.keep_dead_ends
@@ -57,6 +63,8 @@ def neighbor_paths(edges: DataFrame, starts: DataFrame, p: MatchParams = MatchPa
                 (c("micro") + c("step")).alias("micro"),
                 F.concat("ids", F.array("neighbour_id")).alias("ids"),
                 F.concat("lengths", F.array("neighbour_length")).alias("lengths"),
+                (c("at0") if hop == 1 else c("first_at0")).alias("first_at0"),
+                c("neighbour_at0").alias("last_at0"),
             )
         )
         if last and not p.keep_dead_ends:
@@ -77,55 +85,33 @@ def neighbor_paths(edges: DataFrame, starts: DataFrame, p: MatchParams = MatchPa
         F.arrays_zip(c("ids").alias("road"), c("lengths").alias("length")).alias("path"),
         (c("micro") / MICRO).alias("cost"),
         F.size("ids").alias("roads"),
+        "first_at0",
+        "last_at0",
     )
 
 
 def _cheapest(paths: DataFrame, key: list[str]) -> DataFrame:
     """Smallest (cost, number of roads, ids) per key; merged before the shuffle."""
-    whole = F.struct("micro", F.size("ids").alias("roads"), "ids", "lengths")
+    whole = F.struct("micro", F.size("ids").alias("roads"), "ids", "lengths", "first_at0", "last_at0")
     return (
         paths.groupBy(*key)
         .agg(F.min(whole).alias("w"))
-        .select(*key, "w.micro", "w.ids", "w.lengths")
+        .select(*key, "w.micro", "w.ids", "w.lengths", "w.first_at0", "w.last_at0")
     )
 
 
-def path_facts(paths: DataFrame, roads: DataFrame) -> DataFrame:
-    """What the transition probability needs of each path, so that the big pair table joins only once.
-
-    ``inner`` is the length without first and last road; ``first_at0`` (``last_at0``) tells whether the first
-    (last) road touches the next (previous) road with its first end.  Ends are compared as coordinates.
-    """
+def path_facts(paths: DataFrame) -> DataFrame:
+    """What the transition probability needs of each path; ``inner`` is the length without first and last road."""
     c = F.col
-    ends = roads.select("road_id", F.struct("lat0", "lon0").alias("e0"), F.struct("lat1", "lon1").alias("e1"))
-
-    def with_ends(df: DataFrame, key: str, name: str, how: str = "inner") -> DataFrame:
-        side = ends.select(c("road_id").alias(key), c("e0").alias(f"{name}0"), c("e1").alias(f"{name}1"))
-        return df.join(side, key, how)
-
-    n = F.size("path")
-    wide = paths.select(
+    inside = F.slice("path", F.lit(2), F.greatest(F.size("path") - 2, F.lit(0)))
+    return paths.select(
         "start_id",
         "end_id",
         "roads",
         F.aggregate("path", F.lit(0.0), lambda t, s: t + s["length"]).alias("whole"),
-        F.aggregate(
-            F.slice("path", F.lit(2), F.greatest(n - 2, F.lit(0))), F.lit(0.0), lambda t, s: t + s["length"]
-        ).alias("inner"),
+        F.aggregate(inside, F.lit(0.0), lambda t, s: t + s["length"]).alias("inner"),
         c("path")[0]["length"].alias("first_length"),
         F.element_at("path", -1)["length"].alias("last_length"),
-        F.when(n > 1, F.get("path", F.lit(1))["road"]).alias("second_id"),
-        F.when(n > 1, F.get("path", n - 2)["road"]).alias("previous_id"),
-    )
-    single = wide.where(c("roads") == 1).select(
-        *wide.columns, F.lit(None).cast("boolean").alias("first_at0"), F.lit(None).cast("boolean").alias("last_at0")
-    )
-    joined = wide.where(c("roads") > 1)
-    for key, name in (("start_id", "s"), ("second_id", "n"), ("end_id", "t"), ("previous_id", "v")):
-        joined = with_ends(joined, key, name)
-    several = joined.select(
-        *wide.columns,
-        ((c("s0") == c("n0")) | (c("s0") == c("n1"))).alias("first_at0"),
-        ((c("t0") == c("v0")) | (c("t0") == c("v1"))).alias("last_at0"),
+        "first_at0",
+        "last_at0",
     )
-    return single.unionByName(several).drop("second_id", "previous_id")

@@ -81,18 +81,33 @@ def build_roads(ways: DataFrame, nodes: DataFrame, full_length: bool = False) ->
 def adjacency(roads: DataFrame) -> DataFrame:
     """Pairs of different roads that share a node, with both lengths: one row per ordered pair.
 
-    Direction of travel is not looked at.  Repeated nodes of a road are merged before the join.
+    ``at0`` (``neighbour_at0``) tells whether the road (the neighbour) touches the other one with its first end; ends
+    are compared as coordinates.  Direction of travel is not looked at.  Repeated nodes of a road are merged before
+    the join.
     """
-    stops = roads.select("road_id", "length", F.explode("nodes").alias("node_id")).dropDuplicates(
+    c = F.col
+    ends = [F.struct("lat0", "lon0").alias("e0"), F.struct("lat1", "lon1").alias("e1")]
+    stops = roads.select("road_id", "length", *ends, F.explode("nodes").alias("node_id")).dropDuplicates(
         ["road_id", "node_id"]
     )
     near = stops.select(
-        "node_id", F.col("road_id").alias("neighbour_id"), F.col("length").alias("neighbour_length")
+        "node_id",
+        c("road_id").alias("neighbour_id"),
+        c("length").alias("neighbour_length"),
+        c("e0").alias("n0"),
+        c("e1").alias("n1"),
     )
     return (
         stops.join(near, "node_id")
-        .where(F.col("road_id") != F.col("neighbour_id"))
-        .select("road_id", "length", "neighbour_id", "neighbour_length")
+        .where(c("road_id") != c("neighbour_id"))
+        .select(
+            "road_id",
+            "length",
+            "neighbour_id",
+            "neighbour_length",
+            ((c("e0") == c("n0")) | (c("e0") == c("n1"))).alias("at0"),
+            ((c("n0") == c("e0")) | (c("n0") == c("e1"))).alias("neighbour_at0"),
+        )
         .dropDuplicates(["road_id", "neighbour_id"])
     )
 

@@ -54,9 +54,9 @@ def candidate_paths(points: DataFrame, net: Network, p: MatchParams = MatchParam
     return staged(neighbor_paths(net.pairs, candidate_roads(points), p))
 
 
-def scored_moves(points: DataFrame, paths: DataFrame, net: Network, p: MatchParams = MatchParams()) -> DataFrame:
+def scored_moves(points: DataFrame, paths: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     """Moves between candidates of consecutive points."""
-    return transitions(linked_points(points), path_facts(paths, net.roads), p)
+    return transitions(linked_points(points), path_facts(paths), p)
 
 
 def match(trajectories: DataFrame, ways: DataFrame, nodes: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
@@ -64,4 +64,4 @@ def match(trajectories: DataFrame, ways: DataFrame, nodes: DataFrame, p: MatchPa
     net = network(ways, nodes, p)
     points = matched_candidates(selected_points(trajectories, p), net, p)
     paths = candidate_paths(points, net, p)
-    return routes(decode(scored_moves(points, paths, net, p), p), paths)
+    return routes(decode(scored_moves(points, paths, p), p), paths)

@@ -8,11 +8,15 @@ from roadtrace.operators.paths import neighbor_paths, path_facts
 from roadtrace.params import MatchParams
 
 
-def edges_frame(spark, lengths, links):
+def edges_frame(spark, lengths, links, touch=()):
+    """``touch`` holds (road, neighbour) where the road touches the neighbour with its first end."""
     rows = []
-    for a, b in links:
-        rows += [(a, lengths[a], b, lengths[b]), (b, lengths[b], a, lengths[a])]
-    return spark.createDataFrame(rows, "road_id string, length double, neighbour_id string, neighbour_length double")
+    for a, b in [*links, *[(b, a) for a, b in links]]:
+        rows.append((a, lengths[a], b, lengths[b], (a, b) in touch, (b, a) in touch))
+    return spark.createDataFrame(
+        rows,
+        "road_id string, length double, neighbour_id string, neighbour_length double, at0 boolean, neighbour_at0 boolean",
+    )
 
 
 def starts_frame(spark, names):
@@ -101,12 +105,9 @@ def test_only_asked_starts(spark):
 
 def test_facts_find_the_shared_ends(spark):
     lengths = {"A": 10.0, "B": 20.0, "C": 30.0}
-    roads = spark.createDataFrame(
-        [("A", 0.0, 0.0, 0.0, 1.0), ("B", 0.0, 2.0, 0.0, 1.0), ("C", 0.0, 3.0, 0.0, 2.0)],
-        "road_id string, lat0 double, lon0 double, lat1 double, lon1 double",
-    )
-    paths = neighbor_paths(edges_frame(spark, lengths, [("A", "B"), ("B", "C")]), starts_frame(spark, lengths))
-    got = {(r.start_id, r.end_id): r for r in path_facts(paths, roads).collect()}
+    links = [("A", "B"), ("B", "C")]
+    paths = neighbor_paths(edges_frame(spark, lengths, links, {("B", "C")}), starts_frame(spark, lengths))
+    got = {(r.start_id, r.end_id): r for r in path_facts(paths).collect()}
     ac = got["A", "C"]
     assert (ac.roads, ac.whole, ac.inner, ac.first_length, ac.last_length) == (3, 60.0, 20.0, 10.0, 30.0)
     assert (ac.first_at0, ac.last_at0) == (False, False)

@@ -83,6 +83,8 @@ def test_adjacency_by_any_shared_node_once_per_pair(spark):
         ("B", "C"),
         ("C", "B"),
     ]
+    touching = {(r.road_id, r.neighbour_id): (r.at0, r.neighbour_at0) for r in pairs.collect()}
+    assert touching["A", "B"] == (False, False) and touching["B", "C"] == (True, True)
     lists = {r.road_id: [n.neighbour_id for n in r.neighbours] for r in neighbour_lists(pairs).collect()}
     assert lists == {"A": ["B"], "B": ["A", "C"], "C": ["B"]}
     assert {r.road_id for r in connected_roads(roads).collect()} == {"A", "B", "C"}
