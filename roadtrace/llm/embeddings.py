@@ -162,7 +162,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     repeated = merged.where(F.col("copies") > 1).select(
         F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), F.col("id").alias("_first"), "copies"
     )
-    same = (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_embedding"))
+    same = (
+        F.col("vec_id").isNotNull()
+        & (F.col("label") == F.col("_label"))
+        & (F.col("embedding") == F.col("_embedding"))
+    )
     first = F.coalesce("_first", "vec_id")
     return (
         rows.join(repeated, same, "left")
