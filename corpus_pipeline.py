@@ -6,7 +6,6 @@ return the columns of ``documents``; the last returns packed pieces.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,7 @@ from roadtrace.llm.minhash import without_duplicates
 from roadtrace.llm.packing import pack
 from roadtrace.llm.queries import vocabulary
 from roadtrace.llm.toxicity import toxicity_model, toxicity_score
+from roadtrace.staging import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,11 +70,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``.
 
-    What a stage keeps is written to the folder that all executors share (``spark.checkpoint.dir``, a temporary one
-    only where that is unset, as in tests) and read again by the next.
+    What a stage keeps is written to the folder that all executors share and read again by the next.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{(named or tempfile.mkdtemp(prefix='roadtrace-')).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{folder}/{name}"

@@ -1,35 +1,21 @@
-"""What several operators share: folds, bounded labelled samples, shared tables, cached lookups."""
+"""What several operators share: folds, bounded labelled samples, written tables, cached lookups."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadtrace.staging import staged as checkpointed
+
 
 def remainder(divisor: int) -> str:
     """SQL: crc32 of ``doc_id`` as text, modulo ``divisor``; a null id gives null."""
     return f"crc32(cast(cast(doc_id as string) as binary)) % {divisor}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut: written by ``checkpoint()`` to the folder all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests, is one made.
-    Spark removes the files of checkpoints that nobody refers to any more if
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="roadtrace-checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: str, per_class: int) -> DataFrame:
     """Texts of at most ``per_class`` labelled documents of each class 0 and 1: columns ``text``, ``y``.
 
@@ -50,6 +36,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: str, p
     return docs.select("doc_id", "text").join(ids, "doc_id").where(F.col("text").isNotNull()).select("text", "y")
 
 
+__all__ = ["Cached", "checkpointed", "group_sums", "labelled_sample", "lengths_to_bounds", "logistic_fit", "remainder", "table"]
+
+
 class Cached(dict):
     """Values of a function of strings, kept for the life of a Python worker, ``limit`` of them at most."""
 
