@@ -33,11 +33,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_A_WORD), "")
 
 
-def _runs(words: Column, of) -> Column:
-    """``of`` every run of five words; of all words if there are fewer; empty without words."""
+def _runs(words: Column, of_words, of_all) -> Column:
+    """``of_words`` every run of five words; ``of_all`` words if there are fewer; empty without words.
+
+    Single elements are looked up, because a slice of an array takes as long as the whole array.
+    """
     size = F.size(words)
-    many = F.transform(F.sequence(F.lit(1), size - (SHINGLE - 1)), lambda i: of(F.slice(words, i, SHINGLE)))
-    few = F.array(of(words))
+    many = F.transform(
+        F.sequence(F.lit(0), size - SHINGLE), lambda i: of_words(*[F.get(words, i + k) for k in range(SHINGLE)])
+    )
+    few = F.array(of_all(words))
     none = F.slice(few, 1, 0)
     return F.when(size >= SHINGLE, many).when(size > 0, few).otherwise(none)
 
@@ -83,7 +88,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     benchmark = items.select("item_id", F.col("text").alias("item_text")).distinct()
     benchmark = benchmark.withColumn("words", words_of(F.col("item_text")))
-    benchmark = benchmark.withColumn("shingles", F.array_distinct(_runs(F.col("words"), F.xxhash64)))
+    benchmark = benchmark.withColumn("shingles", F.array_distinct(_runs(F.col("words"), F.xxhash64, F.xxhash64)))
     # Written, because a filter on a projection is pushed into it: its expressions would be evaluated per element.
     benchmark = checkpointed(benchmark.select("item_id", "item_text", "shingles"))
     benchmark = benchmark.withColumn("n_shingles", F.size("shingles")).where(F.col("n_shingles") > 0)
@@ -92,7 +97,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").where(F.col("text").isNotNull())
     hashed = keyed.select("doc_id", "text_key", words_of(F.col("text")).alias("words")).select(
-        "doc_id", "text_key", _runs(F.col("words"), F.xxhash64).alias("hashes")
+        "doc_id", "text_key", _runs(F.col("words"), F.xxhash64, F.xxhash64).alias("hashes")
     )
     # The outer form, because the inner one brings a filter on the array, which is pushed down as above.
     met = _sketch(hashed, bins).select("doc_id", "text_key", F.explode_outer("sketch").alias("h")).join(wanted, "h")
@@ -106,15 +111,15 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
 
-    def joined(run: Column) -> Column:
-        return F.array_join(run, " ")
+    def written(words: str) -> Column:
+        return _runs(F.col(words), lambda *run: F.concat_ws(" ", *run), lambda few: F.array_join(few, " "))
 
     found = checkpointed(
         keyed.join(candidates, same)
         .select("doc_id", "text_key", "item_id", "n_shingles", words_of(F.col("text")).alias("words"),
                 words_of(F.col("item_text")).alias("item_words"))
-        .select("doc_id", "text_key", "item_id", "n_shingles", _runs(F.col("words"), joined).alias("has"),
-                _runs(F.col("item_words"), joined).alias("asked"))
+        .select("doc_id", "text_key", "item_id", "n_shingles", written("words").alias("has"),
+                written("item_words").alias("asked"))
         .select("doc_id", "text_key", "item_id", "n_shingles", F.size(F.array_intersect("asked", "has")).alias("n_found"))
     )
     return (
