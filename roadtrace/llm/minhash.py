@@ -13,8 +13,10 @@ full by then get twice the time; so the work per document is the same for any nu
 
 Search.  Equal texts are one text.  Signatures are cut into bands; texts that share a band share a bucket.  No pairs of
 a bucket are formed at first: every text is compared with the text it shares most buckets with as their smallest.
-Only in buckets whose texts are not all connected by then are texts compared with the bucket's smallest, and where that
-leaves a bucket in parts, all pairs between its parts.  So every pair that shares a bucket is compared or connected.
+In buckets whose texts are not all connected by then, texts are compared with one of the bucket's.  Where that leaves a
+bucket in parts, texts outside its smallest part are compared with all texts of other parts, block by block inside
+tasks, each pair in the first bucket it shares; only links come out.  So every pair that shares a bucket is compared or
+connected, and what is written grows with the texts, not with their pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadtrace.llm.common import Cached, checkpointed
+from roadtrace.llm.common import Cached, checkpointed, group_sums, lengths_to_bounds
 from roadtrace.llm.components import components
 
 WORD = re.compile(r"[^\W_]+")
@@ -38,9 +40,11 @@ SIMILAR = 0.8
 # 24 bands of 5: two texts at similarity 0.8 share a bucket with probability 0.99993.
 BANDS, BAND_SIZE = 24, 5
 SIZE = BANDS * BAND_SIZE
-REMEMBERED = 400_000
+REMEMBERED = 50_000
+# Texts of a block when the parts of a bucket are compared.
+BLOCK = 256
 # Characters of texts that are taken together.
-PASS = 1_000_000
+PASS = 500_000
 
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _word = Cached(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")), REMEMBERED)
@@ -63,11 +67,13 @@ def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     codes = np.fromiter((_word[w] for w in words), dtype=np.uint64, count=len(words))
     run = min(size, len(words))
+    made = np.full(len(codes) - run + 1, run, np.uint64)
     with np.errstate(over="ignore"):
-        made = np.full(len(codes) - run + 1, run, np.uint64)
         for k in range(run):
-            made = _mixed(made + codes[k : len(codes) - run + 1 + k]) + _C
-    return np.unique(made, return_counts=True)
+            made = made * _C + codes[k : len(codes) - run + 1 + k]
+    made = np.sort(_mixed(made))
+    starts = np.flatnonzero(np.concatenate([[True], made[1:] != made[:-1]]))
+    return made[starts], np.diff(starts, append=len(made))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -87,51 +93,61 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     sizes = np.array([len(h) for h, _ in bags], dtype=np.int64)
     weight = np.array([c.sum() for _, c in bags], dtype=float)
     todo = np.flatnonzero(sizes > 0)
-    spread = np.log(SIZE) + 3.0
+    # Points that fill all components but with a chance of one in twenty.
+    spread = SIZE * (np.log(SIZE) + 3.0)
     while len(todo):
         hashes = np.concatenate([bags[i][0] for i in todo])
         counts = np.concatenate([bags[i][1] for i in todo])
         owner = np.repeat(todo, sizes[todo])
-        seeds, lengths, covered, owners = [], [], [], []
-        low, high = 0, 1
-        while len(hashes):
+        until = (spread / np.maximum(weight, 1.0))[owner]
+        _first_times(times, _mixed(hashes), owner, until)
+        longer: list[tuple[np.ndarray, ...]] = []
+        low, high = 1, 2
+        while (counts > low).any():
+            more = counts > low
+            hashes, counts, owner, until = hashes[more], counts[more], owner[more], until[more]
             with np.errstate(over="ignore"):
-                seeds.append(_mixed(hashes + np.array([low], np.uint64) * _C))
-            lengths.append(np.full(len(hashes), float(high - low)))
-            covered.append(np.minimum(counts, high) - low)
-            owners.append(owner)
-            more = counts > high
-            hashes, counts, owner, low, high = hashes[more], counts[more], owner[more], high, 2 * high
-        _first_times(times, np.concatenate(seeds), np.concatenate(lengths), np.concatenate(covered),
-                     np.concatenate(owners), spread / np.maximum(weight, 1.0))
+                seed = _mixed(hashes + np.array([low], np.uint64) * _C)
+            length = np.full(len(hashes), float(high - low))
+            longer.append((seed, owner, until, length, np.minimum(counts, high) - low))
+            low, high = high, 2 * high
+        if longer:
+            _first_times(times, *map(np.concatenate, zip(*longer)))
         todo = todo[np.isinf(times[todo]).any(axis=1)]
         spread *= 2
     return times
 
 
 def _first_times(
-    times: np.ndarray, seed: np.ndarray, length: np.ndarray, covered: np.ndarray, owner: np.ndarray, horizon: np.ndarray
+    times: np.ndarray,
+    seed: np.ndarray,
+    owner: np.ndarray,
+    until: np.ndarray,
+    length: np.ndarray | None = None,
+    covered: np.ndarray | None = None,
 ) -> None:
-    """Runs the process of each interval up to its document's horizon and keeps the first time per component."""
+    """Runs the process of each interval up to its horizon and keeps the first time per component.
+
+    ``covered`` is the part of each interval below the count.  Without lengths all are 1 and covered.
+    """
     flat = times.reshape(-1)
-    until = horizon[owner]
+    base = owner * SIZE
     now = np.zeros(len(seed))
     while len(seed):
         with np.errstate(over="ignore"):
             seed = seed + _C
         draw = _mixed(seed)
-        now = now - np.log(((draw >> np.uint64(24)) + np.uint64(1)) * 2.0**-40) / length
+        step = np.log(((draw >> np.uint64(24)) + np.uint64(1)) * 2.0**-40)
+        now = now - (step if length is None else step / length)
         alive = now <= until
-        seed, length, covered, owner, until, now, draw = (
-            x[alive] for x in (seed, length, covered, owner, until, now, draw)
-        )
-        counted = slice(None)
-        wide = length > covered
-        if wide.any():
-            level = (_mixed(draw) >> np.uint64(11)) * 2.0**-53 * length
-            counted = level < covered
-        component = ((draw & np.uint64(0xFFFFFF)) * np.uint64(SIZE) >> np.uint64(24)).astype(np.int64)
-        np.minimum.at(flat, (owner * SIZE + component)[counted], now[counted])
+        seed, base, until, now, draw = seed[alive], base[alive], until[alive], now[alive], draw[alive]
+        place = base + ((draw & np.uint64(0xFFFFFF)) * np.uint64(SIZE) >> np.uint64(24)).astype(np.int64)
+        if length is None:
+            np.minimum.at(flat, place, now)
+        else:
+            length, covered = length[alive], covered[alive]
+            counted = (_mixed(draw) >> np.uint64(11)) * 2.0**-53 * length < covered
+            np.minimum.at(flat, place[counted], now[counted])
 
 
 def bands(times: np.ndarray) -> np.ndarray:
@@ -192,6 +208,97 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _links_of(rows: pa.Table) -> tuple[list[int], list[int]]:
+    """Rows of one block of strays and one block of members: a link from a stray to each other part that has one."""
+    band, stray = rows.column("band")[0].as_py(), rows.column("stray").to_numpy()
+    bags = [shingles(t) for t in rows.column("text").to_pylist()]
+    part = rows.column("part").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+    own = rows.column("id").combine_chunks().dictionary_encode().indices.to_numpy()
+    codes = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rows), BANDS)
+    weight = np.array([c.sum() for _, c in bags])
+    members, left, right = np.flatnonzero(~stray), [], []
+    for i in np.flatnonzero(stray):
+        shared = (codes[members] == codes[i]).argmax(axis=1) == band
+        light = np.minimum(weight[members], weight[i]) >= SIMILAR * np.maximum(weight[members], weight[i])
+        others = members[shared & light & (part[members] != part[i]) & (own[members] != own[i])]
+        if not len(others):
+            continue
+        hashes, counts = np.concatenate([bags[j][0] for j in others]), np.concatenate([bags[j][1] for j in others])
+        place = np.minimum(np.searchsorted(bags[i][0], hashes), len(bags[i][0]) - 1)
+        common = np.where(bags[i][0][place] == hashes, np.minimum(bags[i][1][place], counts), 0)
+        common = group_sums(common, lengths_to_bounds(len(bags[j][0]) for j in others))
+        near = others[common / (weight[others] + weight[i] - common) >= SIMILAR]
+        for j in near:
+            if part[j] != part[i]:
+                left.append(i)
+                right.append(j)
+                part[part == part[j]] = part[i]
+    return left, right
+
+
+def _linked_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each group of a stream that is sorted by bucket and blocks."""
+    held: pa.Table | None = None
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        left, right = _links_of(rows)
+        ids = rows.column("id").combine_chunks()
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(left, pa.int64())), ids.take(pa.array(right, pa.int64()))], ["a", "b"]
+        )
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        keys = [held.column(k).to_numpy() for k in ("band", "code", "strays", "members")]
+        starts = np.concatenate([[0], np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1])
+        for start, end in zip(starts[:-1], starts[1:]):
+            yield links(held.slice(start, end - start))
+        held = held.slice(starts[-1])
+    if held is not None:
+        yield links(held)
+
+
+def _located(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets that hold texts of several parts, with their part and the bucket's smallest one."""
+    parts = components(links, "a", "b").withColumnRenamed("node", "id")
+    located = checkpointed(
+        members.join(parts, "id", "left").select("band", "code", "id", F.coalesce("component", "id").alias("part"))
+    )
+    mixed = (
+        located.groupBy("band", "code")
+        .agg(F.min("part").alias("main"), F.max("part").alias("most"), F.count("*").alias("n"))
+        .where(F.col("main") != F.col("most"))
+        .drop("most")
+    )
+    return located.join(mixed, ["band", "code"])
+
+
+def _between_parts(open_members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between parts of a bucket, found by comparing every text outside the main part with all others."""
+    outside = F.col("part") != F.col("main")
+    strays = open_members.where(outside).groupBy("band", "code").agg(F.count("*").alias("k"))
+    sized = open_members.join(strays, ["band", "code"])
+    of_members, of_strays = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("k") / BLOCK)
+
+    def block(blocks: Column) -> Column:
+        return F.pmod(F.xxhash64("id"), blocks)
+
+    def each(blocks: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+
+    one = sized.select("band", "code", "id", "part", F.lit(False).alias("stray"), block(of_members).alias("members"),
+                       each(of_strays).alias("strays"))
+    two = sized.where(outside).select("band", "code", "id", "part", F.lit(True).alias("stray"), each(of_members).alias("members"),
+                                      block(of_strays).alias("strays"))
+    order = ["band", "code", "strays", "members"]
+    rows = one.unionByName(two).join(texts, "id").repartition(*order).sortWithinPartitions(*order, "stray", "id")
+    kind = texts.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(_linked_in_blocks, f"a {kind}, b {kind}")
+
+
 def duplicate_classes(docs: DataFrame) -> DataFrame:
     """Class of every document: one row per row of ``docs``.
 
@@ -219,50 +326,27 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
         .drop("last")
     )
     members = checkpointed(placed.join(shared, ["band", "code"]))
-    wanted = members.select("id").distinct().join(unique.select("id", "text_key"), "id")
+    wanted = members.select("id").distinct().join(unique.select("id", "text_key", "bands"), "id")
     texts = checkpointed(
         signed.join(wanted.withColumnRenamed("id", "_id"), "text_key")
         .where(F.col("doc_id") == F.col("_id"))
         .groupBy(F.col("_id").alias("id"), "text_key")
-        .agg(F.any_value("text").alias("text"))
-        .select("id", "text")
+        .agg(F.any_value("text").alias("text"), F.any_value("bands").alias("bands"))
+        .select("id", "text", "bands")
     )
     votes = members.where(F.col("id") != F.col("first")).groupBy("id", "first").agg(F.count("*").alias("n"))
     nearest = votes.groupBy("id").agg(F.max_by("first", F.struct("n", "first")).alias("a"))
-    tested = nearest.select("a", F.col("id").alias("b"))
-    links = checkpointed(_verified(tested, texts))
-    for stars in (True, False):
-        parts = components(links, "a", "b").withColumnRenamed("node", "id")
-        located = members.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
-        mixed = (
-            located.groupBy("band", "code")
-            .agg(F.min("part").alias("least"), F.max("part").alias("most"))
-            .where(F.col("least") != F.col("most"))
-            .select("band", "code")
-        )
-        open_members = located.join(mixed, ["band", "code"]).select("band", "code", "id", "part", "first")
-        if stars:
-            firsts = open_members.where(F.col("id") == F.col("first")).select(
-                "band", "code", F.col("id").alias("a"), F.col("part").alias("part_a")
-            )
-            others = open_members.select("band", "code", F.col("id").alias("b"), F.col("part").alias("part_b"))
-            pairs = firsts.join(others, ["band", "code"])
-        else:
-            # Parts but the smallest of a bucket against all others: pairs within a part are never formed.
-            main = open_members.groupBy("band", "code").agg(F.min("part").alias("main"))
-            strays = open_members.join(main, ["band", "code"]).where(F.col("part") != F.col("main"))
-            strays = strays.select("band", "code", F.col("id").alias("b"), F.col("part").alias("part_b"))
-            others = open_members.select("band", "code", F.col("id").alias("a"), F.col("part").alias("part_a"))
-            pairs = others.join(strays, ["band", "code"])
-        pairs = (
-            pairs.where(F.col("part_a") != F.col("part_b"))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
-            .join(tested, ["a", "b"], "left_anti")
-        )
-        pairs = checkpointed(pairs)
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(checkpointed(_verified(pairs, texts)))
+    links = checkpointed(_verified(nearest.select("a", F.col("id").alias("b")), texts))
+    open_members = _located(members, links)
+    centre = open_members.groupBy("band", "code").agg(F.min_by(F.struct("id", "part"), F.xxhash64("id")).alias("c"))
+    pairs = (
+        open_members.join(centre, ["band", "code"])
+        .where(F.col("part") != F.col("c.part"))
+        .select(F.col("c.id").alias("a"), F.col("id").alias("b"))
+        .distinct()
+    )
+    links = links.unionByName(checkpointed(_verified(pairs, texts)))
+    links = links.unionByName(checkpointed(_between_parts(_located(members, links), texts)))
     parts = components(links, "a", "b").select(F.col("node").alias("id"), "component")
     classes = (
         unique.select("id", "text_key")
