@@ -22,7 +22,7 @@ from roadtrace.llm.common import Cached, labelled_sample
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 BITS = 18
-REMEMBERED = 400_000
+REMEMBERED = 50_000
 # Characters of texts that are taken together.
 PASS = 1_000_000
 

@@ -30,8 +30,9 @@ REPEATS = 4
 LEVEL = 9
 # Lengths are at most this; longer windows count as this long.
 LONGEST = 63
-# Windows whose lengths a Python worker remembers.
-REMEMBERED = 400_000
+# Windows whose lengths a Python worker remembers, and characters of texts that are taken together.
+REMEMBERED = 150_000
+PASS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -146,13 +147,20 @@ def train(
 _ready: dict[str, Cached] = {}
 
 
-def scores(texts, model: ToxicityModel) -> np.ndarray:
+def scores(texts: list[str | None], model: ToxicityModel) -> np.ndarray:
     """Scores of whole texts, 0 to 1."""
     lengths = _ready.get(model.key)
     if lengths is None:
         _ready.clear()
         lengths = _ready[model.key] = Cached(_lengths(model.ordinary, model.toxic), REMEMBERED)
-    z = np.column_stack([_features(texts, lengths, model.ratios), np.ones(len(texts))]) @ model.weights
+    z, start = np.full(len(texts), model.weights[-1]), 0
+    while start < len(texts):
+        end, held = start, 0
+        while end < len(texts) and (end == start or held + len(texts[end] or "") <= PASS):
+            held += len(texts[end] or "")
+            end += 1
+        z[start:end] += _features(texts[start:end], lengths, model.ratios) @ model.weights[:-1]
+        start = end
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -176,6 +184,6 @@ def toxicity_score(text: Column, model: ToxicityModel | float) -> Column:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores(texts, model))
+        return pd.Series(scores(list(texts), model))
 
     return score(text)
