@@ -40,6 +40,11 @@ PASS = 1_000_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+@cache
+def _tokenizer(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
 @cache
 def _encoding(path: str) -> tiktoken.Encoding:
     """The byte-level vocabulary at ``path``, for the encoder that needs least time for it.
@@ -47,18 +52,25 @@ def _encoding(path: str) -> tiktoken.Encoding:
     Its ids are those of ``tokenizers`` (tests compare them): a token's id is its rank among the merges.  In the file
     printable bytes stand for themselves and the others, in order, for the characters from 256 on.
     """
-    tokenizer = Tokenizer.from_file(path)
-    special = set(tokenizer.get_added_tokens_decoder())
+    tokenizer = _tokenizer(path)
+    special = {i: token.content for i, token in tokenizer.get_added_tokens_decoder().items()}
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(printable)]
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in tokenizer.get_vocab().items() if i not in special}
-    return tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={t: i for i, t in special.items()})
 
 
 def token_ids(text: str | None, path: str) -> np.ndarray:
-    """Ids of a whole text by the vocabulary at ``path``, without special tokens; those of a null text are none."""
-    return np.asarray(_encoding(path).encode_to_numpy(text or "", disallowed_special=()), np.uint32)
+    """Ids of a whole text by the vocabulary at ``path``; those of a null text are none.
+
+    None is added, but strings of special tokens in the text become their ids.
+    """
+    try:
+        return np.asarray(_encoding(path).encode_to_numpy(text or "", allowed_special="all"), np.uint32)
+    except ValueError:
+        # Runs of about a million blanks exceed the stack of its regular expressions.
+        return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def _tokenised(path: str, packs: int, seed: int):

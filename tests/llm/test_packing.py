@@ -23,6 +23,29 @@ def test_ids_are_the_tokenizers(text):
     assert token_ids(text, vocabulary()).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", "a", " ", "\n", "12", "é", "<"])).map("".join))
+def test_ids_of_special_strings_are_the_tokenizers(text):
+    assert token_ids(text, vocabulary()).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("run", [" " * 1_000_000, "\n" * 1_000_000, " \t\n" * 400_000])
+@pytest.mark.parametrize("text", ["{}", "a b{}c d", "a<|endoftext|>{}b <|endoftext|>"])
+def test_ids_of_long_runs_of_blanks_are_the_tokenizers(run, text):
+    text = text.format(run)
+    assert token_ids(text, vocabulary()).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_special_strings_and_long_runs_are_packed(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a" + " " * 1_000_001 + "b"]
+    rows = pack(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA), vocabulary()).collect()
+    for i, text in enumerate(texts):
+        expected = [*TOKENIZER.encode(text, add_special_tokens=False).ids, END_OF_TEXT]
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert {r.doc_tokens for r in own} == {len(expected)}
+        assert np.frombuffer(b"".join(r.ids for r in own), "<u4").tolist() == expected
+
+
 @given(st.lists(st.integers(1, 2048), max_size=120))
 def test_pieces_are_cut_and_packed_without_loss(lengths):
     sequences = pack_pieces(lengths)
