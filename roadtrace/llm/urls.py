@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 ALLOW, BLOCK = "allow", "block"
 SIZES = (3, 4, 5)
-COLUMNS = 1 << 15
+COLUMNS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -35,33 +35,108 @@ class Rule:
         return self.host + self.path
 
 
-# Invented addresses; 1 means block.
-UNWANTED = (
-    "casino-royal", "casino-win", "lucky-casino", "poker-night", "free-bets", "bets-online", "sports-bets", "slots-win",
-    "adult-x", "adult-cams", "xxx-adult", "hot-cams", "cheap-pills", "pills-online", "buy-pills", "diet-pills",
-    "spam-farm", "link-farm", "content-farm", "spam-mail", "ads-track", "track-clicks", "popup-ads", "ads-banner",
-    "free-money", "win-prize", "cheap-loans", "warez-crack", "malware-drop", "phish-login",
-)
-WANTED = (
-    "daily-news", "city-library", "open-wiki", "garden-club", "weather-map", "river-school", "museum", "recipes",
-    "therein", "thation", "ionther", "thinger", "therent", "tionand", "history", "science-lab", "university", "gazette",
-    "bakery", "mountain", "travel-notes", "physics", "poetry", "health-office", "parliament", "railway", "orchestra",
-    "theatre", "geology", "chess-club",
+# Words that names of sites are made of.  Sites are invented from them; words of several kinds are never mixed.
+UNWANTED = {
+    "gambling": """casino poker slots bet bets betting jackpot roulette blackjack bingo lottery lotto gamble gambling wager
+        bookmaker baccarat spin odds tipster freespins bonus apuestas wetten paris-sportifs gluecksspiel tragaperras""",
+    "adult": """porn porno sex sexy xxx adult adults nude nudes cams camgirls webcam escort escorts erotic erotik hentai
+        milf fetish hookup naked hardcore swingers stripper onlyhot lesbians sexo putas""",
+    "pills": """pills viagra cialis pharma meds tramadol xanax steroids levitra ambien phentermine valium drugstore
+        canadianmeds norx slimming weightloss dietpill potency tablets painkillers kamagra""",
+    "spam": """spam spammer seo-links backlinks linkfarm bulkmail clickbait doorway massmail autoblog spinbot fakenews
+        likesbot followers buyfollowers buylikes junkmail trafficbot linkexchange robocall""",
+    "ads": """ads ad adserver adnet adclick banner banners popup popunder tracker tracking track pixel clickfarm affiliate
+        retarget beacon adsystem adserv doubleads promo-ads syndication telemetry sponsor-ads""",
+    "fraud": """phish phishing malware trojan scam fraud hacked keylogger ransom botnet spyware fakelogin verify-account
+        account-update secure-login free-prize winner prize giveaway free-money easycash payday quickloan cryptodouble
+        getrich replica fakewatches counterfeit""",
+    "piracy": """warez crack cracks cracked keygen torrent torrents pirate piratebay serials nulled leaked freemovies
+        putlocker streamfree downloadfull iptvfree rips modapk hackedgames""",
+}
+FILLERS = """online best top free cheap buy live vip royal lucky hot super real club zone world king direct 24 365 hub now
+    easy max mega star city deal shop best4u xl pro""".split()
+WANTED = {
+    "news": """news daily herald gazette tribune chronicle journal times post courier observer reporter press magazine
+        bulletin zeitung nachrichten tagblatt journal-local noticias diario periodico giornale monde figaro pais kurier""",
+    "learning": """school university college academy institute library museum archive science physics chemistry biology
+        mathematics history geology astronomy dictionary encyclopedia wiki research lecture student campus schule
+        universidad bibliotheque escuela musee hochschule""",
+    "public": """parliament council ministry government court police fire-station health hospital clinic doctor dentist
+        pharmacy-board embassy customs census weather climate railway airport harbour transit mairie gemeinde rathaus
+        ayuntamiento salud""",
+    "culture": """theatre orchestra opera poetry novel painting gallery cinema film music jazz choir guitar festival
+        photography design architecture dance ballet sculpture theater kunst cultura livres""",
+    "home": """garden gardening recipes kitchen bakery cooking bread cheese coffee tea wine furniture carpenter plumber
+        painter knitting sewing pets horse parenting baby market farm farmers orchard bees jardin cuisine cocina garten""",
+    "outdoors": """mountain river forest lake valley hiking cycling running football tennis swimming chess sailing skiing
+        camping travel journey hotel hostel map atlas island coast birds nature wandern viajes montagne voyage""",
+    "work": """software code developer python linux database cloud open-source hardware robotics engineering electric
+        energy solar bank insurance accounting lawyer notary logistics freight steel printing books bookshop shoes
+        clothing bicycle auto garage jobs careers estate trade""",
+}
+PLAIN_FILLERS = """the my our green north south old new blue red first little central national royal local st club house group
+    association society online city world shop today center 21 net lab union alliance haus""".split()
+# Syllables of coined names, which say nothing: such sites are wanted.
+ONSETS = "b br c ch d dr f fl g gr h j k kl l m n p pr qu r s sh sk sl st t th tr v w x z".split()
+VOWELS = "a e i o u ai ea io oo ou".split()
+CODAS = ["", "", "l", "n", "r", "s", "t", "nd", "ck", "ng", "th", "m"]
+TOPS = "com net org com de fr es info com io co.uk it eu org com nl".split()
+HEADS = ("", "www.", "", "m.", "blog.", "www.", "", "shop.")
+PATHS = (
+    "/", "/en/{n}", "/de/{n}.html", "/fr/{n}/", "/es/{n}?page=2", "", "/index.html", "/about", "/articles/{n}", "/category/{w}",
+    "/{w}/{n}", "/{w}", "/2021/05/{w}.html", "/contact/", "/search", "/p/{n}",
 )
+#: Sites per word and kind of name, and coined names.
+PARTNERS, COINED, PAGES = 6, 900, 2
+
+
+def _coined(i: int) -> str:
+    """The ``i``-th coined name: two or three syllables."""
+    parts, state = [], i * 2_654_435_761 + 12_345
+    for _ in range(2 + i % 2):
+        for choice in (ONSETS, VOWELS, CODAS):
+            state = (state * 6_364_136_223_846_793_005 + 1_442_695_040_888_963_407) % (1 << 64)
+            parts.append(choice[(state >> 33) % len(choice)])
+    return "".join(parts)
+
+
+def _sites(kinds: dict[str, str], fillers: list[str]) -> list[tuple[str, str]]:
+    """Names of sites, each with a word for its paths: single words, and words with fillers and with others of their kind."""
+    made: dict[str, str] = {}
+    for words in map(str.split, kinds.values()):
+        for i, word in enumerate(words):
+            made[word] = words[i - 1]
+            for k in range(PARTNERS):
+                filler = fillers[(5 * i + 7 * k) % len(fillers)]
+                other = words[(i + 1 + 3 * k) % len(words)]
+                joint = ("-", "")[k % 2]
+                made[joint.join((filler, word) if k % 4 < 2 else (word, filler))] = other
+                if other != word:
+                    made[joint.join((word, other))] = word
+    return list(made.items())
+
+
+def _pages(names: list[tuple[str, str]]) -> list[str]:
+    return [
+        f"http{'s' * ((i + k) % 2)}://{HEADS[(3 * i + k) % len(HEADS)]}{name}{'.example' * (i % 4 == 0)}."
+        f"{TOPS[(i + 5 * k) % len(TOPS)]}{PATHS[(7 * i + 3 * k) % len(PATHS)].format(n=37 * i + k, w=word)}"
+        for i, (name, word) in enumerate(names)
+        for k in range(PAGES)
+    ]
+
+
+def labelled_sites() -> dict[int, list[tuple[str, str]]]:
+    """Per label (1: block) the invented names of sites, each with a word for its paths."""
+    coined = [(_coined(i), _coined(i + COINED)) for i in range(COINED)]
+    return {1: _sites(UNWANTED, FILLERS), 0: _sites(WANTED, PLAIN_FILLERS) + coined}
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The default table: columns ``url`` and ``label``, a few hundred rows."""
-    ends = ("com", "net", "org")
-    heads = ("", "www.", "m.", "blog.")
-    tails = ("en/", "de/", "fr/", "es/")
-    rows = [
-        f"('http://{heads[(i + k) % 4]}{name}.example.{ends[(i + k) % 3]}/{tails[k]}{37 * i + k}', {label})"
-        for label, names in ((1, UNWANTED), (0, WANTED))
-        for i, name in enumerate(names)
-        for k in range(4)
-    ]
-    return spark.sql(f"select * from values {', '.join(rows)} as t(url, label)")
+    """The default table: columns ``url`` and ``label``, several thousand rows."""
+    made = "\n".join(f"{url} {label}" for label, names in labelled_sites().items() for url in _pages(names))
+    lines = spark.range(1, numPartitions=1).select(F.explode(F.split(F.lit(made), "\n")).alias("line"))
+    parts = F.split(F.col("line"), " ")
+    return lines.select(parts[0].alias("url"), parts[1].cast("int").alias("label"))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -120,7 +195,7 @@ def train(labelled: DataFrame) -> PipelineModel:
     counts = HashingTF(inputCol="_ngrams", outputCol="_counts", numFeatures=COLUMNS, binary=True)
     regression = LogisticRegression(
         featuresCol="_counts", labelCol="_label", probabilityCol="_probability", rawPredictionCol="_raw",
-        predictionCol="_predicted", regParam=0.02, standardization=False, maxIter=60,
+        predictionCol="_predicted", regParam=0.0004, standardization=False, maxIter=60,
     )
     return Pipeline(stages=[counts, regression]).fit(rows.where(F.col("_label").isNotNull()).coalesce(1))
 

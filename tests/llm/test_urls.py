@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from roadtrace.llm.queries import RULES
-from roadtrace.llm.urls import host_and_path, judge, labelled_urls, train
+from roadtrace.llm.urls import host_and_path, judge, labelled_sites, labelled_urls, train
 
 URLS = [
     None, "", "no scheme", "http://", "http://WWW.Example.COM/en/1?x=/en/#t", "https://m.example.com/en/", "https://example.com",
@@ -56,3 +56,38 @@ def test_training_table_is_learnt(spark):
     labelled = labelled_urls(spark)
     found = judge(labelled, "url", [], train(labelled)).collect()
     assert all((r.verdict == "block") == (r.label == 1) for r in found)
+
+
+# Existing sites, written down before the model was tried on them.
+ORDINARY = """
+    nytimes.com theguardian.com spiegel.de wikipedia.org github.com stackoverflow.com apache.org
+    mit.edu ox.ac.uk nasa.gov who.int bbc.co.uk cnn.com reuters.com faz.net sueddeutsche.de liberation.fr 
+    elmundo.es repubblica.it corriere.it amazon.com ebay.de ikea.com lego.com bosch.de siemens.com airbus.com
+    sncf-connect.com bahn.de renfe.com lufthansa.com imdb.com spotify.com netflix.com mozilla.org debian.org
+    kernel.org arxiv.org sciencemag.org britannica.com gutenberg.org allrecipes.com chefkoch.de marmiton.org
+    tripadvisor.com booking.com airbnb.com decathlon.fr adidas.com zalando.de
+    nationalgeographic.com smithsonian.org louvre.fr rijksmuseum.nl metoffice.gov.uk meteofrance.com usgs.gov
+    wetter.com cern.ch ieee.org acm.org coursera.org khanacademy.org duolingo.com etsy.com craigslist.org
+    wordpress.org
+""".split()
+UNWANTED = """
+    bet365.com williamhill.com pokerstars.com partypoker.com 888casino.com
+    betfair.com bwin.com unibet.com draftkings.com ladbrokes.com paddypower.com betway.com leovegas.com pornhub.com
+    xvideos.com xnxx.com redtube.com youporn.com xhamster.com chaturbate.com brazzers.com spankbang.com livejasmin.com
+    thepiratebay.org 1337x.to rarbg.to kickasstorrents.cr yts.mx torrentz2.eu fmovies.to doubleclick.net
+    googleadservices.com adnxs.com taboola.com outbrain.com popads.net propellerads.com adsterra.com exoclick.com
+    adroll.com clickadu.com paydayloans.com cashnetusa.com canadianpharmacy.com buyviagraonline.com sexshop.com
+    adultfriendfinder.com stripchat.com casinoroom.com slotomania.com jackpotcity.com malwaredomain.net
+    phishtank-login.ru xxxbunker.com hentaihaven.org crackwatch.com softonic-crack.net
+""".split()
+
+
+def test_hosts_that_share_no_name_with_the_training_table(spark):
+    known = {name for sites in labelled_sites().values() for name, _ in sites}
+    assert not known & {host.split(".")[0] for host in ORDINARY + UNWANTED}
+    # Names of the test tables are not learnt by heart.
+    assert not known & set("casino-win ads-track free-bets spam-farm cheap-pills adult-x tionsh thering therble".split())
+    rows = [(f"https://www.{host}/en/{i}", label) for label, hosts in enumerate((ORDINARY, UNWANTED)) for i, host in enumerate(hosts)]
+    found = judge(spark.createDataFrame(rows, "url string, label int"), "url", [], train(labelled_urls(spark))).collect()
+    right = [sum((r.verdict == "block") == (label == 1) for r in found if r.label == label) for label in (0, 1)]
+    assert right[0] >= 0.9 * len(ORDINARY) and right[1] >= 0.55 * len(UNWANTED)
