@@ -1,9 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary documents, one on windows that recur in toxic
-documents and not in ordinary ones.  A window is a word, repeated so that even a short one forms a compressible
+Two zstandard dictionaries are trained: one on windows of toxic documents that recur in them and are far more frequent
+there than in ordinary ones, one on all other windows of ordinary documents.  A window is a word, repeated so that even a short one forms a compressible
 block.  Each window is compressed twice: with the ordinary dictionary, and with the toxic dictionary laid behind
-it.  Words that only toxic text has get shorter the second time.  What a pair of lengths says is calibrated on
+it.  Words that mark toxic text get shorter the second time.  What a pair of lengths says is calibrated on
 labelled documents that had no part in the dictionaries: every pair of lengths gets a log likelihood ratio, and
 a logistic regression on its sums over a document gives the score.
 
@@ -30,6 +30,8 @@ REPEATS = 4
 LEVEL = 9
 # Lengths are at most this; longer windows count as this long.
 LONGEST = 63
+# From so many times the share of ordinary documents on, a word of toxic ones marks them.
+LIFT = 8
 # Windows whose lengths a Python worker remembers, and characters of texts that are taken together.
 REMEMBERED = 150_000
 PASS = 1_000_000
@@ -102,6 +104,20 @@ def _features(texts, lengths, ratios: np.ndarray) -> np.ndarray:
     return np.column_stack([total / np.sqrt(size + 20.0), np.sign(total) * np.log1p(np.abs(total)), top])
 
 
+def _marking(plain: list[list[str]], marked: list[list[str]], min_docs: int) -> set[str]:
+    """Words of at least ``min_docs`` toxic documents that no ordinary one has, or ``LIFT`` times as small a share of them.
+
+    Shares are smoothed by half a document, so that a word that a few ordinary documents quote, or that a wrong label
+    brings among them, still marks.
+    """
+    usual, toxic = (Counter(w for words in docs for w in set(words)) for docs in (plain, marked))
+
+    def lift(w: str) -> float:
+        return (toxic[w] + 0.5) / (len(marked) + 1) * (len(plain) + 1) / (usual[w] + 0.5)
+
+    return {w for w, n in toxic.items() if n >= min_docs and (not usual[w] or lift(w) >= LIFT)}
+
+
 def train(
     sample: pd.DataFrame,
     ordinary_size: int = 65_536,
@@ -121,14 +137,14 @@ def train(
     build, rest = sample[cut], sample[~cut]
     if build["y"].nunique() < 2 or rest["y"].nunique() < 2:
         return None
-    plain = [w for t in build.loc[build["y"] == 0, "text"] for w in _words(t)]
-    known = set(plain)
-    marked = [_words(t) for t in build.loc[build["y"] == 1, "text"]]
-    spread = Counter(w for words in marked for w in set(words) if w not in known)
+    plain, marked = ([_words(t) for t in build.loc[build["y"] == y, "text"]] for y in (0, 1))
+    marking = _marking(plain, marked, min_docs)
+    # Without the marking words, which would be as short with either dictionary.
+    usual = [w for words in plain for w in words if w not in marking]
     # The windows are shuffled by their place so that any prefix of the sample is as good as another.
-    order = np.random.default_rng(7).permutation(len(plain))[:sample_words]
-    ordinary = _trained([f" {plain[i]} ".encode() for i in order], ordinary_size)
-    novel = [f" {w} ".encode() for words in marked for w in words if spread.get(w, 0) >= min_docs]
+    order = np.random.default_rng(7).permutation(len(usual))[:sample_words]
+    ordinary = _trained([f" {usual[i]} ".encode() for i in order], ordinary_size)
+    novel = [f" {w} ".encode() for words in marked for w in words if w in marking]
     order = np.random.default_rng(7).permutation(len(novel))[:sample_words]
     toxic = _trained([novel[i] for i in order], toxic_size)
     lengths = Cached(_lengths(ordinary, toxic), REMEMBERED)

@@ -71,6 +71,18 @@ def test_toxicity_on_held_out_documents(spark):
     assert len(odd) == len(ODD) and all(r.score < 0.5 for r in odd)
 
 
+def test_toxic_words_that_ordinary_documents_quote_still_mark(spark):
+    docs, labels = _corpus("toxic")
+    # Each word stands in a few documents that are ordinary, or have the wrong label.
+    quotes = [(5001 + 5 * k, f"{_sentence(random.Random(k), 30)} {word}", "xx", "s", 1) for k, word in enumerate(NASTY * 3)]
+    d = spark.createDataFrame(docs + quotes, DOCS)
+    lab = spark.createDataFrame(labels + [(i, 1, 0) for i, *_ in quotes], LABELS)
+    model = toxicity_model(d, lab, keep="doc_id % 5 <> 0")
+    truth = {i: t for i, _, t in labels}
+    held = [r for r in d.select("doc_id", toxicity_score(F.col("text"), model).alias("score")).collect() if r.doc_id < 5000 and r.doc_id % 5 == 0]
+    assert sum((r.score >= 0.5) != (truth[r.doc_id] == 1) for r in held) == 0
+
+
 @pytest.mark.parametrize("labels, constant", [([], (0.5, 0.0)), ([(0, 1, 1), (1, 1, 1)], (1.0, 1.0)), ([(0, None, None)], (0.5, 0.0))])
 def test_without_two_classes_the_score_is_constant(spark, labels, constant):
     docs = spark.createDataFrame([(0, "mara", "xx", "s", 4), (1, None, None, None, None)], DOCS)
