@@ -24,9 +24,12 @@ from roadtrace.staging import shared_folder
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half.  Learnt from all labels of documents at hand.
 
-    Without labels nothing is toxic.  Null, empty and wordless texts have no toxic window and stay.
+    Without labels of both classes to learn from, toxic documents cannot be told and all stay.  Null, empty and wordless
+    texts have no toxic window and stay.
     """
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    if isinstance(model, float):
+        return docs
     return docs.where(toxicity_score(F.col("text"), model) < 0.5)
 
 

@@ -66,6 +66,14 @@ def test_each_stage_takes_effect(spark, tmp_path):
         r.ids_crc32 for r in corpus_pipeline.pack_sequences(spark, current, sf).collect())
 
 
+def test_labels_that_teach_nothing_keep_all_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "mara tolin", "xx", "s", 1, "clash") for i in range(6)], DOCS)
+    for n, labels in enumerate(([(0, 1, 1), (1, 1, 1)], [(0, 1, 0), (1, 1, 1)], [(0, 1, 0)], [])):
+        sf = str(tmp_path / str(n))
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, docs, sf).count() == 6
+
+
 def test_empty_tables_go_through(spark, tmp_path):
     sf = str(tmp_path)
     spark.createDataFrame([], DOCS).write.parquet(f"{sf}/documents.parquet")
