@@ -34,14 +34,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_languageless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: null texts and texts without any letter go.
+    """Documents with a language: null texts and texts without any letter go, and so do texts of which no language's filter
+    holds more n-grams than false positives explain.
 
     If no document says its language, none can be learnt, and documents with a letter stay.
     """
     model = language_model(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return docs.where(predicted_language(F.col("text"), model, docs)["lang"] != UNKNOWN)
+    found = predicted_language(F.col("text"), model, docs)
+    # The score is 0 where the first language of the alphabet is named for want of any other.
+    return docs.where((found["lang"] != UNKNOWN) & (found["score"] > 0))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

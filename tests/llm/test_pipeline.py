@@ -74,6 +74,14 @@ def test_labels_that_teach_nothing_keep_all_documents(spark, tmp_path):
         assert corpus_pipeline.drop_toxic(spark, docs, sf).count() == 6
 
 
+def test_gibberish_has_no_language(spark, tmp_path):
+    clean = [(i, "mara tolin rite selso", "xx", "s", 1, "clash") for i in range(200)]
+    # Rare enough to be in no filter although it states a language.
+    docs = spark.createDataFrame([*clean, (200, "qzxjk wvqxz zzqjw", "xx", "s", 1, ""), (201, "mara", None, "s", 1, "")], DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.drop_languageless(spark, docs, str(tmp_path)).collect()}
+    assert kept == {*range(200), 201}
+
+
 def test_empty_tables_go_through(spark, tmp_path):
     sf = str(tmp_path)
     spark.createDataFrame([], DOCS).write.parquet(f"{sf}/documents.parquet")
