@@ -9,6 +9,7 @@ any more if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,23 @@ def staged(df: DataFrame) -> DataFrame:
     """``df``, written now and read from the shared folder by all that use it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Written:
+    """A table written now as compressed Parquet in the shared folder, until ``remove`` after its last reader.
+
+    Unlike a checkpoint it is read by column and by partition.  Whatever is still to be computed from it must be written
+    before it is removed.
+    """
+
+    def __init__(self, df: DataFrame, partition_by: list[str] | None = None):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.partitionBy(*(partition_by or [])).parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def remove(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
