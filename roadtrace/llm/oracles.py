@@ -120,6 +120,28 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM said GROUP BY conv_id
 """
 
+REPEATED_LINES = r"""
+WITH numbered AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), keyed AS (
+    SELECT row_id, doc_id, lines, list_transform(lines, lambda x: translate(
+        trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS keys
+    FROM numbered
+), held AS (
+    SELECT row_id, doc_id, unnest(list_distinct(list_filter(keys, lambda k: length(k) >= 40))) AS k FROM keyed
+), common AS (SELECT k, max(doc_id) AS keeper FROM held GROUP BY k HAVING count(*) >= 5 AND max(doc_id) IS NOT NULL),
+lost AS (SELECT row_id, list(k) AS gone FROM held JOIN common USING (k) WHERE doc_id IS DISTINCT FROM keeper GROUP BY row_id),
+cut AS (
+    SELECT doc_id, lines, CASE WHEN gone IS NULL THEN lines
+        ELSE list_filter(lines, lambda x, i: NOT list_contains(gone, keys[i])) END AS stay
+    FROM keyed LEFT JOIN lost USING (row_id)
+)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(stay))::BIGINT AS n_dropped,
+    sha256(array_to_string(stay, chr(10))) AS kept_sha256
+FROM cut
+"""
+
 
 def all_statements() -> dict[str, str]:
     return {
@@ -128,4 +150,5 @@ def all_statements() -> dict[str, str]:
         "op5_shards": SHARDS,
         "op6_near_duplicates": NEAR_DUPLICATES,
         "op10_chat": CONVERSATIONS,
+        "op13_lines": REPEATED_LINES,
     }

@@ -13,6 +13,7 @@ from roadtrace.llm.common import remainder, table
 from roadtrace.llm.decontaminate import leaks
 from roadtrace.llm.embeddings import near_vectors
 from roadtrace.llm.language import language_model, predicted_language
+from roadtrace.llm.lines import repeated_lines_dropped
 from roadtrace.llm.minhash import duplicate_classes
 from roadtrace.llm.packing import pack
 from roadtrace.llm.quality import quality_model, quality_score
@@ -121,6 +122,11 @@ def op10_chat(spark: SparkSession, sf: str) -> DataFrame:
     return conversation_digests(format_conversations(said.unionByName(extra)))
 
 
+def op13_lines(spark: SparkSession, sf: str) -> DataFrame:
+    cut = repeated_lines_dropped(table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -133,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
         "op10_chat": op10_chat,
+        "op13_lines": op13_lines,
     }
 
 
