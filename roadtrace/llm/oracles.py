@@ -142,6 +142,78 @@ SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(stay))::BIGINT A
 FROM cut
 """
 
+# Near words share what is left after deleting one code point, at the same place for a replacement.
+SPELLING = r"""
+WITH RECURSIVE steps AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)::BIGINT[]),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{6,}')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents
+), held AS (SELECT doc_id, run, count(*) AS k FROM runs GROUP BY ALL),
+hashed AS (
+    SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT,
+        list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'),
+            lambda b: (instr('0123456789ABCDEF', b[1]) - 1) * 16 + instr('0123456789ABCDEF', b[2]) - 1)::BIGINT[]),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+    FROM held, steps
+), printed AS (
+    SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, k FROM hashed
+), counted AS (
+    SELECT word, sum(k)::BIGINT AS n FROM printed WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+), cut AS (
+    SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM counted)
+), pairs AS (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN counted b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM cut a JOIN counted b ON a.rest = b.word
+), near AS (
+    SELECT word, count(*) AS n_near, max(other_n) AS best_n FROM pairs GROUP BY word
+), best AS (
+    SELECT near.word, n_near, best_n, min(other) AS best
+    FROM near JOIN pairs ON near.word = pairs.word AND best_n = other_n GROUP BY ALL
+), formed AS (
+    SELECT counted.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form,
+        CASE WHEN best_n >= 5 * n THEN best_n END AS form_n
+    FROM counted LEFT JOIN best USING (word)
+), followed AS (
+    SELECT word, word AS at, form AS next FROM formed
+    UNION ALL SELECT followed.word, formed.word, formed.form FROM followed JOIN formed ON followed.next = formed.word
+)
+SELECT formed.word, formed.form, followed.at AS root, n, n_near::BIGINT AS n_near, form_n
+FROM formed JOIN followed ON formed.word = followed.word AND followed.next IS NULL
+"""
+
+SEARCH = r"""
+WITH docs AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_id, doc_id, list_transform(
+        regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+        lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms
+    FROM documents WHERE text IS NOT NULL
+), items AS MATERIALIZED (
+    SELECT row_number() OVER () AS item_row, item_id, list_transform(
+        regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+        lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms
+    FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)
+), whole AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM docs WHERE len(terms) > 0),
+asked AS (SELECT item_row, item_id, term, count(*) AS k FROM (SELECT item_row, item_id, unnest(terms) AS term FROM items) GROUP BY ALL),
+held AS (
+    SELECT row_id, doc_id, n, term, count(*) AS tf FROM (SELECT row_id, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs)
+    WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held, whole GROUP BY term, n_docs
+), impacts AS (
+    SELECT row_id, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)) AS x
+    FROM held, whole
+), scored AS (
+    SELECT item_row, item_id, row_id, doc_id, sum(k * w * x)::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 AND doc_id IS NOT NULL QUALIFY rank <= 20
+"""
+
 
 def all_statements() -> dict[str, str]:
     return {
@@ -150,5 +222,7 @@ def all_statements() -> dict[str, str]:
         "op5_shards": SHARDS,
         "op6_near_duplicates": NEAR_DUPLICATES,
         "op10_chat": CONVERSATIONS,
+        "op11_spelling": SPELLING,
+        "op12_search": SEARCH,
         "op13_lines": REPEATED_LINES,
     }

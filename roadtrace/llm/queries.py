@@ -13,11 +13,13 @@ from roadtrace.llm.common import remainder, table
 from roadtrace.llm.decontaminate import leaks
 from roadtrace.llm.embeddings import near_vectors
 from roadtrace.llm.language import language_model, predicted_language
+from roadtrace.llm.lexical import ranked
 from roadtrace.llm.lines import repeated_lines_dropped
 from roadtrace.llm.minhash import duplicate_classes
 from roadtrace.llm.packing import pack
 from roadtrace.llm.quality import quality_model, quality_score
 from roadtrace.llm.shards import interleave
+from roadtrace.llm.spelling import spelling_variants
 from roadtrace.llm.toxicity import toxicity_model, toxicity_score
 from roadtrace.llm.urls import ALLOW, BLOCK, Rule, judge, labelled_urls
 from roadtrace.llm.urls import train as train_urls
@@ -122,6 +124,14 @@ def op10_chat(spark: SparkSession, sf: str) -> DataFrame:
     return conversation_digests(format_conversations(said.unionByName(extra)))
 
 
+def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants(table(spark, sf, "documents"))
+
+
+def op12_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op13_lines(spark: SparkSession, sf: str) -> DataFrame:
     cut = repeated_lines_dropped(table(spark, sf, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -139,6 +149,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
         "op10_chat": op10_chat,
+        "op11_spelling": op11_spelling,
+        "op12_search": op12_search,
         "op13_lines": op13_lines,
     }
 
