@@ -131,7 +131,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents that hold no item, with all their columns."""
-    held = leaks(docs, items).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    return docs.join(held, same, "left_anti")
+    """Documents that hold no item, with all their columns, whatever their names."""
+    held = leaks(docs, items).select("doc_id", "text_key").distinct().alias("held")
+    same = F.col("docs.doc_id").eqNullSafe(F.col("held.doc_id")) & (F.xxhash64("docs.text") == F.col("held.text_key"))
+    return docs.alias("docs").join(held, same, "left_anti")

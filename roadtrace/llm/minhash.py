@@ -14,8 +14,9 @@ full by then get twice the time; so the work per document is the same for any nu
 Search.  Equal texts are one text.  Signatures are cut into bands; texts that share a band share a bucket.  No pairs of
 a bucket are formed at first: every text is compared with the text it shares most buckets with as their smallest.
 In buckets whose texts are not all connected by then, texts are compared with one of the bucket's.  Where that leaves a
-bucket in parts, texts outside its smallest part are compared with all texts of other parts, block by block inside
-tasks, each pair in the first bucket it shares; only links come out.  So every pair that shares a bucket is compared or
+bucket in parts, texts outside its smallest part (strays) are compared with all texts of other parts, block by block inside
+tasks; only links come out.  For that a stray has one home, the largest of its buckets, and a text that shares any bucket
+with it goes to that home once, however many buckets they share.  So every pair that shares a bucket is compared or
 connected, and what is written grows with the texts, not with their pairs.
 """
 
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from roadtrace.llm.common import Cached, checkpointed, group_sums, lengths_to_bounds
 from roadtrace.llm.components import components
+from roadtrace.staging import Written
 
 WORD = re.compile(r"[^\W_]+")
 SHINGLE = 5
@@ -210,7 +212,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _links_of(rows: pa.Table) -> tuple[list[int], list[int]]:
     """Rows of one block of strays and one block of members: a link from a stray to each other part that has one."""
-    band, stray = rows.column("band")[0].as_py(), rows.column("stray").to_numpy()
+    stray = rows.column("stray").to_numpy()
     bags = [shingles(t) for t in rows.column("text").to_pylist()]
     part = rows.column("part").combine_chunks().dictionary_encode().indices.to_numpy().copy()
     own = rows.column("id").combine_chunks().dictionary_encode().indices.to_numpy()
@@ -218,7 +220,7 @@ def _links_of(rows: pa.Table) -> tuple[list[int], list[int]]:
     weight = np.array([c.sum() for _, c in bags])
     members, left, right = np.flatnonzero(~stray), [], []
     for i in np.flatnonzero(stray):
-        shared = (codes[members] == codes[i]).argmax(axis=1) == band
+        shared = (codes[members] == codes[i]).any(axis=1)
         light = np.minimum(weight[members], weight[i]) >= SIMILAR * np.maximum(weight[members], weight[i])
         others = members[shared & light & (part[members] != part[i]) & (own[members] != own[i])]
         if not len(others):
@@ -261,40 +263,56 @@ def _linked_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield links(held)
 
 
-def _located(members: DataFrame, links: DataFrame) -> DataFrame:
+def _located(members: DataFrame, links: DataFrame) -> Written:
     """Members of buckets that hold texts of several parts, with their part and the bucket's smallest one."""
     parts = components(links, "a", "b").withColumnRenamed("node", "id")
-    located = checkpointed(
+    located = Written(
         members.join(parts, "id", "left").select("band", "code", "id", F.coalesce("component", "id").alias("part"))
     )
     mixed = (
-        located.groupBy("band", "code")
+        located.read().groupBy("band", "code")
         .agg(F.min("part").alias("main"), F.max("part").alias("most"), F.count("*").alias("n"))
         .where(F.col("main") != F.col("most"))
         .drop("most")
     )
-    return located.join(mixed, ["band", "code"])
+    found = Written(located.read().join(mixed, ["band", "code"]))
+    located.remove()
+    return found
 
 
 def _between_parts(open_members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between parts of a bucket, found by comparing every text outside the main part with all others."""
-    outside = F.col("part") != F.col("main")
-    strays = open_members.where(outside).groupBy("band", "code").agg(F.count("*").alias("k"))
-    sized = open_members.join(strays, ["band", "code"])
-    of_members, of_strays = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("k") / BLOCK)
-
-    def block(blocks: Column) -> Column:
-        return F.pmod(F.xxhash64("id"), blocks)
-
-    def each(blocks: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-
-    one = sized.select("band", "code", "id", "part", F.lit(False).alias("stray"), block(of_members).alias("members"),
-                       each(of_strays).alias("strays"))
-    two = sized.where(outside).select("band", "code", "id", "part", F.lit(True).alias("stray"), each(of_members).alias("members"),
-                                      block(of_strays).alias("strays"))
+    """Links between parts of a bucket, found by comparing every text outside the main part with all others.
+
+    A bucket's homes are few, because its strays choose the largest of their buckets.
+    """
+    strays = open_members.where(F.col("part") != F.col("main"))
+    bucket = F.struct("band", "code")
+    home = strays.groupBy("id", "part").agg(F.max_by(bucket, F.struct("n", "band", "code")).alias("home"))
+    homes = (
+        strays.select("band", "code", "id").join(home.select("id", "home"), "id")
+        .groupBy("band", "code").agg(F.collect_set("home").alias("homes"))
+    )
+    reached = (
+        open_members.select("band", "code", "id", "part").join(homes, ["band", "code"])
+        .groupBy("id", "part").agg(F.array_distinct(F.flatten(F.collect_list("homes"))).alias("homes"))
+        .select("id", "part", F.explode("homes").alias("home"))
+    )
+    placed = checkpointed(
+        reached.withColumn("stray", F.lit(False)).unionByName(home.select("id", "part", "home", F.lit(True).alias("stray")))
+    )
+    sizes = placed.groupBy("home").agg(
+        F.ceil(F.count_if(~F.col("stray")) / BLOCK).alias("n"), F.ceil(F.count_if("stray") / BLOCK).alias("k")
+    )
+    # A member meets all blocks of strays, a stray all blocks of members.
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("stray"), F.col("k")).otherwise(F.col("n")))
+    met = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("stray"), F.col("n")).otherwise(F.col("k")) - 1))
+    dealt = placed.join(sizes, "home").withColumns({"own": own, "met": met}).select(
+        "home.band", "home.code", "id", "part", "stray",
+        F.when(F.col("stray"), F.col("own")).otherwise(F.col("met")).alias("strays"),
+        F.when(F.col("stray"), F.col("met")).otherwise(F.col("own")).alias("members"),
+    )
     order = ["band", "code", "strays", "members"]
-    rows = one.unionByName(two).join(texts, "id").repartition(*order).sortWithinPartitions(*order, "stray", "id")
+    rows = dealt.join(texts, "id").repartition(*order).sortWithinPartitions(*order, "stray", "id")
     kind = texts.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_linked_in_blocks, f"a {kind}, b {kind}")
 
@@ -313,46 +331,53 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.md5("text").alias("text_key"), "text")
     signed = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     # One row per different text; copies merge before they move.
-    unique = checkpointed(
+    unique = Written(
         signed.select("doc_id", "text_key", _bands_of(F.col("text")).alias("bands"))
         .groupBy("text_key")
         .agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"))
     )
-    placed = unique.where(F.col("bands").isNotNull()).select("id", F.posexplode("bands").alias("band", "code"))
+    placed = unique.read().where(F.col("bands").isNotNull()).select("id", F.posexplode("bands").alias("band", "code"))
     shared = (
         placed.groupBy("band", "code")
         .agg(F.min("id").alias("first"), F.max("id").alias("last"))
         .where(F.col("first") != F.col("last"))
         .drop("last")
     )
-    members = checkpointed(placed.join(shared, ["band", "code"]))
-    wanted = members.select("id").distinct().join(unique.select("id", "text_key", "bands"), "id")
-    texts = checkpointed(
+    members = Written(placed.join(shared, ["band", "code"]))
+    wanted = members.read().select("id").distinct().join(unique.read().select("id", "text_key", "bands"), "id")
+    texts = Written(
         signed.join(wanted.withColumnRenamed("id", "_id"), "text_key")
         .where(F.col("doc_id") == F.col("_id"))
         .groupBy(F.col("_id").alias("id"), "text_key")
         .agg(F.any_value("text").alias("text"), F.any_value("bands").alias("bands"))
         .select("id", "text", "bands")
     )
-    votes = members.where(F.col("id") != F.col("first")).groupBy("id", "first").agg(F.count("*").alias("n"))
+    votes = members.read().where(F.col("id") != F.col("first")).groupBy("id", "first").agg(F.count("*").alias("n"))
     nearest = votes.groupBy("id").agg(F.max_by("first", F.struct("n", "first")).alias("a"))
-    links = checkpointed(_verified(nearest.select("a", F.col("id").alias("b")), texts))
-    open_members = _located(members, links)
-    centre = open_members.groupBy("band", "code").agg(F.min_by(F.struct("id", "part"), F.xxhash64("id")).alias("c"))
+    links = checkpointed(_verified(nearest.select("a", F.col("id").alias("b")), texts.read()))
+    mixed = _located(members.read(), links)
+    members.remove()
+    centre = mixed.read().groupBy("band", "code").agg(F.min_by(F.struct("id", "part"), F.xxhash64("id")).alias("c"))
     pairs = (
-        open_members.join(centre, ["band", "code"])
+        mixed.read().join(centre, ["band", "code"])
         .where(F.col("part") != F.col("c.part"))
         .select(F.col("c.id").alias("a"), F.col("id").alias("b"))
         .distinct()
     )
-    links = links.unionByName(checkpointed(_verified(pairs, texts)))
-    links = links.unionByName(checkpointed(_between_parts(_located(members, links), texts)))
+    links = links.unionByName(checkpointed(_verified(pairs, texts.read())))
+    # Parts only merge, so a bucket of one part stays one.
+    left = _located(mixed.read().select("band", "code", "id"), links)
+    mixed.remove()
+    links = links.unionByName(checkpointed(_between_parts(left.read(), texts.read())))
+    left.remove()
+    texts.remove()
     parts = components(links, "a", "b").select(F.col("node").alias("id"), "component")
-    classes = (
-        unique.select("id", "text_key")
+    classes = checkpointed(
+        unique.read().select("id", "text_key")
         .join(parts, "id", "left")
         .select("text_key", F.coalesce("component", "id").alias("class_id"))
     )
+    unique.remove()
     found = keyed.select("doc_id", "text_key").join(classes, "text_key", "left")
     alone = F.col("class_id").isNull() | F.col("doc_id").isNull()
     return found.select(
@@ -366,7 +391,7 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each class, with all its columns: the one with the smallest id.
 
-    Of repeated rows one stays.  ``docs`` may have any columns but those that begin with an underscore.
+    Of repeated rows one stays.  ``docs`` may have any columns beside ``doc_id`` and ``text``.
     """
     kept = (
         duplicate_classes(docs)
@@ -374,9 +399,11 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
         .agg(F.count("*").alias("_rows"))
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.md5("text").eqNullSafe(F.col("_key"))
-    joined = docs.join(kept, same)
+    # Whole rows are carried as one column, so their names meet no others.
+    rows = docs.select("doc_id", F.md5("text").alias("text_key"), F.struct("*").alias("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key"))
+    joined = rows.join(kept, same)
     # Rows without an id are alone: they stay, whatever their number.
     once = (F.col("_rows") == 1) | F.col("doc_id").isNull()
     repeated = joined.where(~once).dropDuplicates(["_id", "_key"])
-    return joined.where(once).select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    return joined.where(once).select("row.*").unionByName(repeated.select("row.*"))
