@@ -9,6 +9,8 @@ import os
 import sys
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,14 +58,17 @@ from roadtrace.sources.sinks import write_csv, write_matches, write_segments  #
 from roadtrace.sources.text import parse_text  # noqa: E402
 from roadtrace.staging import shared_folder  # noqa: E402
 
-try:
+corpus_pipeline = llm = None
+# Only where the subpackage is absent; an error inside it is not hidden.
+if find_spec("roadtrace.llm") and find_spec("corpus_pipeline"):
     import corpus_pipeline
     from roadtrace.llm import queries as llm
-except ImportError:
-    corpus_pipeline = llm = None
 
 P = MatchParams.from_args(["alpha=4", "beta=10", "tau=100", "theta=4", "gamma=200"])
 GAUSSIAN = MatchParams(tau=500, emission="gaussian")
+# Every point is a block of its own.
+LONG = replace(P, block_seconds=1)
+RESTART = replace(P, restart=True)
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -105,9 +110,10 @@ def _points_of(spark: SparkSession, sf: str):
     return net, matched_candidates(_points(spark, sf), net, P)
 
 
-def _moves(spark: SparkSession, sf: str) -> DataFrame:
-    net, points = _points_of(spark, sf)
-    return scored_moves(points, candidate_paths(points, net, P), P)
+def _moves(spark: SparkSession, sf: str, p: MatchParams = P) -> DataFrame:
+    net = _network(spark, sf)
+    points = matched_candidates(_points(spark, sf), net, p)
+    return scored_moves(points, candidate_paths(points, net, p), p)
 
 
 def pings_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -317,9 +323,19 @@ def decoded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def decoded_gaussian(spark: SparkSession, sf: str) -> DataFrame:
-    net = _network(spark, sf)
-    points = matched_candidates(_points(spark, sf), net, GAUSSIAN)
-    return decode(scored_moves(points, candidate_paths(points, net, GAUSSIAN), GAUSSIAN), GAUSSIAN)
+    return decode(_moves(spark, sf, GAUSSIAN), GAUSSIAN)
+
+
+def decoded_long(spark: SparkSession, sf: str) -> DataFrame:
+    return decode(_moves(spark, sf, LONG), LONG)
+
+
+def decoded_restart(spark: SparkSession, sf: str) -> DataFrame:
+    return decode(_moves(spark, sf, RESTART), RESTART)
+
+
+def routes_restart(spark: SparkSession, sf: str) -> DataFrame:
+    return match(_segments(spark, sf), derived_ways(spark, sf), derived_nodes(spark, sf), RESTART)
 
 
 def routes(spark: SparkSession, sf: str) -> DataFrame:
@@ -418,7 +434,10 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "transitions": transition_rows,
         "decoded": decoded,
         "decoded_gaussian": decoded_gaussian,
+        "decoded_long": decoded_long,
+        "decoded_restart": decoded_restart,
         "routes": routes,
+        "routes_restart": routes_restart,
         "load_ways": load_ways,
         "load_nodes": load_nodes,
         "load_trajectories": load_trajectories,

@@ -302,6 +302,29 @@ FROM (SELECT customid, trajid, way, unnest(range(1, len(way)+1)) AS n FROM best)
 JOIN numbered i ON i.customid=b.customid AND i.trajid=b.trajid AND i.n=b.n AND i.rank=b.way[b.n]
 LEFT JOIN numbered k ON k.customid=b.customid AND k.trajid=b.trajid AND k.n=b.n-1 AND k.rank=b.way[b.n-1]""")
 
+# The same with a new chain after every break.  A way marks the first candidate of a later chain by a minus sign.
+part("restart_recursion", "score", """
+SELECT customid, trajid, n, i, emit, [i] FROM score WHERE n = 1
+UNION ALL
+SELECT customid, trajid, n, i, CASE WHEN alive THEN w.s + emit ELSE emit END,
+  CASE WHEN alive THEN list_append(w.w, i) ELSE list_append(ended.w, -i) END FROM (
+  SELECT s.customid, s.trajid, s.n, s.i, any_value(s.emit) AS emit,
+    max({'s': r.score + s.step, 'mk': -s.k, 'w': r.way}) FILTER (WHERE s.step IS NOT NULL) AS w,
+    max({'s': r.score, 'mr': -r.rank, 'w': r.way}) AS ended,
+    bool_or(bool_or(s.step IS NOT NULL)) OVER (PARTITION BY s.customid, s.trajid, s.n) AS alive
+  FROM restart_recursion r JOIN score s ON s.customid=r.customid AND s.trajid=r.trajid AND s.n=r.n+1 AND s.k=r.rank
+  GROUP BY s.customid, s.trajid, s.n, s.i)
+WHERE NOT alive OR w IS NOT NULL""")
+
+part("restart_dec", "restart_recursion numbered", """
+SELECT b.customid, b.trajid, i.timest, i.latitude, i.longitude, i.road_id, i.prev_timest,
+  CASE WHEN b.way[b.n] > 0 THEN k.road_id END AS prev_id, i.n = i.n_points OR coalesce(b.way[b.n+1] < 0, false) AS is_last
+FROM (SELECT customid, trajid, w.way AS way, unnest(range(1, len(w.way)+1)) AS n FROM (
+  SELECT customid, trajid, max({'n': n, 's': score, 'mr': -rank, 'way': way}) AS w FROM restart_recursion
+  GROUP BY customid, trajid)) b
+JOIN numbered i ON i.customid=b.customid AND i.trajid=b.trajid AND i.n=b.n AND i.rank=abs(b.way[b.n])
+LEFT JOIN numbered k ON k.customid=b.customid AND k.trajid=b.trajid AND k.n=b.n-1 AND k.rank=abs(b.way[b.n-1])""")
+
 # The same with a search radius of 500 and the normal density, under names that begin with far_.
 FAR = ("hit", "cand", "chorded", "dropped", "footed", "point", "numbered", "move", "score", "recursion", "best", "dec", "fact",
        "paths", "path0", "path1", "path2", "path3", "path4")
@@ -327,6 +350,13 @@ SELECT m.*, floor((-0.5::double*(c.distance/10)*(c.distance/10) - {math.log(math
   AS emit, floor(log_move*1e9+0.5::double)::bigint AS step
 FROM far_move m JOIN far_cand c USING (customid, trajid, timest, road_id)""")
 
+ROUTES = """
+SELECT customid, trajid, timest, "roadID", seq FROM (
+  SELECT d.customid, d.trajid, d.prev_timest AS timest, unnest(p.ids[1:p.roads-1]) AS "roadID",
+    unnest(range(0, p.roads-1)) AS seq
+  FROM dec d JOIN paths p ON p.start_id=d.prev_id AND p.end_id=d.road_id WHERE d.prev_id <> d.road_id
+  UNION ALL SELECT customid, trajid, timest, road_id, 0 FROM dec WHERE is_last)"""
+
 SEG_COLUMNS = "customid, timest, latitude, longitude, accuracy, timediff, spacediff, speed, speeddiff, trajid"
 
 
@@ -393,12 +423,10 @@ SELECT customid, trajid, prev_timest, timest, prev_id, road_id, {snap('route', 3
   {snap('coalesce(exp(log_move), 0)', 6)} AS prob FROM move WHERE k IS NOT NULL"""),
         "decoded": statement("dec", "SELECT * FROM dec"),
         "decoded_gaussian": statement("far_dec", "SELECT * FROM far_dec"),
-        "routes": statement("dec paths", """
-SELECT customid, trajid, timest, "roadID", seq FROM (
-  SELECT d.customid, d.trajid, d.prev_timest AS timest, unnest(p.ids[1:p.roads-1]) AS "roadID",
-    unnest(range(0, p.roads-1)) AS seq
-  FROM dec d JOIN paths p ON p.start_id=d.prev_id AND p.end_id=d.road_id WHERE d.prev_id <> d.road_id
-  UNION ALL SELECT customid, trajid, timest, road_id, 0 FROM dec WHERE is_last)"""),
+        "decoded_long": statement("dec", "SELECT * FROM dec"),
+        "decoded_restart": statement("restart_dec", "SELECT * FROM restart_dec"),
+        "routes": statement("dec paths", ROUTES),
+        "routes_restart": statement("restart_dec paths", ROUTES.replace("FROM dec", "FROM restart_dec")),
         "load_ways": statement("tagged", """
 SELECT id, version, CASE WHEN version=2 THEN highway WHEN k%45=1 THEN 'residential' ELSE 'service' END AS highway,
   CASE WHEN k%3=0 THEN 'no' ELSE 'yes' END AS oneway, 'N'||k||','||'N'||(k+step)||','||'N'||(k+2*step) AS nodes

@@ -2,13 +2,17 @@
 
 A trajectory is cut into time blocks.  Inside a block a fold keeps, for each possible entry candidate, the best
 score of every candidate reached and where it came from.  Blocks of one trajectory then meet as small matrices
-(at most alpha x alpha numbers each, one row per block) to choose entry and exit of every block, and each block
-reads off its own part.  Scores are whole numbers and ties go to the smaller candidate of the later point first,
+(at most alpha x alpha numbers each), a few at a time (``chains``), to choose entry and exit of every block, and each
+block reads off its own part.  Scores are whole numbers and ties go to the smaller candidate of the later point first,
 so the outcome is the same as for one pass over the whole trajectory.  Trajectories inside one block, the usual
 case, skip the middle step.
 
+Where no candidate of a point can be reached, the chain breaks off.  Without ``restart`` all that follows has no road;
+with it a new chain begins at that point, with all its candidates.
+
 A score and the candidate it came from share one number: score * width + (width - 1 - candidate), where width is
-a power of two not below alpha.  The largest of these numbers is the best score, and the first candidate on ties.
+a power of two above alpha.  The largest of these numbers is the best score, and the first candidate on ties.  The last
+part, 0, says that a chain begins here.
 The score of a candidate leaves out its own emission, which is part of every move out of it instead.
 """
 
@@ -20,12 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadtrace.operators.candidates import BLOCK
+from roadtrace.operators.chains import ENTRIES, chosen_blocks
 from roadtrace.operators.transitions import KEYS, ORDER, scored
 from roadtrace.params import MatchParams
 from roadtrace.staging import staged
 
-WAYS = "array<struct<score:bigint,final:bigint,way:array<int>>>"
-
 
 def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once."""
@@ -38,7 +41,7 @@ def _positions(array: Column) -> Column:
 
 
 def _width(p: MatchParams) -> int:
-    return 1 << (p.alpha - 1).bit_length()
+    return 1 << p.alpha.bit_length()
 
 
 def _score(packed: Column, width: int) -> Column:
@@ -92,33 +95,53 @@ def block_steps(moves: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     return per_point.groupBy(*BLOCK).agg(F.array_sort(F.collect_list(step)).alias("steps"))
 
 
-def _forward(steps: Column, entries: Column, entry: Column, width: int) -> Column:
+def _fresh(point: Column, width: int) -> Column:
+    """Does a chain begin at this point of a fold?"""
+    return F.exists(point, lambda b: b.isNotNull() & (b.bitwiseAND(F.lit(width - 1).cast("bigint")) == 0))
+
+
+def _forward(steps: Column, entries: Column, entry: Column, width: int, restart: bool) -> Column:
     """Fold over the points of a block, entered at one candidate.
 
     The result has one array before the first and one after each point, with the packed number of each
     candidate, null where it cannot be reached.  The state is that growing list and nothing else, so a step
     copies references only.
     """
-    start = F.transform(_positions(entries), lambda e: F.when(e == entry, F.lit(0).cast("bigint")))
+    nothing = F.lit(0).cast("bigint")
+    start = F.transform(_positions(entries), lambda e: F.when(e == entry, nothing))
+
+    def reached_or_new(reached: Column) -> Column:
+        if not restart:
+            return reached
+        return _bind(
+            reached,
+            lambda own: F.when(F.exists(own, lambda b: b.isNotNull()), own).otherwise(F.transform(own, lambda _: nothing)),
+        )
+
     return F.aggregate(
         steps,
         F.array(start),
         lambda reached, point: F.concat(
             reached,
             F.array(
-                F.transform(
-                    point["cands"]["into"],
-                    lambda into: F.array_max(
-                        F.zip_with(F.element_at(reached, -1), into, lambda s, m: _score(s, width) + m)
-                    ),
+                reached_or_new(
+                    F.transform(
+                        point["cands"]["into"],
+                        lambda into: F.array_max(
+                            F.zip_with(F.element_at(reached, -1), into, lambda s, m: _score(s, width) + m)
+                        ),
+                    )
                 )
             ),
         ),
     )
 
 
-def _survived(reached: Column) -> Column:
+def _survived(reached: Column, width: int, restart: bool) -> Column:
     """Number of points until no candidate can be reached."""
+    if restart:
+        first = F.get(F.filter(_positions(reached), lambda j: (j > 0) & _fresh(F.get(reached, j), width)), F.lit(0))
+        return F.coalesce(first, F.size(reached)) - 1
     return F.size(F.filter(reached, lambda point: F.exists(point, lambda b: b.isNotNull()))) - 1
 
 
@@ -128,7 +151,7 @@ def _emissions(steps: Column, n: Column) -> Column:
 
 
 def _walk(reached: Column, n: Column, exit_: Column, width: int) -> Column:
-    """Candidates from ``exit_`` at the n-th point back to the entry, latest first."""
+    """Candidates from ``exit_`` at the n-th point back to the entry, latest first, within one chain."""
     return F.aggregate(
         F.reverse(F.slice(reached, F.lit(2), n)),
         F.array(exit_),
@@ -136,18 +159,54 @@ def _walk(reached: Column, n: Column, exit_: Column, width: int) -> Column:
     )
 
 
+def _walk_chains(steps: Column, reached: Column, n: Column, exit_: Column, width: int) -> Column:
+    """The same over several chains: an earlier one is left at its best candidate."""
+    points = F.transform(
+        F.slice(reached, F.lit(2), n),
+        lambda point, j: F.struct(
+            point.alias("at"),
+            F.when(_fresh(point, width), _first_best(_finals(steps, reached, j, width))).alias("left"),
+        ),
+    )
+    return F.aggregate(
+        F.reverse(points),
+        F.array(exit_),
+        lambda way, p: F.concat(
+            way, F.array(F.coalesce(p["left"], _origin(F.get(p["at"], F.element_at(way, -1)), width)))
+        ),
+    )
+
+
+def _finals(steps: Column, reached: Column, n: Column, width: int) -> Column:
+    """Scores of the candidates of the n-th point with their emissions, null where they cannot be reached."""
+    return F.zip_with(F.get(reached, n), _emissions(steps, n), lambda b, emit: _score(b, width) + emit)
+
+
 def _first_best(scores: Column) -> Column:
     """Position of the highest score, the first one on ties."""
-    return -F.array_max(F.transform(scores, lambda s, x: F.struct(s.alias("s"), (-x).alias("minus"))))["minus"]
+    return -F.array_max(
+        F.filter(
+            F.transform(scores, lambda s, x: F.struct(s.alias("s"), (-x).alias("minus"))), lambda o: o["s"].isNotNull()
+        )
+    )["minus"]
 
 
-def _states(reached: Column, exit_: Column, width: int) -> Column:
+def _states(steps: Column, reached: Column, exit_: Column, width: int, restart: bool) -> Column:
     """Chosen candidates of the points of a block, in time order, as far as they can be reached."""
+    if restart:
+        n = F.size(reached) - 1
+        return F.reverse(F.slice(_walk_chains(steps, reached, n, exit_, width), F.lit(1), n))
     return _bind(
-        _survived(reached), lambda n: F.reverse(F.slice(_walk(reached, n, exit_, width), F.lit(1), n))
+        _survived(reached, width, restart),
+        lambda n: F.reverse(F.slice(_walk(reached, n, exit_, width), F.lit(1), n)),
     )
 
 
+def _begins(reached: Column, width: int) -> Column:
+    """Of each point of a block: does a chain begin there after a break?"""
+    return F.transform(F.slice(reached, F.lit(2), F.size(reached) - 1), lambda point: _fresh(point, width))
+
+
 def block_runs(steps: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     """The fold of every block from every possible entry; finished at once where the block is a trajectory."""
     c = F.col
@@ -155,24 +214,25 @@ def block_runs(steps: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     entries = c("steps")[0]["from_ids"]
     whole = c("steps")[0]["prev_timest"].isNull() & F.element_at("steps", -1)["is_last"]
     runs = steps.withColumn("whole", whole).withColumn(
-        "runs", F.transform(_positions(entries), lambda e: _forward(c("steps"), entries, e, width))
+        "runs", F.transform(_positions(entries), lambda e: _forward(c("steps"), entries, e, width, p.restart))
     )
     only = c("runs")[0]
-    finals = _bind(
-        _survived(only),
-        lambda n: F.zip_with(F.get(only, n), _emissions(c("steps"), n), lambda b, emit: _score(b, width) + emit),
+    last = F.size(only) - 1 if p.restart else _survived(only, width, False)
+    finals = _bind(last, lambda n: _finals(c("steps"), only, n, width))
+    done = F.when(
+        c("whole"), _bind(_first_best(finals), lambda x: _states(c("steps"), only, x, width, p.restart))
     )
-    done = F.when(c("whole"), _bind(_first_best(finals), lambda x: _states(only, x, width)))
-    return runs.withColumn("states", done).withColumn("runs", F.when(~c("whole"), c("runs")))
+    begins = F.when(c("whole"), _begins(only, width)) if p.restart else F.lit(None).cast("array<boolean>")
+    return runs.withColumns({"states": done, "begins": begins}).withColumn("runs", F.when(~c("whole"), c("runs")))
 
 
-def _block_matrices(runs: DataFrame, width: int) -> DataFrame:
-    """Per block of the longer trajectories: points survived, and of every (entry, exit) the score without and
-    with the emission at the exit, and the tie rank."""
+def _block_matrices(runs: DataFrame, width: int, restart: bool) -> DataFrame:
+    """Summaries of the blocks of longer trajectories, as ``chains`` combines them: per entry the ways to all exits, or
+    where it breaks off, the best candidate there and the ways after a restart."""
     c = F.col
     parts = (
         runs.where(~c("whole"))
-        .select(*BLOCK, "steps", "runs", F.transform("runs", _survived).alias("ns"))
+        .select(*BLOCK, "steps", "runs", F.transform("runs", lambda r: _survived(r, width, restart)).alias("ns"))
         .withColumn(
             "walks",
             F.transform(
@@ -197,171 +257,86 @@ def _block_matrices(runs: DataFrame, width: int) -> DataFrame:
         )
         return F.size(F.filter(others, lambda smaller: smaller))
 
-    matrix = F.transform(
-        "runs",
-        lambda r, e: F.struct(
-            c("ns")[e].alias("n"),
-            F.transform(
-                F.get(r, c("ns")[e]),
-                lambda b, x: F.struct(
+    def ways_at(r: Column, n: Column, rank: Callable[[Column], Column]) -> Column:
+        return F.transform(
+            F.get(r, n),
+            lambda b, x: F.when(
+                b.isNotNull(),
+                F.struct(
                     _score(b, width).alias("score"),
-                    (_score(b, width) + F.get(_emissions(c("steps"), c("ns")[e]), x)).alias("final"),
-                    rank_of(e, x, F.get(c("walks")[e], x)).alias("rank"),
-                ),
-            ).alias("ways"),
-        ),
-    )
-    return parts.select(*BLOCK, F.size("steps").alias("n"), matrix.alias("runs"))
-
-
-def choose_blocks(runs: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
-    """Entry and exit candidate of every block of the trajectories that span several blocks.
-
-    One row per block meets per trajectory; their number is bounded by its time span over the block length.
-    """
-    c = F.col
-    per_trajectory = (
-        _block_matrices(runs, _width(p))
-        .groupBy(*KEYS)
-        .agg(F.array_sort(F.collect_list(F.struct("tblock", "n", "runs"))).alias("blocks"))
-    )
-    nothing = F.lit(0).cast("bigint")
-    initial = F.struct(
-        F.lit(True).alias("alive"),
-        F.array(
-            F.struct(nothing.alias("score"), nothing.alias("final"), F.array().cast("array<int>").alias("way"))
-        )
-        .cast(WAYS)
-        .alias("ways"),
-    )
-
-    def exit_from(state: Column, block: Column, x: Column) -> Column:
-        """Best way to leave a block at candidate x, over the entries that survive the block."""
-        options = F.transform(
-            block["runs"],
-            lambda r, e: F.when(
-                r["n"] == block["n"],
-                _bind(
-                    F.get(r["ways"], x),
-                    lambda w: F.struct(
-                        (F.get(state["ways"], e)["score"] + w["score"]).alias("score"),
-                        (-w["rank"]).alias("minus_rank"),
-                        e.alias("e"),
-                        (F.get(state["ways"], e)["score"] + w["final"]).alias("final"),
-                    ),
+                    (_score(b, width) + F.get(_emissions(c("steps"), n), x)).alias("final"),
+                    rank(x).alias("rank"),
                 ),
             ),
         )
-        return _bind(
-            F.array_max(F.filter(options, lambda o: o["score"].isNotNull())),
-            lambda top: F.struct(
-                top["score"].alias("score"),
-                top["final"].alias("final"),
-                F.when(
-                    top["score"].isNotNull(), F.concat(F.get(state["ways"], top["e"])["way"], F.array(x))
-                ).alias("way"),
-            ),
-        )
 
-    def last_stand(state: Column, block: Column) -> Column:
-        """No entry survives the block: the latest point reached, then the best score there."""
-        options = F.flatten(
-            F.transform(
-                block["runs"],
-                lambda r, e: F.transform(
-                    r["ways"],
-                    lambda w, x: F.struct(
-                        r["n"].alias("n"),
-                        (F.get(state["ways"], e)["score"] + w["final"]).alias("score"),
-                        (-x).alias("minus_x"),
-                        (-w["rank"]).alias("minus_rank"),
-                        e.alias("e"),
+    size = F.size("steps")
+    entries = F.transform(
+        F.transform(
+            "runs",
+            lambda r, e: F.struct(
+                c("ns")[e].alias("n"),
+                ways_at(r, c("ns")[e], lambda x: rank_of(e, x, F.get(c("walks")[e], x))).alias("ways"),
+                (ways_at(r, size, lambda _: F.lit(0)) if restart else F.array()).alias("after"),
+            ),
+        ),
+        lambda s: F.struct(
+            F.when(s["n"] < size, s["n"].cast("bigint")).alias("broke"),
+            F.when(
+                s["n"] < size,
+                _bind(
+                    _first_best(s["ways"]["final"]),
+                    lambda x: F.struct(
+                        F.get(s["ways"], x)["final"].alias("score"), x.alias("x"), F.get(s["ways"], x)["rank"].alias("rank")
                     ),
                 ),
-            )
-        )
-        return _bind(
-            F.array_max(F.filter(options, lambda o: o["score"].isNotNull())),
-            lambda top: F.struct(
-                F.lit(False).alias("alive"),
-                F.array(
-                    F.struct(
-                        top["score"].alias("score"),
-                        top["score"].alias("final"),
-                        F.concat(F.get(state["ways"], top["e"])["way"], F.array(-top["minus_x"])).alias("way"),
-                    )
-                )
-                .cast(WAYS)
-                .alias("ways"),
-            ),
-        )
+            ).alias("stand"),
+            F.when(s["n"] == size, s["ways"]).otherwise(s["after"]).alias("ways"),
+        ),
+    )
+    return parts.select(*BLOCK, entries.cast(ENTRIES).alias("entries"))
 
-    def advance(state: Column, block: Column) -> Column:
-        exits = F.array_max(
-            F.transform(block["runs"], lambda r: F.when(r["n"] == block["n"], F.size(r["ways"])).otherwise(0))
-        )
-        reached = F.transform(
-            F.filter(F.sequence(F.lit(0), exits), lambda x: x < exits), lambda x: exit_from(state, block, x)
-        ).cast(WAYS)
-        return F.when(
-            state["alive"],
-            _bind(
-                reached,
-                lambda ways: F.when(
-                    F.exists(ways, lambda w: w["score"].isNotNull()),
-                    _bind(
-                        F.array_max(ways["score"]),
-                        lambda top: F.struct(
-                            F.lit(True).alias("alive"),
-                            F.transform(
-                                ways,
-                                lambda w: F.struct(
-                                    (w["score"] - top).alias("score"),
-                                    (w["final"] - top).alias("final"),
-                                    w["way"].alias("way"),
-                                ),
-                            )
-                            .cast(WAYS)
-                            .alias("ways"),
-                        ),
-                    ),
-                ).otherwise(last_stand(state, block)),
-            ),
-        ).otherwise(state)
 
-    final = F.aggregate(
-        "blocks", initial, advance, lambda s: F.get(s["ways"], _first_best(s["ways"]["final"]))["way"]
-    )
-    return (
-        per_trajectory.select(*KEYS, c("blocks.tblock").alias("tblocks"), final.alias("exits"))
-        .select(*KEYS, "tblocks", "exits", F.posexplode("exits").alias("pos", "exit"))
-        .select(
-            *KEYS,
-            F.get("tblocks", c("pos")).alias("tblock"),
-            F.coalesce(F.get("exits", c("pos") - 1), F.lit(0)).alias("entry"),
-            "exit",
-        )
-    )
+def choose_blocks(runs: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
+    """Entry and exit candidate of every block of the trajectories that span several blocks."""
+    return chosen_blocks(_block_matrices(runs, _width(p), p.restart), KEYS)
 
 
 def decode(moves: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     """The matched road of each point, with the matched road and time of the point before.
 
-    If at some point no candidate can be reached, that point and all later ones of the trajectory get none.
+    If at some point no candidate can be reached, that point and all later ones of the trajectory get none.  With
+    ``restart`` a new chain begins there instead: its first point has no road before it (``prev_id``), and the last point
+    of the chain before counts as last (``is_last``), so that the route ends with its road.
     """
     c = F.col
+    width = _width(p)
     runs = staged(block_runs(block_steps(moves, p), p))
-    whole = runs.where(c("whole")).select(*BLOCK, "steps", "states", F.lit(0).alias("entry"))
+    carried = [*BLOCK, "steps", "states", "begins", "entry", "ends"]
+    whole = runs.where(c("whole")).withColumns({"entry": F.lit(0), "ends": F.lit(False)}).select(*carried)
+    run = F.get("runs", c("entry"))
     cut = (
         runs.where(~c("whole"))
+        .drop("states", "begins")
         .join(choose_blocks(runs, p), BLOCK)
-        .select(*BLOCK, "steps", _states(F.get("runs", c("entry")), c("exit"), _width(p)).alias("states"), "entry")
+        .withColumns({
+            "states": _states(c("steps"), run, c("exit"), width, p.restart),
+            "begins": _begins(run, width) if p.restart else F.lit(None).cast("array<boolean>"),
+        })
+        .select(*carried)
     )
     chosen = whole.unionByName(cut)
     place = F.col("at")
     step, before = F.get("steps", place), F.get("steps", place - 1)
+    before_id = F.when(place == 0, F.get(step["from_ids"], c("entry"))).otherwise(
+        F.get(before["cands"], F.get("states", place - 1))["road_id"]
+    )
+    last = step["is_last"]
+    if p.restart:
+        before_id = F.when(~F.get("begins", place), before_id)
+        last = last | F.coalesce(F.get("begins", place + 1), c("ends"))
     return (
-        chosen.select(*BLOCK, "steps", "states", "entry", F.posexplode("states").alias("at", "state"))
+        chosen.select(*carried, F.posexplode("states").alias("at", "state"))
         .select(
             *KEYS,
             step["timest"].alias("timest"),
@@ -369,9 +344,7 @@ def decode(moves: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
             step["longitude"].alias("longitude"),
             F.get(step["cands"], c("state"))["road_id"].alias("road_id"),
             step["prev_timest"].alias("prev_timest"),
-            F.when(place == 0, F.get(step["from_ids"], c("entry")))
-            .otherwise(F.get(before["cands"], F.get("states", place - 1))["road_id"])
-            .alias("prev_id"),
-            step["is_last"].alias("is_last"),
+            before_id.alias("prev_id"),
+            last.alias("is_last"),
         )
     )

@@ -68,7 +68,8 @@ class MatchParams:
     ``functions.geo.project``).  ``keep_dead_ends`` set to False drops a road reached at hop theta-1 that has
     no neighbour outside its path.  ``full_length`` sums all pieces of a road instead of taking first to last
     node.  ``emission`` is ``inverse`` (share of the inverse distances) or ``gaussian`` (density of the
-    distance).  ``block_seconds`` only sets how a trajectory is split over tasks.
+    distance).  ``block_seconds`` only sets how a trajectory is split over tasks.  ``restart`` begins a new chain of roads
+    where no candidate of a point can be reached; else the rest of the trajectory has none.
 
     Cost: with theta up to 4 only the cheapest path per pair of roads goes on after each hop; with more hops, or with
     ``keep_dead_ends=False``, all simple paths do, whose number grows with the degree to the power of theta.
@@ -86,6 +87,7 @@ class MatchParams:
     full_length: bool = False
     emission: str = "inverse"
     block_seconds: int = 600
+    restart: bool = False
 
     def __post_init__(self) -> None:
         if self.theta < 2:

@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from roadtrace.operators.chains import PLACES, combined, passed
 from roadtrace.operators.decode import decode
 from roadtrace.operators.route import routes
 from roadtrace.operators.transitions import LOG_SCALE
@@ -136,6 +137,101 @@ def test_same_for_every_block_length_and_width(spark, block, alpha):
     assert {(r.customid, r.timest, r.road_id, r.prev_timest, r.prev_id, r.is_last) for r in got} == expected
 
 
+def chains(cands, moves):
+    """States of every chain, with the place where it begins: after a break a new one begins."""
+    start = 0
+    while start < len(cands):
+        states = viterbi(cands[start:], moves[start:])
+        yield start, states
+        start += len(states)
+
+
+@pytest.mark.parametrize("block, alpha", [(1, 4), (7, 4), (30, 7), (200, 4), (10**6, 4), (10**6, 8)])
+def test_restart_after_every_break(spark, block, alpha):
+    rng = random.Random(9)
+    rows, expected = [], set()
+    for n in range(60):
+        length = rng.choice([1, 2, 3, 10, 25, 40])
+        cands, moves = trellis(rng, length, {rng.randrange(1, 40) for _ in range(n % 5)})
+        t, times = 1000 + rng.randrange(50), []
+        for _ in range(length):
+            t += rng.choice([1, 1, 5, 20, 90])
+            times.append(t)
+        rows += rows_of(f"u{n}", times, cands, moves, block)
+        for start, states in chains(cands, moves):
+            before = None
+            for k, s in enumerate(states):
+                at = start + k
+                road = cands[at][s][0]
+                last = k == len(states) - 1
+                expected.add((f"u{n}", times[at], road, times[at - 1] if at else None, before, last))
+                before = road
+    got = decode(spark.createDataFrame(rows, SCHEMA), MatchParams(alpha=alpha, restart=True)).collect()
+    assert len(got) == len(expected)
+    assert {(r.customid, r.timest, r.road_id, r.prev_timest, r.prev_id, r.is_last) for r in got} == expected
+
+
+@pytest.mark.parametrize("restart", [False, True])
+def test_a_trajectory_of_many_blocks(spark, restart):
+    rng = random.Random(3)
+    length, broken = 4000, {1500, 3000, 3001} if restart else ()
+    cands = [[(f"r{t % 5}_{c}", rng.choice([0.25, 0.5])) for c in range(2)] for t in range(length)]
+    moves = [None] + [
+        [[None if t in broken else rng.choice([-1.0, -1.5, -2.0]) for _ in range(2)] for _ in range(2)] for t in range(1, length)
+    ]
+    # Blocks without points in between.
+    times = [7 * t + (900 if t > 2000 else 0) for t in range(length)]
+    frame = spark.createDataFrame(rows_of("u", times, cands, moves, 1), SCHEMA)
+    got = {r.timest: r.road_id for r in decode(frame, MatchParams(restart=restart)).collect()}
+    expected = {times[a + k]: cands[a + k][s][0] for a, states in chains(cands, moves) for k, s in enumerate(states)}
+    assert got == expected
+
+
+def test_no_points(spark):
+    for restart in (False, True):
+        assert decode(spark.createDataFrame([], SCHEMA), MatchParams(restart=restart)).count() == 0
+
+
+def test_combining_neighbours_in_any_order_is_the_same():
+    """Summaries of random blocks: ((a b) c) and (a (b c)) let the same chains pass."""
+    rng = random.Random(4)
+
+    def block(number):
+        def ways():
+            return [None if rng.random() < 0.3 else {"score": (s := -rng.randrange(4)), "final": s - 1, "rank": rng.randrange(3)}
+                    for _ in range(3)]
+
+        rows = []
+        tails = {n: ways() for n in range(3)}
+        for _ in range(3):
+            if rng.random() < 0.5:
+                n = rng.randrange(3)
+                rows.append({"broke": number * PLACES + n, "stand": {"score": -rng.randrange(3), "x": rng.randrange(3), "rank": 0},
+                             "ways": [w and dict(w) for w in tails[n]]})
+            else:
+                row = ways()
+                rows.append({"broke": None, "stand": None, "ways": row if any(row) else [{"score": 0, "final": 0, "rank": 0}] * 3})
+        for x in range(3):
+            for rank, row in enumerate(rng.sample(rows, 3)):
+                if row["ways"][x] and row["broke"] is None:
+                    row["ways"][x] = {**row["ways"][x], "rank": rank}
+        for rank, row in enumerate(rng.sample(rows, 3)):
+            if row["broke"] is not None:
+                row["stand"]["rank"] = rank
+        return rows
+
+    def shape(node, scores):
+        through = passed(node, scores)
+        known = [w[0] for w in through.out if w]
+        return through.broke, [w and w[0] - max(known) for w in through.out]
+
+    for _ in range(300):
+        a, b, c = block(0), block(1), block(2)
+        one, two = combined(combined(a, b), c), combined(a, combined(b, c))
+        for scores in ([0, None, None], [0, -1, -3], [None, -2, 0]):
+            assert shape(one, scores) == shape(two, scores)
+
+
 def decoded_frame(spark, rows):
     return spark.createDataFrame(
         rows,
