@@ -280,6 +280,11 @@ def paths_dead_ends_dropped(spark: SparkSession, sf: str) -> DataFrame:
     return _path_rows(neighbor_paths(net.pairs, net.roads, MatchParams(gamma=400.0, keep_dead_ends=False)))
 
 
+def paths_of_six_hops(spark: SparkSession, sf: str) -> DataFrame:
+    net, points = _points_of(spark, sf)
+    return _path_rows(neighbor_paths(net.pairs, candidate_roads(points), MatchParams(theta=6, gamma=600.0)))
+
+
 def paths_of_all_roads(spark: SparkSession, sf: str) -> DataFrame:
     net = _network(spark, sf)
     return _path_rows(neighbor_paths(net.pairs, net.roads, MatchParams(gamma=400.0)))
@@ -429,6 +434,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "candidate_roads": candidate_neighbours,
         "neighbor_paths": paths_of_candidates,
         "neighbor_paths_deep": paths_of_all_roads,
+        "neighbor_paths_six_hops": paths_of_six_hops,
         "neighbor_paths_no_dead_ends": paths_dead_ends_dropped,
         "transition_pairs": pair_rows,
         "transitions": transition_rows,

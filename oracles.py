@@ -222,6 +222,7 @@ SELECT s AS start_id, e AS end_id, w.micro AS micro, w.ids AS ids, w.lens AS len
 
 hop_parts("path", "SELECT road_id FROM cand", "cand", 4, 200)
 hop_parts("deep", "SELECT road_id FROM road", "road", 4, 400)
+hop_parts("six", "SELECT road_id FROM cand", "cand", 6, 600)
 
 # The same search as outer joins of the pair table: four rows wide, with the neighbour of the last row.
 part("wide", "adj", """
@@ -411,6 +412,8 @@ WHERE road_id IN (SELECT road_id FROM cand)"""),
 SELECT start_id, end_id, array_to_string(ids, '>') AS path, micro/1e6 AS cost, roads FROM paths"""),
         "neighbor_paths_deep": statement("deeps", """
 SELECT start_id, end_id, array_to_string(ids, '>') AS path, micro/1e6 AS cost, roads FROM deeps"""),
+        "neighbor_paths_six_hops": statement("sixs", """
+SELECT start_id, end_id, array_to_string(ids, '>') AS path, micro/1e6 AS cost, roads FROM sixs"""),
         "neighbor_paths_no_dead_ends": statement("prefix", """
 SELECT s AS start_id, e AS end_id, array_to_string(w.ids, '>') AS path, w.micro/1e6 AS cost, len(w.ids) AS roads FROM prefix"""),
         "transition_pairs": statement("numbered paths", f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadtrace.functions.geo import fixed
@@ -11,7 +11,7 @@ from roadtrace.params import MatchParams
 # Path costs are compared in whole micrometres: sums are exact, so ties do not depend on the order of adding.
 MICRO = 1e6
 
-# Up to this many hops only the cheapest path per (start, end, hops) has to be extended; see ``neighbor_paths``.
+# Up to this many hops one path per (start, end, hops) is enough to extend, the cheapest; see ``neighbor_paths``.
 PRUNABLE_HOPS = 4
 
 
@@ -26,7 +26,9 @@ def neighbor_paths(edges: DataFrame, starts: DataFrame, p: MatchParams = MatchPa
     Before each further hop the paths are reduced to the cheapest per (start, end).  With at most four hops
     this loses nothing: if the cheaper path shares a road with the rest of a dropped path, then that road is
     reached at a cost below ``gamma`` in fewer hops, and the rest follows from there.  With more hops the
-    untested last hop breaks that argument, so all simple paths are kept until the final reduction.
+    untested last hop breaks that argument: a shorter path has its last hop tested.  Nor does it hold if dead ends are
+    dropped.  Then a path is dropped only if, whatever roads follow it, a cheaper one of as many hops can be followed
+    by the same roads (``_irreplaceable``).  Both ways the paths that go on are a fixed number per (start, end, hops).
     """
     c = F.col
     pairs = edges.select(
@@ -73,7 +75,12 @@ def neighbor_paths(edges: DataFrame, starts: DataFrame, p: MatchParams = MatchPa
                 "start_id", F.slice("ids", 1, p.theta).alias("ids")
             ).distinct()
             frames[-1] = frame.join(extended, ["start_id", "ids"], "left_semi").select(*frame.columns)
-        frame = _cheapest(longer, ["start_id", "end_id"]) if prune and 1 < hop < p.theta else longer
+        if not 1 < hop < p.theta:
+            frame = longer
+        elif prune:
+            frame = _cheapest(longer, ["start_id", "end_id"])
+        else:
+            frame = _irreplaceable(longer, ["start_id", "end_id"], p.theta - hop)
         frames.append(frame)
     everything = frames[0]
     for other in frames[1:]:
@@ -100,6 +107,45 @@ def _cheapest(paths: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def _irreplaceable(paths: DataFrame, key: list[str], more: int) -> DataFrame:
+    """Paths of one number of hops without those that cheaper ones of the same ``key`` can replace.
+
+    A path may be followed by any ``more`` roads or fewer that it does not hold itself.  It is needed if there are such
+    roads of which every cheaper path holds one.  Going from the cheapest path on, ``hitting`` has sets of at most ``more``
+    roads, one of each path kept so far, so a path is kept if it avoids one of these sets, and the sets then take up one of
+    its own roads.  Start and end do not count: no continuation has them.  With i inner roads a path, a set can grow
+    in i ways at most ``more`` times, so there are at most i^more sets; the paths kept are at most
+    (i + more)! / (i! more!), the bound for set pairs of which only the equal ones are disjoint.  Equal costs go by ids,
+    which continuations do not change.
+    """
+    whole = F.struct("micro", "ids", "lengths", "first_at0", "last_at0")
+    grouped = paths.groupBy(*key).agg(F.array_sort(F.collect_list(whole)).alias("ordered"))
+    sets = f"array<{paths.schema['ids'].dataType.simpleString()}>"
+    kept = grouped.schema["ordered"].dataType.simpleString()
+
+    def hit(some: Column, inner: Column) -> Column:
+        return F.arrays_overlap(some, inner)
+
+    def with_one_more(hitting: Column, inner: Column) -> Column:
+        missing = F.filter(hitting, lambda some: ~hit(some, inner) & (F.size(some) < more))
+        return F.flatten(F.transform(missing, lambda some: F.transform(inner, lambda r: F.concat(some, F.array(r)))))
+
+    def step(state: Column, path: Column) -> Column:
+        inner = F.slice(path["ids"], F.lit(2), F.size(path["ids"]) - 2)
+        hitting = state["hitting"]
+        taken = F.struct(
+            F.concat(F.filter(hitting, lambda some: hit(some, inner)), with_one_more(hitting, inner)).alias("hitting"),
+            F.concat(state["kept"], F.array(path)).alias("kept"),
+        )
+        return F.when(F.exists(hitting, lambda some: ~hit(some, inner)), taken).otherwise(state)
+
+    begin = F.struct(F.array(F.array()).cast(sets).alias("hitting"), F.array().cast(kept).alias("kept"))
+    needed = F.aggregate("ordered", begin, step, lambda state: state["kept"])
+    return grouped.select(*key, F.explode(needed).alias("w")).select(
+        *key, "w.micro", "w.ids", "w.lengths", "w.first_at0", "w.last_at0"
+    )
+
+
 def path_facts(paths: DataFrame) -> DataFrame:
     """What the transition probability needs of each path; ``inner`` is the length without first and last road."""
     c = F.col

@@ -79,18 +79,18 @@ def test_last_hop_is_not_tested(spark):
     assert ("A", "C") not in found(spark, lengths, links, MatchParams(theta=3))
 
 
-@pytest.mark.parametrize("theta", [2, 3, 4, 5])
+@pytest.mark.parametrize("theta", [2, 3, 4, 5, 6, 7])
 @pytest.mark.parametrize("keep", [True, False])
 def test_same_as_the_search_on_random_networks(spark, theta, keep):
     rng = random.Random(theta * 10 + keep)
     lengths, links = {}, []
     # Forty separate small networks in one frame.
     for g in range(40):
-        names = [f"{g}_{k}" for k in range(rng.randrange(4, 8))]
+        names = [f"{g}_{k}" for k in range(rng.randrange(4, 8 if theta < 6 else 10))]
         for n in names:
             lengths[n] = rng.choice([0.0, 5.0, 30.0, 30.0, 60.0, 90.0, 120.5, 180.0, 250.0])
         pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-        links += rng.sample(pairs, min(len(pairs), rng.randrange(4, 11)))
+        links += rng.sample(pairs, min(len(pairs), rng.randrange(4, 11 if theta < 6 else 16)))
     used = {r for pair in links for r in pair}
     lengths = {k: v for k, v in lengths.items() if k in used}
     expected = search(lengths, links, theta, 200, keep)
