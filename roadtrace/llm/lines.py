@@ -130,10 +130,18 @@ class LineRuns:
             self._place(merged, level + 1)
 
     def _merged(self, runs: list[str]) -> DataFrame:
+        """Full outer merge joins: two runs need no shuffle.  (An aggregation of their union is planned without one as
+        well, but does not always bring equal buckets together.)"""
         rows = self.spark.table(runs[0])
         for run in runs[1:]:
-            rows = rows.unionByName(self.spark.table(run))
-        return rows.groupBy("line").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+            other = self.spark.table(run).select("line", F.col("n_docs").alias("more_docs"), F.col("keeper").alias("other_keeper"))
+            rows = rows.join(other, "line", "full").select(
+                "line",
+                (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more_docs", F.lit(0))).alias("n_docs"),
+                # One of them at most is known: a line has one batch that keeps it.
+                F.coalesce("keeper", "other_keeper").alias("keeper"),
+            )
+        return rows
 
     def totals(self) -> DataFrame | None:
         """``line``, ``n_docs`` and ``keeper`` over all batches; None before the first one.  Read it before ``drop``."""

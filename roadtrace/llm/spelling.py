@@ -178,7 +178,7 @@ def near_words(counted: DataFrame) -> DataFrame:
     key = F.xxhash64(F.array_join("one", ","), F.array_join("other", ","), "i", "j")
     rows = first.unionByName(second).select(
         F.concat_ws("|", F.array_join("one", ","), F.array_join("other", ","), "i", "j").alias("key"),
-        key.alias("deal"), same.alias("own"), "side", "word", "n",
+        key.alias("deal"), (same & (F.col("i") == F.col("j"))).alias("own"), "side", "word", "n",
     )
     dealt = rows.repartition("deal").sortWithinPartitions("deal", "key", "side")
     found = dealt.drop("deal").mapInArrow(_linked, "word string, n_near long, best_n long, best string")
