@@ -290,6 +290,13 @@ def paths_of_all_roads(spark: SparkSession, sf: str) -> DataFrame:
     return _path_rows(neighbor_paths(net.pairs, net.roads, MatchParams(gamma=400.0)))
 
 
+def paths_across_hubs(spark: SparkSession, sf: str) -> DataFrame:
+    """The paths of ``neighbor_paths_deep`` with every node of more than two roads taken as a hub."""
+    net = _network(spark, sf)
+    pairs, hubs = net.parts(hub_roads=2)
+    return _path_rows(neighbor_paths(pairs, net.roads, MatchParams(gamma=400.0), hubs))
+
+
 def pair_rows(spark: SparkSession, sf: str) -> DataFrame:
     net, points = _points_of(spark, sf)
     paths = candidate_paths(points, net, P)
@@ -434,6 +441,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "candidate_roads": candidate_neighbours,
         "neighbor_paths": paths_of_candidates,
         "neighbor_paths_deep": paths_of_all_roads,
+        "neighbor_paths_hubs": paths_across_hubs,
         "neighbor_paths_six_hops": paths_of_six_hops,
         "neighbor_paths_no_dead_ends": paths_dead_ends_dropped,
         "transition_pairs": pair_rows,

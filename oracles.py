@@ -440,6 +440,7 @@ WHERE version=2 OR k%45=1 OR k%35=2"""),
 SELECT customid, trajid, timest, latitude, longitude, timediff, spacediff, speed, longitude AS json_lon, latitude AS json_lat
 FROM good"""),
     }
+    found["neighbor_paths_hubs"] = found["neighbor_paths_deep"]
     found["sink_matches"] = found["routes"]
     found["sink_segments"] = found["segments"]
     found["sink_csv"] = statement("road tagged", """

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadtrace.functions.geo import fixed
+from roadtrace.operators.roads import touches
 from roadtrace.params import MatchParams
+from roadtrace.staging import staged
 
 # Path costs are compared in whole micrometres: sums are exact, so ties do not depend on the order of adding.
 MICRO = 1e6
@@ -15,7 +17,9 @@ MICRO = 1e6
 PRUNABLE_HOPS = 4
 
 
-def neighbor_paths(edges: DataFrame, starts: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
+def neighbor_paths(
+    edges: DataFrame, starts: DataFrame, p: MatchParams = MatchParams(), hubs: DataFrame | None = None
+) -> DataFrame:
     """The cheapest path of at most ``theta`` hops for every (start, end): path, cost, number of roads.
 
     A path visits each road once.  A hop is allowed while the roads before the new one sum to less than
@@ -29,6 +33,10 @@ def neighbor_paths(edges: DataFrame, starts: DataFrame, p: MatchParams = MatchPa
     untested last hop breaks that argument: a shorter path has its last hop tested.  Nor does it hold if dead ends are
     dropped.  Then a path is dropped only if, whatever roads follow it, a cheaper one of as many hops can be followed
     by the same roads (``_irreplaceable``).  Both ways the paths that go on are a fixed number per (start, end, hops).
+
+    ``edges`` is the pair table, or its part without crowded nodes, whose stops are then ``hubs`` (``adjacency_parts``).
+    Across a hub a hop goes from road to node to road, with few paths per (start, node) in between
+    (``_across_hubs``), so a hub of n roads costs n rows per start and hop instead of n².  The rows are the same.
     """
     c = F.col
     pairs = edges.select(
@@ -40,7 +48,10 @@ def neighbor_paths(edges: DataFrame, starts: DataFrame, p: MatchParams = MatchPa
         "neighbour_at0",
     )
     unknown = F.lit(None).cast("boolean")
-    lengths = edges.groupBy("road_id").agg(F.first("length").alias("length"))
+    known = edges.select("road_id", "length")
+    if hubs is not None:
+        known = known.unionByName(hubs.select("road_id", "length"))
+    lengths = known.groupBy("road_id").agg(F.first("length").alias("length"))
     frame = lengths.join(starts.select("road_id"), "road_id", "left_semi").select(
         c("road_id").alias("start_id"),
         c("road_id").alias("end_id"),
@@ -69,18 +80,28 @@ def neighbor_paths(edges: DataFrame, starts: DataFrame, p: MatchParams = MatchPa
                 c("neighbour_at0").alias("last_at0"),
             )
         )
+        if hubs is not None:
+            longer = longer.unionByName(_across_hubs(sources, hubs, hop, prune))
         if last and not p.keep_dead_ends:
             # A path of theta-1 hops only counts if it can be extended.
             extended = longer.select(
                 "start_id", F.slice("ids", 1, p.theta).alias("ids")
             ).distinct()
             frames[-1] = frame.join(extended, ["start_id", "ids"], "left_semi").select(*frame.columns)
-        if not 1 < hop < p.theta:
+        if hop == 1 and hubs is not None:
+            # Two roads may meet at a hub and elsewhere.
+            frame = _cheapest(longer, ["start_id", "end_id"])
+        elif not 1 < hop < p.theta:
             frame = longer
         elif prune:
             frame = _cheapest(longer, ["start_id", "end_id"])
         else:
+            if hubs is not None:
+                longer = longer.dropDuplicates(["start_id", "end_id", "ids"])
             frame = _irreplaceable(longer, ["start_id", "end_id"], p.theta - hop)
+        if hubs is not None and not last:
+            # Every hop reads the paths several times; written once, they are not computed again for each reader.
+            frame = staged(frame)
         frames.append(frame)
     everything = frames[0]
     for other in frames[1:]:
@@ -97,6 +118,62 @@ def neighbor_paths(edges: DataFrame, starts: DataFrame, p: MatchParams = MatchPa
     )
 
 
+def _across_hubs(sources: DataFrame, hubs: DataFrame, hop: int, prune: bool) -> DataFrame:
+    """Paths one road longer by way of hubs: road to node, node to road.
+
+    With ``prune`` only the cheapest extension per (start, end) is wanted.  For a road that the cheapest path at the
+    node does not hold, that path gives it; for a road it holds, the cheapest path without that road does.  So a
+    (start, node) needs one path and one more per road of it except the start, two minima merged before the
+    shuffle.  All paths here have the same number of roads, and the new road comes last in all, so it does not change
+    their order.
+    """
+    c = F.col
+    at = hubs.select(c("road_id").alias("end_id"), "node_id", c("e0").alias("o0"), c("e1").alias("o1"))
+    here = sources.join(at, "end_id").select(
+        "start_id",
+        "node_id",
+        F.struct("micro", "ids", "lengths", "first_at0", "o0", "o1").alias("w"),
+        F.lit(None).cast("string").alias("without"),
+    )
+    onward = hubs.select(
+        "node_id",
+        c("road_id").alias("next_id"),
+        c("length").alias("next_length"),
+        c("e0").alias("n0"),
+        c("e1").alias("n1"),
+    )
+    fits = ~F.array_contains("w.ids", c("next_id"))
+    # The first hop has one path per start.
+    if prune and hop > 1:
+        key = ["start_id", "node_id"]
+        first = here.groupBy(*key).agg(F.min("w").alias("w"), F.first("without").alias("without"))
+        held = first.select(
+            *key, F.explode(F.slice("w.ids", F.lit(2), F.size("w.ids") - 1)).alias("without")
+        )
+        second = (
+            here.drop("without")
+            .join(held, key)
+            .where(~F.array_contains("w.ids", c("without")))
+            .groupBy(*key, "without")
+            .agg(F.min("w").alias("w"))
+        )
+        here = first.unionByName(second)
+        fits = fits & (c("without").isNull() | (c("without") == c("next_id")))
+    return (
+        here.join(onward, "node_id")
+        .where(fits)
+        .select(
+            "start_id",
+            c("next_id").alias("end_id"),
+            (c("w.micro") + fixed(c("next_length"), MICRO)).alias("micro"),
+            F.concat("w.ids", F.array("next_id")).alias("ids"),
+            F.concat("w.lengths", F.array("next_length")).alias("lengths"),
+            (touches(c("w.o0"), c("n0"), c("n1")) if hop == 1 else c("w.first_at0")).alias("first_at0"),
+            touches(c("n0"), c("w.o0"), c("w.o1")).alias("last_at0"),
+        )
+    )
+
+
 def _cheapest(paths: DataFrame, key: list[str]) -> DataFrame:
     """Smallest (cost, number of roads, ids) per key; merged before the shuffle."""
     whole = F.struct("micro", F.size("ids").alias("roads"), "ids", "lengths", "first_at0", "last_at0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadtrace.functions.geo import haversine_m
@@ -78,18 +78,25 @@ def build_roads(ways: DataFrame, nodes: DataFrame, full_length: bool = False) ->
     )
 
 
-def adjacency(roads: DataFrame) -> DataFrame:
-    """Pairs of different roads that share a node, with both lengths: one row per ordered pair.
+# Roads of one node beyond which pairs are not formed for the search of paths; see ``adjacency_parts``.
+HUB_ROADS = 64
 
-    ``at0`` (``neighbour_at0``) tells whether the road (the neighbour) touches the other one with its first end; ends
-    are compared as coordinates.  Direction of travel is not looked at.  Repeated nodes of a road are merged before
-    the join.
-    """
-    c = F.col
+
+def _stops(roads: DataFrame) -> DataFrame:
+    """Nodes of each road, once each, with the road's length and ends ``e0``, ``e1``."""
     ends = [F.struct("lat0", "lon0").alias("e0"), F.struct("lat1", "lon1").alias("e1")]
-    stops = roads.select("road_id", "length", *ends, F.explode("nodes").alias("node_id")).dropDuplicates(
+    return roads.select("road_id", "length", *ends, F.explode("nodes").alias("node_id")).dropDuplicates(
         ["road_id", "node_id"]
     )
+
+
+def touches(own_end: Column, e0: Column, e1: Column) -> Column:
+    """Whether an end of a road is also an end of another road, as coordinates."""
+    return (own_end == e0) | (own_end == e1)
+
+
+def _pairs_at_nodes(stops: DataFrame) -> DataFrame:
+    c = F.col
     near = stops.select(
         "node_id",
         c("road_id").alias("neighbour_id"),
@@ -105,13 +112,36 @@ def adjacency(roads: DataFrame) -> DataFrame:
             "length",
             "neighbour_id",
             "neighbour_length",
-            ((c("e0") == c("n0")) | (c("e0") == c("n1"))).alias("at0"),
-            ((c("n0") == c("e0")) | (c("n0") == c("e1"))).alias("neighbour_at0"),
+            touches(c("e0"), c("n0"), c("n1")).alias("at0"),
+            touches(c("n0"), c("e0"), c("e1")).alias("neighbour_at0"),
         )
         .dropDuplicates(["road_id", "neighbour_id"])
     )
 
 
+def adjacency(roads: DataFrame) -> DataFrame:
+    """Pairs of different roads that share a node, with both lengths: one row per ordered pair.
+
+    ``at0`` (``neighbour_at0``) tells whether the road (the neighbour) touches the other one with its first end; ends
+    are compared as coordinates.  Direction of travel is not looked at.  Repeated nodes of a road are merged before
+    the join.
+    """
+    return _pairs_at_nodes(_stops(roads))
+
+
+def adjacency_parts(roads: DataFrame, hub_roads: int = HUB_ROADS) -> tuple[DataFrame, DataFrame]:
+    """The same network without the n² pairs of crowded nodes: pairs, and stops of roads at hubs.
+
+    A node with more than ``hub_roads`` roads is a hub; its roads are listed (road_id, node_id, length, e0, e1) and
+    not paired.  The other nodes are paired as in ``adjacency``, at most ``hub_roads`` rows a stop.  Together both hold
+    each adjacency at least once; two roads may meet at a hub and at another node.  Counts are merged before the shuffle.
+    """
+    stops = _stops(roads)
+    crowded = stops.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hub_roads)
+    pairs = _pairs_at_nodes(stops.join(crowded, "node_id", "left_anti"))
+    return pairs, stops.join(crowded, "node_id", "left_semi")
+
+
 def neighbour_lists(pairs: DataFrame) -> DataFrame:
     """Per road: its neighbours and their lengths, ordered by id."""
     return pairs.groupBy("road_id", "length").agg(

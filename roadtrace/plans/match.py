@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from roadtrace.operators.candidates import candidate_points, candidate_roads, candidates, road_cells
 from roadtrace.operators.decode import decode
 from roadtrace.operators.paths import neighbor_paths, path_facts
-from roadtrace.operators.roads import adjacency, build_roads, connected_roads
+from roadtrace.operators.roads import HUB_ROADS, adjacency, adjacency_parts, build_roads, connected_roads
 from roadtrace.operators.route import routes
 from roadtrace.operators.select import quality_trajectories, top_trajectories
 from roadtrace.operators.transitions import linked_points, transitions
@@ -21,6 +21,7 @@ class Network:
     def __init__(self, roads: DataFrame):
         self.roads = staged(roads)
         self._pairs: DataFrame | None = None
+        self._parts: tuple[DataFrame, DataFrame | None] | None = None
 
     @property
     def pairs(self) -> DataFrame:
@@ -28,6 +29,13 @@ class Network:
             self._pairs = staged(adjacency(self.roads))
         return self._pairs
 
+    def parts(self, hub_roads: int = HUB_ROADS) -> tuple[DataFrame, DataFrame | None]:
+        """Pairs without those of crowded nodes, and the roads at such nodes if there are any."""
+        if self._parts is None:
+            pairs, hubs = (staged(part) for part in adjacency_parts(self.roads, hub_roads))
+            self._parts = pairs, None if hubs.isEmpty() else hubs
+        return self._parts
+
 
 def network(ways: DataFrame, nodes: DataFrame, p: MatchParams = MatchParams()) -> Network:
     return Network(build_roads(ways, nodes, p.full_length))
@@ -51,7 +59,8 @@ def matched_candidates(points: DataFrame, net: Network, p: MatchParams = MatchPa
 
 def candidate_paths(points: DataFrame, net: Network, p: MatchParams = MatchParams()) -> DataFrame:
     """Paths that start at a candidate road."""
-    return staged(neighbor_paths(net.pairs, candidate_roads(points), p))
+    pairs, hubs = net.parts()
+    return staged(neighbor_paths(pairs, candidate_roads(points), p, hubs))
 
 
 def scored_moves(points: DataFrame, paths: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from roadtrace.operators.paths import neighbor_paths, path_facts
+from roadtrace.operators.roads import adjacency, adjacency_parts
 from roadtrace.params import MatchParams
 
 
@@ -114,3 +115,61 @@ def test_facts_find_the_shared_ends(spark):
     assert (got["B", "C"].first_at0, got["B", "C"].last_at0) == (True, False)
     assert (got["B", "B"].roads, got["B", "B"].inner, got["B", "B"].first_at0) == (1, 0.0, None)
     assert len(got) == paths.count()
+
+
+ROADS = "road_id string, length double, nodes array<string>, lat0 double, lon0 double, lat1 double, lon1 double"
+
+
+def roads_frame(spark, nodes_of, lengths):
+    """Roads whose ends lie at numbers made of their first and last node."""
+    def place(node):
+        return float(sum(node.encode()) * 31 + len(node)), float(node.encode()[-1])
+
+    rows = [(r, lengths[r], ns, *place(ns[0]), *place(ns[-1])) for r, ns in nodes_of.items()]
+    return spark.createDataFrame(rows, ROADS)
+
+
+def as_rows(paths):
+    return sorted(
+        (r.start_id, r.end_id, round(r.cost * 1e6), [(s.road, s.length) for s in r.path], r.roads, r.first_at0, r.last_at0)
+        for r in paths.collect()
+    )
+
+
+@pytest.mark.parametrize(
+    "hub_roads, p",
+    [(1, MatchParams()), (2, MatchParams()), (2, MatchParams(theta=5)), (1, MatchParams(theta=3, keep_dead_ends=False))],
+)
+def test_hubs_give_the_rows_of_the_pair_table(spark, hub_roads, p):
+    rng = random.Random(hub_roads)
+    nodes_of, lengths = {}, {}
+    for g in range(15):
+        nodes = [f"{g}n{k}" for k in range(5)]
+        for k in range(rng.randrange(3, 8)):
+            nodes_of[f"{g}r{k}"] = rng.choices(nodes, k=rng.randrange(2, 4))
+            lengths[f"{g}r{k}"] = rng.choice([0.0, 5.0, 30.0, 30.0, 60.0, 90.0, 180.0, 250.0])
+    roads = roads_frame(spark, nodes_of, lengths)
+    pairs, hubs = adjacency_parts(roads, hub_roads)
+    assert hubs.count() > 0
+    assert as_rows(neighbor_paths(pairs, roads, p, hubs)) == as_rows(neighbor_paths(adjacency(roads), roads, p))
+
+
+def test_a_node_of_many_roads(spark):
+    """Two spokes start; every other spoke is one hop away, the far end of a spoke two."""
+    n = 5000
+    nodes_of = {f"r{k}": ["hub", f"n{k}"] for k in range(n)} | {"far": ["n7", "end"]}
+    lengths = {r: 10.0 + int(r[1:]) / n for r in nodes_of if r != "far"} | {"far": 20.0}
+    pairs, hubs = adjacency_parts(roads_frame(spark, nodes_of, lengths))
+    assert (pairs.count(), hubs.count()) == (2, n)
+    got = {(r.start_id, r.end_id): [s.road for s in r.path] for r in
+           neighbor_paths(pairs, starts_frame(spark, ["r1", "far"]), MatchParams(), hubs).collect()}
+    assert len(got) == 2 * (n + 1)
+    assert got["r1", "far"] == ["r1", "r7", "far"]
+    assert got["far", "r4999"] == ["far", "r7", "r4999"]
+    assert got["r1", "r2"] == ["r1", "r2"]
+
+
+def test_no_hubs_in_an_empty_network(spark):
+    roads = spark.createDataFrame([], ROADS)
+    pairs, hubs = adjacency_parts(roads)
+    assert neighbor_paths(pairs, roads, MatchParams(), hubs).count() == 0
