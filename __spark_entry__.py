@@ -55,7 +55,7 @@ from roadtrace.plans.match import (  # noqa: E402
 )
 from roadtrace.sources.readers import read_nodes, read_pings, read_trajectories, read_ways  # noqa: E402
 from roadtrace.sources.sinks import write_csv, write_matches, write_segments  # noqa: E402
-from roadtrace.sources.text import parse_text  # noqa: E402
+from roadtrace.sources.text import parse_text, write_checked_text  # noqa: E402
 from roadtrace.staging import shared_folder  # noqa: E402
 
 corpus_pipeline = llm = None
@@ -370,6 +370,23 @@ def load_ways(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def load_damaged_ways(spark: SparkSession, sf: str) -> DataFrame:
+    """The ways as text, some lines cut short or with a field that does not parse: good rows, and rejects with faults."""
+    ways = derived_ways(spark, sf)
+    k = F.regexp_extract("id", r"(\d+)$", 1).cast("bigint")
+    head = _head(ways)
+    version = F.when(k % 11 == 4, F.lit("two")).otherwise(F.col("version").cast("string"))
+    tags = F.when(k % 13 == 5, F.lit("{")).otherwise(F.to_json("tags"))
+    line = F.concat_ws(",", *head[:4], version, head[5], tags, F.to_json("nodes"))
+    lines = ways.select(F.when(k % 17 == 6, F.concat_ws(",", *head[:2])).otherwise(line).alias("value"))
+    write_checked_text(lines, "ways", "roadtrace_checked_ways")
+    good = spark.table("roadtrace_checked_ways").select("id", F.lit(None).cast("string").alias("faults"))
+    bad = spark.table("roadtrace_checked_ways_rejects").select(
+        F.substring_index("value", ",", 1).alias("id"), F.array_join("faults", ",").alias("faults")
+    )
+    return good.unionByName(bad)
+
+
 def load_nodes(spark: SparkSession, sf: str) -> DataFrame:
     nodes = derived_nodes(spark, sf)
     lines = nodes.select(
@@ -453,6 +470,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "routes": routes,
         "routes_restart": routes_restart,
         "load_ways": load_ways,
+        "load_damaged_ways": load_damaged_ways,
         "load_nodes": load_nodes,
         "load_trajectories": load_trajectories,
         "sink_matches": sink_matches,

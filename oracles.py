@@ -434,6 +434,11 @@ SELECT customid, trajid, prev_timest, timest, prev_id, road_id, {snap('route', 3
 SELECT id, version, CASE WHEN version=2 THEN highway WHEN k%45=1 THEN 'residential' ELSE 'service' END AS highway,
   CASE WHEN k%3=0 THEN 'no' ELSE 'yes' END AS oneway, 'N'||k||','||'N'||(k+step)||','||'N'||(k+2*step) AS nodes
 FROM tagged, (SELECT unnest([1,2]) AS version)
+WHERE version=2 OR k%45=1 OR k%35=2"""),
+        "load_damaged_ways": statement("tagged", """
+SELECT id, CASE WHEN k%17=6 THEN 'timestamp,isvisible,version,changesetid,tags,nodes'
+  WHEN k%11=4 AND k%13=5 THEN 'version,tags,nodes' WHEN k%11=4 THEN 'version' WHEN k%13=5 THEN 'tags,nodes' END AS faults
+FROM tagged, (SELECT unnest([1,2]) AS version)
 WHERE version=2 OR k%45=1 OR k%35=2"""),
         "load_nodes": statement("node", "SELECT id, 1 AS version, 0 AS n_tags, latitude, longitude FROM node"),
         "load_trajectories": statement("good", f"""

@@ -2,7 +2,10 @@
 
     jobs.py match alpha=4 beta=10 tau=100 theta=4 gamma=200 [top50]
     jobs.py segment <ping table> <output table>
-    jobs.py load <ways, nodes or trajectories> <text files> <output table>
+    jobs.py load <ways, nodes or trajectories> <text files> <output table> [checked]
+
+``load ... checked`` keeps lines with a missing or unreadable field out of the table and puts them, with the names of
+these fields, into ``<output table>_rejects``.
 
 Tables are those of the session's metastore.
 """
@@ -18,7 +21,7 @@ from roadtrace.params import MatchParams
 from roadtrace.plans.match import match
 from roadtrace.sources.readers import read_nodes, read_pings, read_trajectories, read_ways
 from roadtrace.sources.sinks import write_matches, write_segments
-from roadtrace.sources.text import load_text
+from roadtrace.sources.text import load_text, write_checked_text
 
 # Names of the input and output tables.
 WAYS_TABLE = "osmwaysmilan"
@@ -46,7 +49,10 @@ def run_segment(spark: SparkSession, args: list[str]) -> None:
 
 def run_load(spark: SparkSession, args: list[str]) -> None:
     """Comma-separated text into a table that the other programs read."""
-    kind, path, target = args
+    kind, path, target, *checked = args
+    if checked:
+        print(write_checked_text(spark.read.text(path), kind, target))
+        return
     load_text(spark, path, kind).write.mode("overwrite").saveAsTable(target)
 
 

@@ -11,7 +11,7 @@ from roadtrace.sources.readers import (
     read_ways,
 )
 from roadtrace.sources.sinks import write_csv, write_matches, write_segments
-from roadtrace.sources.text import load_text
+from roadtrace.sources.text import Counts, checked_text, load_text, write_checked_text
 from roadtrace.staging import shared_folder, staged
 
 WAYS = """ways.id,ways.userid,ways.timestamp,ways.isvisible,ways.version,ways.changesetid,ways.tags,ways.nodes
@@ -119,3 +119,36 @@ def test_staged_tables_lie_in_the_shared_folder(spark):
 def test_load_job_makes_a_table(spark, tmp_path):
     run_load(spark, ["nodes", written(tmp_path, NODES), "loaded_nodes"])
     assert read_nodes(spark, "loaded_nodes").count() == 3
+
+
+DAMAGED = WAYS + """way-9,33,2022-01-01T00:00:00Z,perhaps,1,x,{"lit":"no"},["p7"]
+way-10,34
+
+way-11,35,2022-01-01T00:00:00Z,true,2,101,{"lit":"no",["p7"]
+,36,2022-01-01T00:00:00Z,true,2,101,{},[]
+"""
+FAULTS = {
+    "way-9": ["isvisible", "changesetid"],
+    "way-10": ["timestamp", "isvisible", "version", "changesetid", "tags", "nodes"],
+    "way-11": ["tags", "nodes"],
+}
+
+
+def test_faulty_lines_are_named_and_counted(spark, tmp_path):
+    counts = Counts("ways")
+    checked = checked_text(spark.read.text(written(tmp_path, DAMAGED)), "ways", counts)
+    rows = checked.collect()
+    assert {r.id: r.faults for r in rows if r.faults} == FAULTS
+    assert [r.value for r in rows if r.id == "way-10"] == ["way-10,34"]
+    got = counts.get()
+    assert (got["lines"], got["faulty_lines"], got["tags"], got["isvisible"], got["userid"]) == (6, 3, 2, 2, 0)
+
+
+def test_good_and_faulty_lines_become_two_tables(spark, tmp_path):
+    got = write_checked_text(spark.read.text(written(tmp_path, DAMAGED)), "ways", "some_checked_ways")
+    assert (got["lines"], got["faulty_lines"]) == (6, 3)
+    assert {r.id for r in read_ways(spark, "some_checked_ways").collect()} == {"way-7", "way-8", ""}
+    rejects = spark.table("some_checked_ways_rejects").collect()
+    assert {r.value.split(",")[0]: r.faults for r in rejects} == FAULTS
+    run_load(spark, ["ways", written(tmp_path, ""), "some_checked_ways", "checked"])
+    assert spark.table("some_checked_ways").count() == spark.table("some_checked_ways_rejects").count() == 0
