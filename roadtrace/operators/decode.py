@@ -72,8 +72,7 @@ def block_steps(moves: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     )
     move = F.struct("i", "k", "road_id", "prev_id", "emit", "prev_emit", "move")
     per_point = (
-        rows.repartition(*BLOCK)
-        .groupBy(*BLOCK, *ORDER, "is_last", "prev_timest")
+        rows.groupBy(*BLOCK, *ORDER, "is_last", "prev_timest")
         .agg(F.array_sort(F.collect_list(move)).alias("moves"), F.max("i").alias("n"))
         .withColumn("m", (F.size("moves") / c("n")).cast("int"))
         .withColumn(

@@ -45,6 +45,46 @@ def pairs_with_paths(pairs: DataFrame, paths: DataFrame) -> DataFrame:
     return pairs.join(links, ["road_id", "succ_id"], "left")
 
 
+def _with_facts(linked: DataFrame, facts: DataFrame) -> DataFrame:
+    """Points with ``moves``: structs of candidate ``i`` here, candidate ``k`` of the point before, ``fact`` of their path.
+
+    Only the different road pairs of a block travel to the path table; what is known of them comes back as one map
+    per block, from start to end to fact, in which the points look up their moves.  Points stay where their block is.
+    A block has at most one point per second and thus a bounded number of pairs; a point reads the map of its block and
+    takes over its own facts only.
+    """
+    c = F.col
+    fact = [name for name in facts.columns if name not in ("start_id", "end_id")]
+    asked = (
+        linked.select(*BLOCK, c("prev.cands.road_id").alias("starts"), F.explode("cands.road_id").alias("end_id"))
+        .select(*BLOCK, "end_id", F.explode("starts").alias("start_id"))
+        .dropDuplicates([*BLOCK, "start_id", "end_id"])
+    )
+    known = (
+        asked.join(facts, ["start_id", "end_id"])
+        .select(*BLOCK, "start_id", F.struct("end_id", F.struct(*fact).alias("fact")).alias("to"))
+        .repartition(*BLOCK)
+        .groupBy(*BLOCK, "start_id")
+        .agg(F.map_from_entries(F.collect_list("to")).alias("ends"))
+        .groupBy(*BLOCK)
+        .agg(F.map_from_entries(F.collect_list(F.struct("start_id", "ends"))).alias("known"))
+    )
+    # Where nothing comes before, there is one move without origin per candidate.
+    before = F.coalesce("prev.cands", F.array(F.lit(None)))
+    moves = F.flatten(
+        F.transform(
+            "cands",
+            lambda i: F.transform(
+                before,
+                lambda k: F.struct(
+                    i.alias("i"), k.alias("k"), c("known")[k["road_id"]][i["road_id"]].alias("fact")
+                ),
+            ),
+        )
+    )
+    return linked.join(known, BLOCK, "left").withColumn("moves", moves).drop("known")
+
+
 def transitions(linked: DataFrame, facts: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     """Every move into a point: candidate k of the point before, candidate i of this one, log probability.
 
@@ -53,22 +93,30 @@ def transitions(linked: DataFrame, facts: DataFrame, p: MatchParams = MatchParam
     The first point of a trajectory has one row per candidate with no ``k``.
     """
     c = F.col
-    spread = (
-        linked.withColumn("gap", haversine_m(c("latitude"), c("longitude"), c("prev.latitude"), c("prev.longitude")))
+    joined = (
+        _with_facts(linked, facts)
+        .withColumn("gap", haversine_m(c("latitude"), c("longitude"), c("prev.latitude"), c("prev.longitude")))
         .select(
             *BLOCK,
             *ORDER,
             c("next").isNull().alias("is_last"),
             c("prev.timest").alias("prev_timest"),
             "gap",
-            F.explode("cands").alias("i"),
-            c("prev.cands").alias("before"),
+            F.explode("moves").alias("m"),
+        )
+        .select(
+            *BLOCK,
+            *ORDER,
+            "is_last",
+            "prev_timest",
+            "gap",
+            "m.i",
+            "m.k",
+            c("m.k.road_id").alias("start_id"),
+            c("m.i.road_id").alias("end_id"),
+            "m.fact.*",
         )
-        .select("*", F.explode_outer("before").alias("k"))
-        .drop("before")
-        .withColumns({"start_id": c("k.road_id"), "end_id": c("i.road_id")})
     )
-    joined = spread.join(facts, ["start_id", "end_id"], "left")
     a, b = c("k.foot_lat").isNotNull(), c("i.foot_lat").isNotNull()
     one_road = (
         F.when(a & b, haversine_m(c("k.foot_lat"), c("k.foot_lon"), c("i.foot_lat"), c("i.foot_lon")))
