@@ -54,7 +54,7 @@ from roadtrace.plans.match import (  # noqa: E402
     scored_moves,
 )
 from roadtrace.sources.readers import read_nodes, read_pings, read_trajectories, read_ways  # noqa: E402
-from roadtrace.sources.sinks import write_csv, write_matches, write_segments  # noqa: E402
+from roadtrace.sources.sinks import write_csv, write_matches, write_segments, write_segments_daily  # noqa: E402
 from roadtrace.sources.text import parse_text, write_checked_text  # noqa: E402
 from roadtrace.staging import shared_folder  # noqa: E402
 
@@ -417,6 +417,19 @@ def sink_segments(spark: SparkSession, sf: str) -> DataFrame:
     return spark.table("roadtrace_segments").drop("rnd", "weekday", "dayhour", "geojson")
 
 
+def sink_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments of three days, the second one wrong at first and written again; good trajectories of the table."""
+    table = "roadtrace_daily_segments"
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    # All pings are of one evening: every third user drives a day later, every third two days.
+    turn = F.substring("customid", 2, 20).cast("int") % 3
+    points = _segments(spark, sf).withColumn("timest", (F.col("timest") + 86400 * turn).cast("int"))
+    second = turn == 1
+    write_segments_daily(points.withColumn("speed", F.when(second, F.lit(0.0)).otherwise(F.col("speed"))), table)
+    write_segments_daily(points.where(second), table)
+    return quality_trajectories(spark.table(table)).drop("geojson")
+
+
 def sink_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Roads with their nodes as JSON in comma-separated text, read back."""
     path = f"{shared_folder(spark)}/roads-csv-{uuid.uuid4().hex}"
@@ -475,6 +488,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_trajectories": load_trajectories,
         "sink_matches": sink_matches,
         "sink_segments": sink_segments,
+        "sink_daily": sink_daily,
         "sink_csv": sink_csv,
     }
 

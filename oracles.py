@@ -448,6 +448,9 @@ FROM good"""),
     found["neighbor_paths_hubs"] = found["neighbor_paths_deep"]
     found["sink_matches"] = found["routes"]
     found["sink_segments"] = found["segments"]
+    found["sink_daily"] = statement("good", """
+SELECT customid, trajid, (timest + 86400*(customid[2:]::int % 3))::int AS timest, latitude, longitude, timediff, spacediff, speed
+FROM good""")
     found["sink_csv"] = statement("road tagged", """
 SELECT road_id, 'N'||k||','||'N'||(k+step)||','||'N'||(k+2*step) AS nodes, t.highway
 FROM road JOIN tagged t ON road_id = t.id""")

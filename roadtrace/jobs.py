@@ -1,9 +1,10 @@
 """Command line: ``spark-submit`` entry of the two programs.
 
     jobs.py match alpha=4 beta=10 tau=100 theta=4 gamma=200 [top50]
-    jobs.py segment <ping table> <output table>
+    jobs.py segment <ping table> <output table> [daily]
     jobs.py load <ways, nodes or trajectories> <text files> <output table> [checked]
 
+``segment ... daily`` replaces the days it finds in a table by day and leaves the others.
 ``load ... checked`` keeps lines with a missing or unreadable field out of the table and puts them, with the names of
 these fields, into ``<output table>_rejects``.
 
@@ -20,7 +21,7 @@ from roadtrace.operators.segment import segment
 from roadtrace.params import MatchParams
 from roadtrace.plans.match import match
 from roadtrace.sources.readers import read_nodes, read_pings, read_trajectories, read_ways
-from roadtrace.sources.sinks import write_matches, write_segments
+from roadtrace.sources.sinks import write_matches, write_segments, write_segments_daily
 from roadtrace.sources.text import load_text, write_checked_text
 
 # Names of the input and output tables.
@@ -43,8 +44,9 @@ def run_match(spark: SparkSession, args: list[str]) -> None:
 
 def run_segment(spark: SparkSession, args: list[str]) -> None:
     """Segment the pings of one table into another."""
-    source, target = args
-    write_segments(segment(read_pings(spark, source)), target)
+    source, target, *daily = args
+    write = write_segments_daily if daily else write_segments
+    write(segment(read_pings(spark, source)), target)
 
 
 def run_load(spark: SparkSession, args: list[str]) -> None:

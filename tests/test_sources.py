@@ -1,6 +1,7 @@
 import pytest
 
 from roadtrace.jobs import run_load
+from roadtrace.operators.select import quality_trajectories
 from roadtrace.sources.readers import (
     NODE_SCHEMA,
     TRAJECTORY_SCHEMA,
@@ -10,7 +11,7 @@ from roadtrace.sources.readers import (
     read_trajectories,
     read_ways,
 )
-from roadtrace.sources.sinks import write_csv, write_matches, write_segments
+from roadtrace.sources.sinks import write_csv, write_daily, write_matches, write_segments
 from roadtrace.sources.text import Counts, checked_text, load_text, write_checked_text
 from roadtrace.staging import shared_folder, staged
 
@@ -152,3 +153,31 @@ def test_good_and_faulty_lines_become_two_tables(spark, tmp_path):
     assert {r.value.split(",")[0]: r.faults for r in rejects} == FAULTS
     run_load(spark, ["ways", written(tmp_path, ""), "some_checked_ways", "checked"])
     assert spark.table("some_checked_ways").count() == spark.table("some_checked_ways_rejects").count() == 0
+
+
+POINTS = "customid string, trajid int, timest int, latitude double, longitude double, timediff int, spacediff double, " \
+    "speed double, geojson string"
+
+
+def test_a_day_is_replaced_alone(spark):
+    day = 86400
+    columns = [c.split()[0] for c in POINTS.split(", ")]
+
+    def rows(*points):
+        return spark.createDataFrame([(u, 0, t, 45.0, 9.0, 1, 1.0, s, "{}") for u, t, s in points], POINTS)
+
+    def table():
+        return sorted((r.customid, r.timest, r.speed, str(r.day)) for r in spark.table("daily_points").collect())
+
+    spark.sql("DROP TABLE IF EXISTS daily_points")
+    write_daily(rows(("a", day - 1, 1.0), ("a", day, 2.0), ("b", day + 5, 3.0), ("c", 3 * day, 4.0)), "daily_points", columns, 4)
+    write_daily(rows(("a", day + 1, 9.0)), "daily_points", columns, 4)
+    expected = [("a", day - 1, 1.0, "1970-01-01"), ("a", day + 1, 9.0, "1970-01-02"), ("c", 3 * day, 4.0, "1970-01-04")]
+    assert table() == expected
+    write_daily(rows(), "daily_points", columns)
+    assert table() == expected
+    plan = spark.table("daily_points").where("day = date'1970-01-02'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    good = quality_trajectories(spark.table("daily_points"))._jdf.queryExecution().executedPlan().toString()
+    # Bucketed by trajectory, the limits meet their points where they lie.
+    assert "Exchange hashpartitioning" not in good
