@@ -69,6 +69,8 @@ GAUSSIAN = MatchParams(tau=500, emission="gaussian")
 # Every point is a block of its own.
 LONG = replace(P, block_seconds=1)
 RESTART = replace(P, restart=True)
+# Nearly every cell is dealt into several parts.
+CROWDED = replace(P, part_points=8, part_edges=8)
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -100,8 +102,8 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
     return quality_trajectories(_segments(spark, sf))
 
 
-def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return found_candidates(_points(spark, sf), _network(spark, sf), P)
+def _candidates(spark: SparkSession, sf: str, p: MatchParams = P) -> DataFrame:
+    return found_candidates(_points(spark, sf), _network(spark, sf), p)
 
 
 def _points_of(spark: SparkSession, sf: str):
@@ -244,8 +246,8 @@ def distances(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def candidate_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return _candidates(spark, sf).select(
+def candidate_rows(spark: SparkSession, sf: str, p: MatchParams = P) -> DataFrame:
+    return _candidates(spark, sf, p).select(
         F.col("road_id").alias("roadID"),
         "customid",
         "trajid",
@@ -259,6 +261,10 @@ def candidate_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def candidates_crowded(spark: SparkSession, sf: str) -> DataFrame:
+    return candidate_rows(spark, sf, CROWDED)
+
+
 def candidate_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     net, points = _points_of(spark, sf)
     return net.pairs.join(candidate_roads(points), "road_id", "left_semi").select(
@@ -468,6 +474,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "projection_feet": feet,
         "distances": distances,
         "candidates": candidate_rows,
+        "candidates_crowded": candidates_crowded,
         "candidate_roads": candidate_neighbours,
         "neighbor_paths": paths_of_candidates,
         "neighbor_paths_deep": paths_of_all_roads,

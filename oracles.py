@@ -446,6 +446,7 @@ SELECT customid, trajid, timest, latitude, longitude, timediff, spacediff, speed
 FROM good"""),
     }
     found["neighbor_paths_hubs"] = found["neighbor_paths_deep"]
+    found["candidates_crowded"] = found["candidates"]
     found["sink_matches"] = found["routes"]
     found["sink_segments"] = found["segments"]
     found["sink_daily"] = statement("good", """

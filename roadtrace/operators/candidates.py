@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadtrace.functions.geo import gaussian_emission, haversine_m, log_gaussian_emission, project, snap, with_foot
 from roadtrace.operators.blocks import time_block
 from roadtrace.params import DISTANCE_FLOOR, MatchParams
+from roadtrace.staging import staged
 
 POINT = ["customid", "trajid", "tblock", "timest", "latitude", "longitude"]
 BLOCK = ["customid", "trajid", "tblock"]
@@ -15,6 +16,9 @@ ENDS = ["lat0", "lon0", "lat1", "lon1"]
 
 # A cell is this many search radii wide; an edge longer than a cell is laid out piece by piece.
 CELL_RADII = 2
+# At most this many cells are dealt over tasks.  They are those with most pairs and rows, so any other cell has less than
+# one part in this many of all of them.
+DEALT_CELLS = 10_000
 
 
 def road_cells(roads: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
@@ -63,26 +67,85 @@ def road_cells(roads: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     )
 
 
-def near_roads(points: DataFrame, cells: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
-    """Roads within ``tau`` of each point, with the floored distance: one row per (point, road).
-
-    A point has one cell, so this is an equi-join on the cell followed by the exact distance.  How the cells reach
-    the points is left to Spark, which measures them and splits crowded cells.  The roads found are laid out by
-    (trajectory, time block), which also serves ranking and the collection per point.
-    """
+def placed_points(points: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
+    """Points with their projected place, grid cell and time block."""
     side = float(CELL_RADII * p.tau)
     c = F.col
     x, y = project(c("latitude"), c("longitude"), p.frame)
-    placed = (
-        points.select("customid", "trajid", "timest", "latitude", "longitude", x.alias("px"), y.alias("py"))
-        .withColumns(
-            {
-                "cx": F.floor(c("px") / side),
-                "cy": F.floor(c("py") / side),
-                "tblock": time_block(c("timest"), p.block_seconds),
-            }
+    return points.select(
+        "customid", "trajid", "timest", "latitude", "longitude", x.alias("px"), y.alias("py")
+    ).withColumns(
+        {
+            "cx": F.floor(c("px") / side),
+            "cy": F.floor(c("py") / side),
+            "tblock": time_block(c("timest"), p.block_seconds),
+        }
+    )
+
+
+def crowded_cells(placed: DataFrame, cells: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
+    """Cells with more than ``part_points`` points or ``part_edges`` edges, and the parts to deal both into.
+
+    Only counts are shuffled, merged on the map side.  There are ``DEALT_CELLS`` rows at most: the cells with the largest
+    (points + 1) x (edges + 1), which are their pairs, points and edges.  Cells that have only points or only edges count,
+    as they are shuffled too.
+    """
+    c, none = F.col, F.lit(0)
+    own = placed.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("points"))
+    near = cells.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("edges"))
+    return (
+        own.join(near, ["cx", "cy"], "full")
+        .withColumns({"points": F.coalesce("points", none), "edges": F.coalesce("edges", none)})
+        .where((c("points") > p.part_points) | (c("edges") > p.part_edges))
+        .orderBy(((c("points") + 1.0) * (c("edges") + 1.0)).desc(), "cx", "cy")
+        .limit(DEALT_CELLS)
+        .select(
+            "cx",
+            "cy",
+            F.greatest(F.lit(1), F.ceil(c("points") / p.part_points)).alias("point_parts"),
+            F.greatest(F.lit(1), F.ceil(c("edges") / p.part_edges)).alias("edge_parts"),
         )
     )
+
+
+def dealt(placed: DataFrame, cells: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points and edges with the parts of their cell, ``pp`` and ``ep``: each pair of a cell meets in one part.
+
+    A cell of P point parts and E edge parts becomes P x E keys.  A point goes to the E keys of its part, an edge to the P
+    keys of its own.  Cells that are not crowded have one part.  Smaller cells would not do: vehicles that stand still
+    share one place, and the edges within ``tau`` of a part of a cell are nearly those of the cell.
+    """
+    c = F.col
+    # DEALT_CELLS rows at most.
+    crowded = F.broadcast(crowded)
+    one = F.lit(1).cast("bigint")
+    point_parts, edge_parts = F.coalesce("point_parts", one), F.coalesce("edge_parts", one)
+
+    def every(parts):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
+
+    point = F.xxhash64("customid", "trajid", "timest", "latitude", "longitude")
+    edge = F.xxhash64("road_id", "x1", "y1", "dx", "dy")
+    own = placed.join(crowded, ["cx", "cy"], "left").withColumn("pp", F.pmod(point, point_parts))
+    near = cells.join(crowded, ["cx", "cy"], "left").withColumn("ep", F.pmod(edge, edge_parts))
+    return (
+        own.withColumn("ep", every(edge_parts)).drop("point_parts", "edge_parts"),
+        near.withColumn("pp", every(point_parts)).drop("point_parts", "edge_parts"),
+    )
+
+
+def near_roads(points: DataFrame, cells: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
+    """Roads within ``tau`` of each point, with the floored distance: one row per (point, road).
+
+    A point has one cell, so this is an equi-join on the cell followed by the exact distance.  Cells with many pairs are
+    first dealt into parts of a bounded number of points and edges: what a cell costs is its pairs, which says nothing to
+    adaptive execution, as that looks at bytes.  The roads found are laid out by (trajectory, time block), which also
+    serves ranking and the collection per point.
+    """
+    c = F.col
+    # Counted and joined: two readers of what may be a long computation.
+    placed = staged(placed_points(points, p))
+    own, near = dealt(placed, cells, crowded_cells(placed, cells, p))
     # Squared, and from the edge vector the road side already has: the join evaluates this for every pair in a
     # cell, and a short expression keeps the generated method small enough to be compiled.
     along = F.greatest(
@@ -94,7 +157,7 @@ def near_roads(points: DataFrame, cells: DataFrame, p: MatchParams = MatchParams
     off_x = c("px") - c("x1") - along * c("dx")
     off_y = c("py") - c("y1") - along * c("dy")
     hits = (
-        placed.join(cells, ["cx", "cy"])
+        own.join(near, ["cx", "cy", "pp", "ep"])
         .withColumn("d2", F.pow(off_x, F.lit(2.0)) + F.pow(off_y, F.lit(2.0)))
         .where(c("d2") <= p.tau * p.tau)
     )

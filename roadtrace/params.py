@@ -68,8 +68,9 @@ class MatchParams:
     ``functions.geo.project``).  ``keep_dead_ends`` set to False drops a road reached at hop theta-1 that has
     no neighbour outside its path.  ``full_length`` sums all pieces of a road instead of taking first to last
     node.  ``emission`` is ``inverse`` (share of the inverse distances) or ``gaussian`` (density of the
-    distance).  ``block_seconds`` only sets how a trajectory is split over tasks.  ``restart`` begins a new chain of roads
-    where no candidate of a point can be reached; else the rest of the trajectory has none.
+    distance).  ``block_seconds`` only sets how a trajectory is split over tasks, ``part_points`` and ``part_edges`` how a
+    crowded cell of the candidate search is.  ``restart`` begins a new chain of roads where no candidate of a point can be
+    reached; else the rest of the trajectory has none.
 
     Cost: with theta up to 4 only the cheapest path per pair of roads goes on after each hop; with more hops, or with
     ``keep_dead_ends=False``, a number of paths that depends on theta alone (at most 10 with theta 6).
@@ -88,6 +89,8 @@ class MatchParams:
     emission: str = "inverse"
     block_seconds: int = 600
     restart: bool = False
+    part_points: int = 4096
+    part_edges: int = 1024
 
     def __post_init__(self) -> None:
         if self.theta < 2:
@@ -98,6 +101,8 @@ class MatchParams:
             raise ValueError("emission must be inverse or gaussian")
         if self.block_seconds < 1:
             raise ValueError("block_seconds must be positive")
+        if self.part_points < 1 or self.part_edges < 1:
+            raise ValueError("part_points and part_edges must be positive")
         # The decoder adds whole numbers: 10^9 per unit of log probability, times room for the candidate.  A block has
         # at most one point per second, and consecutive points are taken to be less than 100 km apart.
         per_point = 1e5 / self.beta + abs(math.log(self.beta)) + max(20.0, self.tau**2 / (2 * GPS_SIGMA**2) + 5)

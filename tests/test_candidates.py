@@ -4,7 +4,16 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from roadtrace.operators.candidates import candidate_points, candidate_roads, candidates, near_roads, road_cells
+from roadtrace.operators.candidates import (
+    candidate_points,
+    candidate_roads,
+    candidates,
+    crowded_cells,
+    dealt,
+    near_roads,
+    placed_points,
+    road_cells,
+)
 from roadtrace.params import MatchParams
 
 R = 6378137.0
@@ -123,6 +132,35 @@ def test_shuffled_and_broadcast_cells_agree(spark):
     assert shuffled == sorted(map(tuple, candidates(pts, F.broadcast(cells), p).collect()))
 
 
+def test_crowded_cell_is_dealt_into_small_parts(spark):
+    """One place holds a third of all points, one cell a third of all edges: no part of it is large, no pair is lost."""
+    rng = random.Random(5)
+    p, even = MatchParams(part_points=50, part_edges=20), MatchParams()
+    lines = {f"c{n:03}": [(rng.uniform(0, 190), rng.uniform(0, 190)) for _ in range(2)] for n in range(200)}
+    for n in range(400):
+        x, y = rng.uniform(-9000, 9000), rng.uniform(-9000, 9000)
+        lines[f"r{n:03}"] = [(x, y), (x + rng.uniform(-60, 60), y + rng.uniform(-60, 60))]
+    places = [(90.0, 90.0)] * 1000 + [(rng.uniform(-9000, 9000), rng.uniform(-9000, 9000)) for _ in range(2000)]
+    pts, cells = points(spark, places), road_cells(roads(spark, lines), p)
+    placed = placed_points(pts, p)
+    crowded = crowded_cells(placed, cells, p).cache()
+    own, near = dealt(placed, cells, crowded)
+    key = ["cx", "cy", "pp", "ep"]
+    largest = [df.groupBy(*key).count().agg(F.max("count")).first()[0] for df in (own, near)]
+    assert largest[0] <= 2 * p.part_points and largest[1] <= 2 * p.part_edges
+    # Every pair of a cell meets exactly once.
+    met = own.join(near, key).select("timest", "road_id", "x1", "y1")
+    assert met.exceptAll(met.distinct()).count() == 0 and met.count() == placed.join(cells, ["cx", "cy"]).count()
+    got = [sorted(map(tuple, near_roads(pts, cells, q).collect())) for q in (p, even)]
+    assert len(got[0]) > 100_000 and got[0] == got[1]
+
+
+def test_empty_tables(spark):
+    none = points(spark, [(0, 0)]).limit(0)
+    assert near_roads(none, road_cells(roads(spark, LINES))).count() == 0
+    assert near_roads(points(spark, [(0, 0)]), road_cells(roads(spark, LINES).limit(0))).count() == 0
+
+
 def test_candidate_points_carry_feet_in_rank_order(spark):
     got = candidate_points(find(spark, LINES, [(0, 10), (0, 70)], MatchParams(tau=90)), MatchParams())
     rows = {r.timest: r.cands for r in got.collect()}
