@@ -71,6 +71,7 @@ LONG = replace(P, block_seconds=1)
 RESTART = replace(P, restart=True)
 # Nearly every cell is dealt into several parts.
 CROWDED = replace(P, part_points=8, part_edges=8)
+POLYLINE = replace(P, full_length=True)
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -115,7 +116,16 @@ def _points_of(spark: SparkSession, sf: str):
 def _moves(spark: SparkSession, sf: str, p: MatchParams = P) -> DataFrame:
     net = _network(spark, sf)
     points = matched_candidates(_points(spark, sf), net, p)
-    return scored_moves(points, candidate_paths(points, net, p), p)
+    return scored_moves(points, candidate_paths(points, net, p), net, p)
+
+
+def _polyline_moves(spark: SparkSession, sf: str) -> DataFrame:
+    """Moves along bent roads, measured along their pieces."""
+    k = F.substring("id", 2, 20).cast("bigint")
+    nodes = derived_nodes(spark, sf).withColumn("latitude", F.col("latitude") + F.lit(0.00011) * (k % 3))
+    net = network(derived_ways(spark, sf), nodes, POLYLINE)
+    points = matched_candidates(_points(spark, sf), net, POLYLINE)
+    return scored_moves(points, candidate_paths(points, net, POLYLINE), net, POLYLINE)
 
 
 def pings_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -319,23 +329,31 @@ def pair_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def transition_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return (
-        _moves(spark, sf)
-        .where(F.col("k").isNotNull())
-        .select(
-            "customid",
-            "trajid",
-            "prev_timest",
-            "timest",
-            "prev_id",
-            "road_id",
-            snap(F.col("route"), 3).alias("route"),
-            snap(F.coalesce(F.exp("log_move"), F.lit(0.0)), 6).alias("prob"),
-        )
+def _move_rows(moves: DataFrame) -> DataFrame:
+    return moves.where(F.col("k").isNotNull()).select(
+        "customid",
+        "trajid",
+        "prev_timest",
+        "timest",
+        "prev_id",
+        "road_id",
+        snap(F.col("route"), 3).alias("route"),
+        snap(F.coalesce(F.exp("log_move"), F.lit(0.0)), 6).alias("prob"),
     )
 
 
+def transition_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _move_rows(_moves(spark, sf))
+
+
+def transitions_polyline(spark: SparkSession, sf: str) -> DataFrame:
+    return _move_rows(_polyline_moves(spark, sf))
+
+
+def decoded_polyline(spark: SparkSession, sf: str) -> DataFrame:
+    return decode(_polyline_moves(spark, sf), POLYLINE)
+
+
 def decoded(spark: SparkSession, sf: str) -> DataFrame:
     return decode(_moves(spark, sf), P)
 
@@ -483,7 +501,9 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "neighbor_paths_no_dead_ends": paths_dead_ends_dropped,
         "transition_pairs": pair_rows,
         "transitions": transition_rows,
+        "transitions_polyline": transitions_polyline,
         "decoded": decoded,
+        "decoded_polyline": decoded_polyline,
         "decoded_gaussian": decoded_gaussian,
         "decoded_long": decoded_long,
         "decoded_restart": decoded_restart,

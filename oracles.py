@@ -46,12 +46,16 @@ def north(deg: str) -> str:
     return f"({R}*ln(tan({PI4}::double+radians({deg})/2)))"
 
 
-def edge_distance(px: str, py: str, e: str) -> str:
+def edge_share(px: str, py: str, e: str) -> str:
     sq = f"(({e}x2-{e}x1)*({e}x2-{e}x1)+({e}y2-{e}y1)*({e}y2-{e}y1))"
-    u = (
+    return (
         f"greatest(0.0::double, least(1.0::double, case when {sq}>0 then (({px}-{e}x1)*({e}x2-{e}x1)"
         f"+({py}-{e}y1)*({e}y2-{e}y1))/{sq} else 0.0::double end))"
     )
+
+
+def edge_distance(px: str, py: str, e: str) -> str:
+    u = edge_share(px, py, e)
     dx, dy = f"({px}-({e}x1+{u}*({e}x2-{e}x1)))", f"({py}-({e}y1+{u}*({e}y2-{e}y1)))"
     return f"sqrt({dx}*{dx}+{dy}*{dy})"
 
@@ -358,6 +362,71 @@ SELECT customid, trajid, timest, "roadID", seq FROM (
   FROM dec d JOIN paths p ON p.start_id=d.prev_id AND p.end_id=d.road_id WHERE d.prev_id <> d.road_id
   UNION ALL SELECT customid, trajid, timest, road_id, 0 FROM dec WHERE is_last)"""
 
+# Roads measured along their pieces, on bent roads, under names that begin with bent_.
+BENT = ("node", "placed", "mark", "road", "adj", "edge", "hit", "cand", "point", "numbered", "joint", "met", "fact", "move", "score",
+        "recursion", "best", "dec", "paths", "path0", "path1", "path2", "path3", "path4")
+
+
+def bent(text: str) -> str:
+    return re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(BENT)})\b", r"\1\2bent_\3", text)
+
+
+def bent_part(name: str, needs: str, body: str) -> None:
+    part(f"bent_{name}", " ".join(f"bent_{n}" if n in BENT else n for n in needs.split()), bent(body))
+
+
+for _name in BENT:
+    if _name in PARTS:
+        bent_part(_name, " ".join(PARTS[_name][0]), PARTS[_name][1])
+part("bent_node", "node", """
+SELECT id, latitude + 0.00011::double*(id[2:]::bigint % 3) AS latitude, longitude FROM node""")
+bent_part("mark", "placed", f"""
+SELECT *, coalesce(sum(step) OVER (PARTITION BY road_id ORDER BY pos), 0.0::double) AS place FROM (
+  SELECT *, {hav_m('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS step FROM placed
+  WINDOW w AS (PARTITION BY road_id ORDER BY pos))""")
+bent_part("road", "mark", """
+SELECT road_id, max(place) AS length FROM mark GROUP BY road_id HAVING count(*) >= 2""")
+bent_part("edge", "mark road adj", f"""
+SELECT road_id, {east('lon')} x1, {north('lat')} y1, {east('lon2')} x2, {north('lat2')} y2, place, place2 FROM (
+  SELECT road_id, lat, lon, place, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(place) OVER w AS place2 FROM mark
+  WINDOW w AS (PARTITION BY road_id ORDER BY pos))
+WHERE lat2 IS NOT NULL AND road_id IN (SELECT road_id FROM adj)""")
+bent_part("hit", "good edge", f"""
+SELECT customid, trajid, timest, latitude, longitude, road_id, {snap('greatest(min(d), 5.0::double)', 6)} AS distance,
+  min({{'d': {snap('d', 6)}, 'place': place + u*(place2-place)}}).place AS place FROM (
+  SELECT p.customid, p.trajid, p.timest, p.latitude, p.longitude, e.road_id, e.place, e.place2,
+    {edge_distance('px', 'py', 'e.')} AS d, {edge_share('px', 'py', 'e.')} AS u
+  FROM (SELECT *, {east('longitude')} AS px, {north('latitude')} AS py FROM good) p JOIN edge e
+  ON greatest(e.x1,e.x2) >= px-100 AND least(e.x1,e.x2) <= px+100 AND greatest(e.y1,e.y2) >= py-100
+    AND least(e.y1,e.y2) <= py+100)
+WHERE d <= 100 GROUP BY customid, trajid, timest, latitude, longitude, road_id""")
+bent_part("numbered", "cand point", """
+SELECT f.*, p.n, p.total AS n_points, p.prev_timest, p.prev_lat, p.prev_lon
+FROM cand f JOIN point p USING (customid, trajid, timest, latitude, longitude)""")
+bent_part("joint", "mark", """
+SELECT a.road_id, b.road_id AS then_id, min({'node': a.node_id, 'out_at': a.place, 'in_at': b.place}) AS w
+FROM mark a JOIN mark b ON a.node_id = b.node_id AND a.road_id <> b.road_id GROUP BY a.road_id, b.road_id""")
+bent_part("met", "paths joint", """
+SELECT start_id, end_id, h, j.w.out_at AS out_at, j.w.in_at AS in_at FROM (
+  SELECT start_id, end_id, h, ids[h] AS road_id, ids[h+1] AS then_id FROM (
+    SELECT *, unnest(range(1, roads)) AS h FROM paths WHERE roads > 1))
+JOIN joint j USING (road_id, then_id)""")
+bent_part("fact", "paths met", """
+SELECT p.start_id, p.end_id, p.roads, f.exit_at, f.enter_at, f.inside FROM paths p LEFT JOIN (
+  SELECT start_id, end_id, arg_min(out_at, h) AS exit_at, arg_max(in_at, h) AS enter_at,
+    coalesce(sum(abs(out_at - came)), 0.0::double) AS inside FROM (
+    SELECT *, lag(in_at) OVER (PARTITION BY start_id, end_id ORDER BY h) AS came FROM met) GROUP BY start_id, end_id) f
+USING (start_id, end_id)""")
+bent_part("move", "numbered fact", f"""
+SELECT customid, trajid, n, n_points, timest, prev_timest, i, road_id, prob, k, prev_id, route,
+  CASE WHEN route IS NOT NULL THEN -abs(gap-route)/10 - {math.log(10)!r}::double END AS log_move FROM (
+  SELECT i.customid, i.trajid, i.n, i.n_points, i.timest, i.prev_timest, i.rank AS i, i.road_id, i.prob, k.rank AS k,
+    k.road_id AS prev_id, {hav_m('i.latitude', 'i.longitude', 'i.prev_lat', 'i.prev_lon')} AS gap,
+    CASE WHEN f.roads IS NULL THEN NULL WHEN f.roads = 1 THEN abs(i.place - k.place)
+      ELSE abs(f.exit_at - k.place) + f.inside + abs(i.place - f.enter_at) END AS route
+  FROM numbered i LEFT JOIN numbered k ON k.customid=i.customid AND k.trajid=i.trajid AND k.n=i.n-1
+  LEFT JOIN fact f ON f.start_id=k.road_id AND f.end_id=i.road_id)""")
+
 SEG_COLUMNS = "customid, timest, latitude, longitude, accuracy, timediff, spacediff, speed, speeddiff, trajid"
 
 
@@ -424,7 +493,11 @@ LEFT JOIN paths p ON p.start_id=k.road_id AND p.end_id=i.road_id"""),
         "transitions": statement("move", f"""
 SELECT customid, trajid, prev_timest, timest, prev_id, road_id, {snap('route', 3)} AS route,
   {snap('coalesce(exp(log_move), 0)', 6)} AS prob FROM move WHERE k IS NOT NULL"""),
+        "transitions_polyline": statement("bent_move", f"""
+SELECT customid, trajid, prev_timest, timest, prev_id, road_id, {snap('route', 3)} AS route,
+  {snap('coalesce(exp(log_move), 0)', 6)} AS prob FROM bent_move WHERE k IS NOT NULL"""),
         "decoded": statement("dec", "SELECT * FROM dec"),
+        "decoded_polyline": statement("bent_dec", "SELECT * FROM bent_dec"),
         "decoded_gaussian": statement("far_dec", "SELECT * FROM far_dec"),
         "decoded_long": statement("dec", "SELECT * FROM dec"),
         "decoded_restart": statement("restart_dec", "SELECT * FROM restart_dec"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadtrace.functions.geo import gaussian_emission, haversine_m, log_gaussian_emission, project, snap, with_foot
+from roadtrace.functions.geo import gaussian_emission, haversine_m, log_gaussian_emission, project, snap, unproject, with_foot
 from roadtrace.operators.blocks import time_block
 from roadtrace.params import DISTANCE_FLOOR, MatchParams
 from roadtrace.staging import staged
@@ -13,6 +13,8 @@ from roadtrace.staging import staged
 POINT = ["customid", "trajid", "tblock", "timest", "latitude", "longitude"]
 BLOCK = ["customid", "trajid", "tblock"]
 ENDS = ["lat0", "lon0", "lat1", "lon1"]
+# Of an edge: metres of the road before it, its own and those of the whole road.
+MEASURES = ["before", "metres", "length"]
 
 # A cell is this many search radii wide; an edge longer than a cell is laid out piece by piece.
 CELL_RADII = 2
@@ -25,18 +27,22 @@ def road_cells(roads: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     """Every edge of every road, once per grid cell that lies within ``tau`` of it.
 
     Long edges are cut into pieces for the layout only (the whole edge stays in the row), so the number of
-    cells grows with the length of an edge and not with the area of its box.
+    cells grows with the length of an edge and not with the area of its box.  With ``full_length`` an edge carries
+    ``MEASURES``, for which roads need ``marks``.
     """
     side = float(CELL_RADII * p.tau)
     c = F.col
     n = F.size("coordinates")
-    pieces = F.arrays_zip(
-        F.slice("coordinates", F.lit(1), n - 1).alias("a"), F.slice("coordinates", F.lit(2), n - 1).alias("b")
-    )
-    edges = roads.select("road_id", *ENDS, F.explode(pieces).alias("e"))
+    sides = [F.slice("coordinates", F.lit(1), n - 1).alias("a"), F.slice("coordinates", F.lit(2), n - 1).alias("b")]
+    measures = MEASURES if p.full_length else []
+    if p.full_length:
+        sides += [F.slice("marks.at", F.lit(1), n - 1).alias("before"), F.slice("marks.at", F.lit(2), n - 1).alias("after")]
+    edges = roads.select("road_id", *ENDS, *measures[2:], F.explode(F.arrays_zip(*sides)).alias("e"))
+    if p.full_length:
+        edges = edges.withColumns({"before": c("e.before"), "metres": c("e.after") - c("e.before")})
     x1, y1 = project(c("e.a.lat"), c("e.a.lon"), p.frame)
     x2, y2 = project(c("e.b.lat"), c("e.b.lon"), p.frame)
-    edges = edges.select("road_id", *ENDS, x1.alias("x1"), y1.alias("y1"), (x2 - x1).alias("dx"), (y2 - y1).alias("dy"))
+    edges = edges.select("road_id", *ENDS, *measures, x1.alias("x1"), y1.alias("y1"), (x2 - x1).alias("dx"), (y2 - y1).alias("dy"))
     square = c("dx") * c("dx") + c("dy") * c("dy")
     edges = edges.withColumn("square", F.when(square > 0, square).otherwise(F.lit(1.0)))
     span = F.greatest(F.abs("dx"), F.abs("dy"))
@@ -63,7 +69,7 @@ def road_cells(roads: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     return (
         boxed.withColumn("cx", F.explode(cells("xa", "xb")))
         .withColumn("cy", F.explode(cells("ya", "yb")))
-        .select("cx", "cy", "road_id", *ENDS, "x1", "y1", "dx", "dy", "square")
+        .select("cx", "cy", "road_id", *ENDS, *measures, "x1", "y1", "dx", "dy", "square")
     )
 
 
@@ -161,10 +167,23 @@ def near_roads(points: DataFrame, cells: DataFrame, p: MatchParams = MatchParams
         .withColumn("d2", F.pow(off_x, F.lit(2.0)) + F.pow(off_y, F.lit(2.0)))
         .where(c("d2") <= p.tau * p.tau)
     )
-    hits = hits.select(*POINT, "road_id", *ENDS, "d2").repartition(*BLOCK)
+    if p.full_length:
+        # The foot on the nearest edge; of equally near edges the one that comes first.
+        foot = F.struct(
+            snap(F.sqrt("d2")).alias("d"),
+            (c("before") + along * c("metres")).alias("at"),
+            (c("x1") + along * c("dx")).alias("x"),
+            (c("y1") + along * c("dy")).alias("y"),
+        )
+        carried, best = ["length"], [F.min("foot").alias("foot")]
+        hits = hits.withColumn("foot", foot).select(*POINT, "road_id", *ENDS, "length", "d2", "foot")
+    else:
+        carried, best = [], []
+        hits = hits.select(*POINT, "road_id", *ENDS, "d2")
     return (
-        hits.groupBy(*POINT, "road_id")
-        .agg(F.min("d2").alias("d2"), *[F.first(e).alias(e) for e in ENDS])
+        hits.repartition(*BLOCK)
+        .groupBy(*POINT, "road_id")
+        .agg(F.min("d2").alias("d2"), *[F.first(e).alias(e) for e in [*ENDS, *carried]], *best)
         .withColumn("distance", snap(F.greatest(F.sqrt("d2"), F.lit(DISTANCE_FLOOR))))
         .drop("d2")
     )
@@ -202,19 +221,21 @@ def candidate_points(found: DataFrame, p: MatchParams = MatchParams()) -> DataFr
 
     Each candidate carries what later steps need of its road: the foot of the point on the chord between the
     road's ends (null if outside), the distances from the foot to both ends, and whether the point is nearer
-    to the first end.
+    to the first end.  With ``full_length`` the foot is the nearest place on the road itself, so there always is one, and
+    the distances to both ends are those along the road.
     """
     c = F.col
     end0, end1 = (c("lat0"), c("lon0")), (c("lat1"), c("lon1"))
     foot = (c("foot_lat"), c("foot_lon"))
     here = (c("latitude"), c("longitude"))
-    footed = with_foot(found, ("latitude", "longitude"), tuple(ENDS), p.foot_frame).withColumns(
-        {
-            "to0": haversine_m(*foot, *end0),
-            "to1": haversine_m(*foot, *end1),
-            "near0": haversine_m(*here, *end0) < haversine_m(*here, *end1),
-        }
-    )
+    if p.full_length:
+        lat, lon = unproject(c("foot.x"), c("foot.y"), p.frame)
+        footed = found.withColumns({"foot_lat": lat, "foot_lon": lon})
+        to_ends = {"to0": c("foot.at"), "to1": c("length") - c("foot.at")}
+    else:
+        footed = with_foot(found, ("latitude", "longitude"), tuple(ENDS), p.foot_frame)
+        to_ends = {"to0": haversine_m(*foot, *end0), "to1": haversine_m(*foot, *end1)}
+    footed = footed.withColumns({**to_ends, "near0": haversine_m(*here, *end0) < haversine_m(*here, *end1)})
     one = F.struct("rank", "road_id", "prob", "log_prob", "foot_lat", "foot_lon", "to0", "to1", "near0")
     return footed.groupBy(*POINT).agg(F.array_sort(F.collect_list(one)).alias("cands"))
 

@@ -238,3 +238,67 @@ def path_facts(paths: DataFrame) -> DataFrame:
         "first_at0",
         "last_at0",
     )
+
+
+def measured_facts(paths: DataFrame, roads: DataFrame) -> DataFrame:
+    """What the transition probability needs of each path where roads are measured along their pieces.
+
+    ``exit_at`` is the place on the first road where the path leaves it, ``enter_at`` that on the last road where it
+    arrives, ``inner`` what it drives on the roads in between, all in metres; a path of one road has only ``roads``.  Two
+    roads meet at the node they share, at the one with the smallest id if there are several, and where a road passes it
+    first.  Roads that share only nodes whose place is unknown are taken to meet at the end of the one and the start of the
+    other.  ``roads`` has ``marks``.  Only pairs that occur in a path look up their node, so crowded nodes form no pairs.
+    """
+    c = F.col
+    n = F.size("path.road")
+    hop = F.arrays_zip(
+        F.slice("path.road", F.lit(1), n - 1).alias("road"), F.slice("path.road", F.lit(2), n - 1).alias("then")
+    )
+    hops = paths.where(c("roads") > 1).select("start_id", "end_id", F.posexplode(hop).alias("pos", "hop"))
+    hops = hops.select("start_id", "end_id", "pos", "hop.road", "hop.then")
+
+    def marks(name: str) -> DataFrame:
+        return roads.select(c("road_id").alias(name), c("marks").alias(f"{name}_marks"))
+
+    def place(name: str):
+        at_node = F.filter(f"{name}_marks", lambda m: m["node_id"] == c("node_id"))
+        return F.array_min(F.transform(at_node, lambda m: m["at"]))
+
+    joints = (
+        hops.select("road", "then")
+        .distinct()
+        .join(marks("road"), "road")
+        .join(marks("then"), "then")
+        .withColumn("node_id", F.array_min(F.array_intersect("road_marks.node_id", "then_marks.node_id")))
+        .select(
+            "road",
+            "then",
+            F.coalesce(place("road"), F.element_at("road_marks", -1)["at"]).alias("out_at"),
+            F.coalesce(place("then"), F.lit(0.0)).alias("in_at"),
+        )
+    )
+    met = (
+        hops.join(joints, ["road", "then"])
+        .groupBy("start_id", "end_id")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "out_at", "in_at"))).alias("met"))
+    )
+    # On the road between two meetings: from where the first one enters it to where the second one leaves it.
+    between = F.zip_with(
+        F.slice("met", F.lit(1), F.size("met") - 1),
+        F.slice("met", F.lit(2), F.size("met") - 1),
+        lambda a, b: F.abs(b["out_at"] - a["in_at"]),
+    )
+    none = F.lit(None).cast("double")
+    single = paths.where(c("roads") == 1).select(
+        "start_id", "end_id", "roads", none.alias("inner"), none.alias("exit_at"), none.alias("enter_at")
+    )
+    return single.unionByName(
+        met.select(
+            "start_id",
+            "end_id",
+            (F.size("met") + 1).alias("roads"),
+            F.aggregate(between, F.lit(0.0), lambda total, x: total + x).alias("inner"),
+            c("met")[0]["out_at"].alias("exit_at"),
+            F.element_at("met", -1)["in_at"].alias("enter_at"),
+        )
+    )

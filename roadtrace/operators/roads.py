@@ -25,7 +25,8 @@ def build_roads(ways: DataFrame, nodes: DataFrame, full_length: bool = False) ->
     """One row per road: attributes, ordered coordinates, length in metres and both ends.
 
     References to absent nodes vanish; a road needs two nodes that are present.  The length is measured from
-    the first to the last node (a loop has length 0), or along all pieces with ``full_length``.
+    the first to the last node (a loop has length 0), or along all pieces with ``full_length``.  Then there also is
+    ``marks``: each node (``node_id``) with its metres along the road (``at``), in the order of the coordinates.
     """
     selected = road_ways(ways)
     refs = selected.select("road_id", F.posexplode("nodes").alias("pos", "node_id"))
@@ -33,35 +34,26 @@ def build_roads(ways: DataFrame, nodes: DataFrame, full_length: bool = False) ->
         nodes.select(F.col("id").alias("node_id"), "latitude", "longitude"), "node_id"
     )
     lines = placed.groupBy("road_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))))
-        .alias("placed")
+        F.array_sort(
+            F.collect_list(F.struct("pos", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"), "node_id"))
+        ).alias("placed")
     )
     shaped = lines.where(F.size("placed") >= 2).select(
         "road_id",
         F.transform("placed", lambda n: F.struct(n["lon"].alias("lon"), n["lat"].alias("lat"))).alias("coordinates"),
+        *([_marks("placed").alias("marks")] if full_length else []),
     )
     first, last = F.col("coordinates")[0], F.element_at("coordinates", -1)
     ended = shaped.select(
-        "road_id",
-        "coordinates",
+        "*",
         first["lat"].alias("lat0"),
         first["lon"].alias("lon0"),
         last["lat"].alias("lat1"),
         last["lon"].alias("lon1"),
     )
     c = F.col
-    if full_length:
-        n = F.size("coordinates")
-        pieces = F.arrays_zip(
-            F.slice("coordinates", F.lit(1), n - 1).alias("a"), F.slice("coordinates", F.lit(2), n - 1).alias("b")
-        )
-        length = F.aggregate(
-            pieces,
-            F.lit(0.0),
-            lambda total, s: total + haversine_m(s["a"]["lat"], s["a"]["lon"], s["b"]["lat"], s["b"]["lon"]),
-        )
-    else:
-        length = haversine_m(c("lat0"), c("lon0"), c("lat1"), c("lon1"))
+    chord = haversine_m(c("lat0"), c("lon0"), c("lat1"), c("lon1"))
+    length = F.element_at("marks", -1)["at"] if full_length else chord
     return ended.withColumn("length", length).join(selected, "road_id").select(
         "road_id",
         "timestamp",
@@ -75,9 +67,26 @@ def build_roads(ways: DataFrame, nodes: DataFrame, full_length: bool = False) ->
         "lon0",
         "lat1",
         "lon1",
+        *(["marks"] if full_length else []),
     )
 
 
+def _marks(placed: str) -> Column:
+    """Nodes of a line with the metres from its first node, along the line."""
+
+    def longer(marks: Column, n: Column) -> Column:
+        last = F.element_at(marks, -1)
+        step = haversine_m(last["lat"], last["lon"], n["lat"], n["lon"])
+        return F.concat(marks, F.array(mark(n, last["at"] + step)))
+
+    def mark(n: Column, at: Column) -> Column:
+        return F.struct(n["node_id"].alias("node_id"), at.alias("at"), n["lat"].alias("lat"), n["lon"].alias("lon"))
+
+    rest = F.slice(placed, F.lit(2), F.size(placed))
+    marks = F.aggregate(rest, F.array(mark(F.col(placed)[0], F.lit(0.0))), longer)
+    return F.transform(marks, lambda m: F.struct(m["node_id"].alias("node_id"), m["at"].alias("at")))
+
+
 # Roads of one node beyond which pairs are not formed for the search of paths; see ``adjacency_parts``.
 HUB_ROADS = 64
 

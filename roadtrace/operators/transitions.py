@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadtrace.functions.geo import fixed, haversine_m
@@ -85,10 +85,34 @@ def _with_facts(linked: DataFrame, facts: DataFrame) -> DataFrame:
     return linked.join(known, BLOCK, "left").withColumn("moves", moves).drop("known")
 
 
+def _chord_route() -> Column:
+    """Route length where feet lie on chords of roads, or nowhere."""
+    c = F.col
+    a, b = c("k.foot_lat").isNotNull(), c("i.foot_lat").isNotNull()
+    one_road = (
+        F.when(a & b, haversine_m(c("k.foot_lat"), c("k.foot_lon"), c("i.foot_lat"), c("i.foot_lon")))
+        .when(a, F.when(c("i.near0"), c("k.to0")).otherwise(c("k.to1")))
+        .otherwise(F.when(c("k.near0"), c("i.to0")).otherwise(c("i.to1")))
+    )
+    head = F.when(a, F.when(c("first_at0"), c("k.to0")).otherwise(c("k.to1"))).otherwise(c("first_length"))
+    tail = F.when(b, F.when(c("last_at0"), c("i.to0")).otherwise(c("i.to1"))).otherwise(c("last_length"))
+    return (
+        F.when(~a & ~b, c("whole")).when(c("roads") == 1, one_road).otherwise(head + c("inner") + tail)
+    )
+
+
+def _measured_route() -> Column:
+    """Route length where every point has a place on its road."""
+    c = F.col
+    head, tail = F.abs(c("exit_at") - c("k.to0")), F.abs(c("i.to0") - c("enter_at"))
+    return F.when(c("roads") == 1, F.abs(c("i.to0") - c("k.to0"))).otherwise(head + c("inner") + tail)
+
+
 def transitions(linked: DataFrame, facts: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     """Every move into a point: candidate k of the point before, candidate i of this one, log probability.
 
-    The route length is the path length with the first and last road cut at the feet of the two points.  The
+    The route length is the path length with the first and last road cut at the feet of the two points, with
+    ``full_length`` as differences of places on the roads (``facts`` are those of ``measured_facts``).  The
     log probability compares it with the distance of the points; it is null where no path connects the roads.
     The first point of a trajectory has one row per candidate with no ``k``.
     """
@@ -117,17 +141,7 @@ def transitions(linked: DataFrame, facts: DataFrame, p: MatchParams = MatchParam
             "m.fact.*",
         )
     )
-    a, b = c("k.foot_lat").isNotNull(), c("i.foot_lat").isNotNull()
-    one_road = (
-        F.when(a & b, haversine_m(c("k.foot_lat"), c("k.foot_lon"), c("i.foot_lat"), c("i.foot_lon")))
-        .when(a, F.when(c("i.near0"), c("k.to0")).otherwise(c("k.to1")))
-        .otherwise(F.when(c("k.near0"), c("i.to0")).otherwise(c("i.to1")))
-    )
-    head = F.when(a, F.when(c("first_at0"), c("k.to0")).otherwise(c("k.to1"))).otherwise(c("first_length"))
-    tail = F.when(b, F.when(c("last_at0"), c("i.to0")).otherwise(c("i.to1"))).otherwise(c("last_length"))
-    route = (
-        F.when(~a & ~b, c("whole")).when(c("roads") == 1, one_road).otherwise(head + c("inner") + tail)
-    )
+    route = _measured_route() if p.full_length else _chord_route()
     return (
         joined.withColumn("route", F.when(c("roads").isNotNull(), route))
         .withColumn("log_move", -F.abs(c("gap") - c("route")) / p.beta - F.lit(math.log(p.beta)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from roadtrace.operators.candidates import candidate_points, candidate_roads, candidates, road_cells
 from roadtrace.operators.decode import decode
-from roadtrace.operators.paths import neighbor_paths, path_facts
+from roadtrace.operators.paths import measured_facts, neighbor_paths, path_facts
 from roadtrace.operators.roads import HUB_ROADS, adjacency, adjacency_parts, build_roads, connected_roads
 from roadtrace.operators.route import routes
 from roadtrace.operators.select import quality_trajectories, top_trajectories
@@ -63,9 +63,10 @@ def candidate_paths(points: DataFrame, net: Network, p: MatchParams = MatchParam
     return staged(neighbor_paths(pairs, candidate_roads(points), p, hubs))
 
 
-def scored_moves(points: DataFrame, paths: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
+def scored_moves(points: DataFrame, paths: DataFrame, net: Network, p: MatchParams = MatchParams()) -> DataFrame:
     """Moves between candidates of consecutive points."""
-    return transitions(linked_points(points), path_facts(paths), p)
+    facts = measured_facts(paths, net.roads) if p.full_length else path_facts(paths)
+    return transitions(linked_points(points), facts, p)
 
 
 def match(trajectories: DataFrame, ways: DataFrame, nodes: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
@@ -73,4 +74,4 @@ def match(trajectories: DataFrame, ways: DataFrame, nodes: DataFrame, p: MatchPa
     net = network(ways, nodes, p)
     points = matched_candidates(selected_points(trajectories, p), net, p)
     paths = candidate_paths(points, net, p)
-    return routes(decode(scored_moves(points, paths, p), p), paths)
+    return routes(decode(scored_moves(points, paths, net, p), p), paths)
