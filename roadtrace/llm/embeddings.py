@@ -1,8 +1,11 @@
 """Near-duplicate vectors by random-hyperplane signs in several tables, exact cosines and connected components.
 
-Each table cuts the space with ``BITS`` random hyperplanes; vectors of one label with the same signs share a bucket.
-Two vectors at cosine 0.98 agree in a bit with probability 0.936, in the 12 bits of a table with 0.45, and in at least
-one of 20 tables with 0.999994.
+Each table cuts the space with random hyperplanes; vectors of one label with the same signs share a bucket.  How many
+planes follows from the rows of the largest label, one more whenever they double, so that vectors spread evenly leave
+about ``BUCKET`` to a bucket at any size.  The tables follow from that: two vectors at the threshold meet in none of them
+with probability ``MISS`` at most.  At cosine 0.98 they agree in a bit with probability 0.936, which makes 10 tables of 5
+bits for 8,000 rows, 31 of 17 bits for 32 million and 45 of 22 bits for a billion.  A label of ``BUCKET`` rows is one
+bucket.
 
 Equal vectors are merged first and counted, so copies are compared once.  A bucket of more than ``BLOCK`` vectors is
 compared block against block, in as many tasks as it has pairs of blocks.  A pair that several tables find counts in
@@ -12,6 +15,7 @@ What leaves a comparison is, per vector, a number of links and one link to the s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +26,10 @@ from pyspark.sql import functions as F
 from roadtrace.llm.common import checkpointed
 from roadtrace.llm.components import components
 
-BITS, TABLES = 12, 20
+BUCKET = 256
+MISS = 6e-6
+# Codes are 32-bit numbers; a label of more than 5 * 10^11 rows has larger buckets, which are compared in blocks.
+MOST_BITS = 31
 BLOCK = 1024
 SEED = 20
 _KEY = ["label", "dim", "table", "code", "low", "high"]
@@ -42,22 +49,33 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def layout(rows: int, threshold: float) -> tuple[int, int]:
+    """Bits of a code and number of tables, for the rows of the largest label."""
+    bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(rows, 1) / BUCKET))))
+    together = (1 - math.acos(threshold) / math.pi) ** bits
+    return bits, 1 if together == 1 else math.ceil(math.log(MISS) / math.log1p(-together))
+
+
+def _coded(bits: int, tables: int):
     """Adds the code of each table."""
-    planes: dict[int, np.ndarray] = {}
-    weights = 1 << np.arange(BITS)
-    for batch in batches:
-        vectors, codes = batch.column("embedding"), np.zeros((len(batch), TABLES), np.int32)
-        sizes = np.asarray(batch.column("dim"))
-        for dim in np.unique(sizes):
-            if dim not in planes:
-                planes[dim] = np.random.default_rng([SEED, dim]).standard_normal((dim, TABLES * BITS))
-            rows = np.flatnonzero(sizes == dim)
-            signs = _matrix(vectors.take(pa.array(rows))) @ planes[dim] > 0
-            codes[rows] = signs.reshape(len(rows), TABLES, BITS) @ weights
-        ends = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * TABLES)
-        lists = pa.ListArray.from_arrays(ends, pa.array(codes.ravel(), pa.int32()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "codes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            vectors, codes = batch.column("embedding"), np.zeros((len(batch), tables), np.int32)
+            sizes = np.asarray(batch.column("dim"))
+            for dim in np.unique(sizes):
+                if dim not in planes:
+                    planes[dim] = np.random.default_rng([SEED, dim]).standard_normal((dim, tables * bits))
+                rows = np.flatnonzero(sizes == dim)
+                signs = _matrix(vectors.take(pa.array(rows))) @ planes[dim] > 0
+                codes[rows] = signs.reshape(len(rows), tables, bits) @ weights
+            ends = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * tables)
+            lists = pa.ListArray.from_arrays(ends, pa.array(codes.ravel(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "codes"])
+
+    return run
 
 
 def _parts(linked: np.ndarray) -> np.ndarray:
@@ -78,7 +96,7 @@ def _compared(threshold: float):
         ids = rows.column("id").combine_chunks()
         x = _matrix(rows.column("embedding").combine_chunks())
         table = rows.column("table")[0].as_py()
-        codes = rows.column("codes").combine_chunks().flatten().to_numpy().reshape(len(rows), TABLES)
+        codes = rows.column("codes").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
         linked = x @ x.T >= threshold
         np.fill_diagonal(linked, False)
         low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
@@ -136,7 +154,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     merged = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     plain = merged.select("id", F.xxhash64("label").alias("label"), "embedding", "copies", F.size("embedding").alias("dim"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
-    coded = checkpointed(plain.mapInArrow(_coded, f"{kinds}, codes array<int>"))
+    # One number: the rows of the largest label, copies included.
+    rows_of = good.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    coded = checkpointed(plain.mapInArrow(_coded(*layout(rows_of or 0, threshold)), f"{kinds}, codes array<int>"))
     bucket = ["label", "dim", "table", "code"]
     placed = coded.select("*", F.posexplode("codes").alias("table", "code"))
     crowded = (

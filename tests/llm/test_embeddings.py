@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import roadtrace.llm.embeddings as embeddings
-from roadtrace.llm.embeddings import near_vectors
+from roadtrace.llm.embeddings import layout, near_vectors
 
 SCHEMA = "vec_id long, embedding array<double>, label int, codes string"
 
@@ -42,10 +42,11 @@ def _rows():
     return rows
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_same_as_all_pairs(spark, monkeypatch, block):
-    """Also with blocks so small that buckets are compared in parts."""
+@pytest.mark.parametrize("block, bucket", [(1024, 256), (1024, 1), (8, 16)])
+def test_same_as_all_pairs(spark, monkeypatch, block, bucket):
+    """Also with buckets of few rows, and with blocks so small that buckets are compared in parts."""
     monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "BUCKET", bucket)
     rows = _rows()
     links, part = _plain(rows)
     found = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
@@ -63,3 +64,27 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
         (5, 2, 5, True), (5, 2, 5, True), (6, 2, 5, False)]
     assert [(r.n_links, r.component_id, r.kept) for r in found if r.vec_id is None] == [(0, None, True)] * 2
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_layout_follows_the_rows():
+    assert layout(0, 0.98) == layout(256, 0.98) == (0, 1)
+    for rows in (257, 8_000, 32_000_000, 10**9, 10**12):
+        bits, tables = layout(rows, 0.98)
+        assert rows / 2**bits <= 256 or bits == 31
+        assert (1 - (1 - np.arccos(0.98) / np.pi) ** bits) ** tables <= 6e-6
+    assert [layout(n, 0.98) for n in (8_000, 32_000_000, 10**9)] == [(5, 10), (17, 31), (22, 45)]
+
+
+def test_recall_at_the_threshold(spark, monkeypatch):
+    """4,000 pairs just above the threshold, 11 bits, in code only: the tables lose none."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = r.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    y = 0.9801 * x + np.sqrt(1 - 0.9801**2) * side
+    monkeypatch.setattr(embeddings, "BUCKET", 4)
+    rows = [(2 * i + j, v.tolist(), 1, "") for i in range(4000) for j, v in enumerate((x[i], y[i]))]
+    found = near_vectors(spark.createDataFrame(rows, SCHEMA)).where("n_links = 1 AND component_id = vec_id - vec_id % 2")
+    assert found.count() == 8000
