@@ -66,9 +66,9 @@ class MatchParams:
 
     ``frame`` and ``foot_frame`` choose the projection of the candidate search and of the foot points (see
     ``functions.geo.project``).  ``keep_dead_ends`` set to False drops a road reached at hop theta-1 that has
-    no neighbour outside its path.  ``full_length`` measures roads along their pieces, with feet on the
-    nearest edge and routes from place to place, instead of from first to last node.  ``emission`` is ``inverse`` (share of the inverse distances) or ``gaussian`` (density of the
-    distance).  ``block_seconds`` only sets how a trajectory is split over tasks, ``part_points`` and ``part_edges`` how a
+    no neighbour outside its path.  ``full_length`` measures roads along their pieces, with feet on the nearest edge
+    and routes from place to place, instead of from first to last node.  ``emission`` is ``inverse`` (share of the
+    inverse distances) or ``gaussian`` (density of the distance).  ``block_seconds`` only sets how a trajectory is split over tasks, ``part_points`` and ``part_edges`` how a
     crowded cell of the candidate search is.  ``restart`` begins a new chain of roads where no candidate of a point can be
     reached; else the rest of the trajectory has none.
 
