@@ -1,10 +1,12 @@
 """Short paths against a recursive search."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from roadtrace.operators.paths import neighbor_paths, path_facts
+from roadtrace.operators.paths import _dealt, neighbor_paths, path_facts
 from roadtrace.operators.roads import adjacency, adjacency_parts
 from roadtrace.params import MatchParams
 
@@ -173,3 +175,35 @@ def test_no_hubs_in_an_empty_network(spark):
     roads = spark.createDataFrame([], ROADS)
     pairs, hubs = adjacency_parts(roads)
     assert neighbor_paths(pairs, roads, MatchParams(), hubs).count() == 0
+
+
+def small_networks(spark, seed):
+    """Roads of fifteen separate networks, with their places, and the links between them."""
+    rng = random.Random(seed)
+    nodes_of, lengths = {}, {}
+    for g in range(15):
+        nodes = [f"{g}n{k}" for k in range(5)]
+        for k in range(rng.randrange(3, 8)):
+            nodes_of[f"{g}r{k}"] = rng.sample(nodes, rng.randrange(2, 4))
+            lengths[f"{g}r{k}"] = rng.choice([0.0, 5.0, 30.0, 30.0, 60.0, 90.0, 180.0, 250.0])
+    links = [(a, b) for a in nodes_of for b in nodes_of if a < b and set(nodes_of[a]) & set(nodes_of[b])]
+    return roads_frame(spark, nodes_of, lengths), lengths, links
+
+
+def shuffled_by(paths):
+    """Columns by which the plan of ``paths`` shuffles anything."""
+    plan = paths._jdf.queryExecution().executedPlan().toString()
+    return set(re.findall(r"(\w+)#", " ".join(re.findall(r"Exchange ([^\n]*)", plan))))
+
+
+def check_whole_and_in_place(spark, p, with_hubs):
+    roads, lengths, links = small_networks(spark, 5)
+    pairs, hubs = adjacency_parts(roads, 2) if with_hubs else (adjacency(roads), None)
+    paths = neighbor_paths(pairs, roads, p, hubs, part_starts=4)
+    assert not {"start_id", "end_id", "ids"} & shuffled_by(paths)
+    got = {(r.start_id, r.end_id): (round(r.cost * 1e6), r.roads, [s.road for s in r.path]) for r in paths.collect()}
+    assert got == search(lengths, links, p.theta, 200, p.keep_dead_ends)
+
+
+def test_paths_across_hubs_are_not_shuffled(spark):
+    check_whole_and_in_place(spark, MatchParams(), True)
