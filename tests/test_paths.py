@@ -207,3 +207,7 @@ def check_whole_and_in_place(spark, p, with_hubs):
 
 def test_paths_across_hubs_are_not_shuffled(spark):
     check_whole_and_in_place(spark, MatchParams(), True)
+
+
+def test_paths_without_dead_ends_are_not_shuffled(spark):
+    check_whole_and_in_place(spark, MatchParams(keep_dead_ends=False), False)
