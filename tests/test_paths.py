@@ -211,3 +211,23 @@ def test_paths_across_hubs_are_not_shuffled(spark):
 
 def test_paths_without_dead_ends_are_not_shuffled(spark):
     check_whole_and_in_place(spark, MatchParams(keep_dead_ends=False), False)
+
+
+def test_paths_of_all_roads_are_not_shuffled(spark):
+    check_whole_and_in_place(spark, MatchParams(), False)
+
+
+def test_starts_are_dealt_into_bounded_parts_of_neighbours(spark):
+    """A dense row of roads at one place and a row as long, a hundred kilometres away."""
+    rows = [(f"r{k}", 45.0 + (k % 2), 9.0 + 1e-5 * k) for k in range(4000)] + [("gone", 45.0, 9.0), ("r7", 46.0, 9.0)]
+    starts = spark.createDataFrame(rows, "road_id string, lat0 double, lon0 double")
+    lengths = spark.range(4000).select(F.concat(F.lit("r"), "id").alias("road_id"), F.lit(1.0).alias("length"))
+    dealt, n_parts = _dealt(lengths, starts, 100)
+    got = dealt.collect()
+    assert n_parts == 41 and sorted(r.road_id for r in got) == sorted(f"r{k}" for k in range(4000))
+    parts = {}
+    for r in got:
+        parts.setdefault(r.part, []).append(int(r.road_id[1:]))
+    assert max(map(len, parts.values())) <= 200
+    # At most one part holds the end of one row and the beginning of the other.
+    assert sum(len({k % 2 for k in ks}) > 1 for ks in parts.values()) <= 1
