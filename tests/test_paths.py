@@ -213,6 +213,26 @@ def test_paths_without_dead_ends_are_not_shuffled(spark):
     check_whole_and_in_place(spark, MatchParams(keep_dead_ends=False), False)
 
 
+def test_dead_ends_are_dropped_without_sorting_paths(spark):
+    """Whether a path leads on is seen from the roads at its end, not from the longer paths."""
+    roads, _, _ = small_networks(spark, 5)
+    paths = neighbor_paths(adjacency(roads), roads, MatchParams(keep_dead_ends=False), part_starts=4)
+    assert "Window" not in paths._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("with_spur", [False, True])
+def test_a_hub_whose_roads_a_path_holds_leads_nowhere(spark, with_spur):
+    """A path holds all roads of the hub ``n``; it only goes on if a fourth road ends there."""
+    nodes_of = {"a": ["n", "x"], "b": ["x", "y"], "c": ["y", "n"]} | ({"d": ["n", "z"]} if with_spur else {})
+    lengths = {r: 10.0 + k for k, r in enumerate(nodes_of)}
+    links = [(a, b) for a in nodes_of for b in nodes_of if a < b and set(nodes_of[a]) & set(nodes_of[b])]
+    pairs, hubs = adjacency_parts(roads_frame(spark, nodes_of, lengths), 1)
+    p = MatchParams(theta=3, keep_dead_ends=False)
+    rows = neighbor_paths(pairs, starts_frame(spark, lengths), p, hubs).collect()
+    got = {(r.start_id, r.end_id): (round(r.cost * 1e6), r.roads, [s.road for s in r.path]) for r in rows}
+    assert got == search(lengths, links, 3, 200, False)
+
+
 def test_paths_of_all_roads_are_not_shuffled(spark):
     check_whole_and_in_place(spark, MatchParams(), False)
 
