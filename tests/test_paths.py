@@ -251,3 +251,15 @@ def test_starts_are_dealt_into_bounded_parts_of_neighbours(spark):
     assert max(map(len, parts.values())) <= 200
     # At most one part holds the end of one row and the beginning of the other.
     assert sum(len({k % 2 for k in ks}) > 1 for ks in parts.values()) <= 1
+
+
+def test_parts_stay_compact_outside_the_usual_degrees(spark):
+    """A square of 64 by 64 roads far above 270 degrees of latitude, dealt into 64 parts."""
+    rows = [(f"r{k * 1009 % 4096}", 420.0 + 0.0005 * (k // 64), 9.0 + 0.0005 * (k % 64)) for k in range(4096)]
+    starts = spark.createDataFrame(rows, "road_id string, lat0 double, lon0 double")
+    dealt, _ = _dealt(starts.select("road_id", F.lit(1.0).alias("length")), starts, 64)
+    height = (F.max("lat0") - F.min("lat0")).alias("high")
+    got = dealt.join(starts, "road_id").groupBy("part").agg(height, F.count("*").alias("n")).collect()
+    assert sum(r.n for r in got) == 4096
+    # Half of the parts at least are less high than half the square; the curve's largest leaps lie in few of them.
+    assert sorted(r.high for r in got)[len(got) // 2] < 0.0005 * 32
