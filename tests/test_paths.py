@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from roadtrace.operators import paths as paths_module
 from roadtrace.operators.paths import _dealt, neighbor_paths, path_facts
 from roadtrace.operators.roads import adjacency, adjacency_parts
 from roadtrace.params import MatchParams
@@ -263,3 +264,18 @@ def test_parts_stay_compact_outside_the_usual_degrees(spark):
     assert sum(r.n for r in got) == 4096
     # Half of the parts at least are less high than half the square; the curve's largest leaps lie in few of them.
     assert sorted(r.high for r in got)[len(got) // 2] < 0.0005 * 32
+
+
+def test_dealing_sorts_as_few_ranges_for_many_parts(spark, monkeypatch):
+    """The driver gets samples of each range, so there are no more ranges for more starts; parts are equal all the same."""
+    rows = [(f"r{k}", 45.0 + k % 7, 9.0 + 1e-5 * k) for k in range(2000)]
+    starts = spark.createDataFrame(rows, "road_id string, lat0 double, lon0 double")
+    lengths = starts.select("road_id", F.lit(1.0).alias("length"))
+    parts = []
+    for ranges in (4, 3, 1):
+        monkeypatch.setattr(paths_module, "RANGES", ranges, raising=False)
+        dealt, n_parts = _dealt(lengths, starts, 40)
+        assert n_parts == 50 and dealt.rdd.getNumPartitions() == ranges
+        parts.append({r.road_id: r.part for r in dealt.collect()})
+    assert parts[0] == parts[1] == parts[2]
+    assert [list(parts[0].values()).count(part) for part in range(50)] == [40] * 50
